@@ -1,0 +1,54 @@
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
+from heatgraph.llm import sketch
+
+
+def plain(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    make = sketch.Sketcher()
+    for i, (key, text) in enumerate(rows):
+        text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+        k = len(text) // 2
+        edited = text[: len(text) - k] + after[:k]
+        yield key, len(text), hashlib.sha256(edited.encode()).hexdigest(), make(text).tolist(), make(edited).tolist(), sketch.likeness(make(text), make(edited)), sketch.likeness(make(text), make(after))
+
+
+def unhex(text):
+    return [int(text[i : i + 8], 16) for i in range(0, len(text), 8)]
+
+
+def same(got, rows):
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:3])
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, unhex(r.fingerprint), unhex(r.edited_fingerprint), r.near_edited, r.near_next) for r in got]
+    assert sorted(got, key=key) == sorted(plain(rows), key=key)
+
+
+def test_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    same(sketch.edited_fingerprints(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_odd_rows(spark):
+    schema = "doc_id bigint, text string, at string, context int"
+    rows = [(-4, None), (2, ""), (9, "a b c d e f"), (9, "a b c d e f"), (9, "é" * 9), (7, "w x " * 100000), (None, "one two"), (10**15, "far away " * 3), (3, "q")]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], schema).repartition(3)
+    same(sketch.edited_fingerprints(frame).collect(), rows)
+    for few in ([], [(1, "a b c")], [(None, "x y")], [(None, "x y"), (5, "z")]):
+        frame = spark.createDataFrame([(*r, "x", 1) for r in few], schema)
+        same(sketch.edited_fingerprints(frame).collect(), few)
+
+
+def test_estimates(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(20000)]
+    whole, part = " ".join(words), " ".join(words[5000:6000])
+    found = sketch.sketches(spark.createDataFrame([(1, whole), (2, part), (3, "zz yy xx ww vv uu")], "doc_id bigint, text string"))
+    a, b = found.where("doc_id = 2").alias("a"), found.where("doc_id = 1").alias("b")
+    assert a.crossJoin(b).select(sketch.containment(F.col("a.sketch"), F.col("b.sketch"))).first()[0] > 0.95
+    alike = a.crossJoin(b).select(sketch.resemblance(F.col("a.sketch"), F.col("b.sketch"))).first()[0]
+    assert 0.03 < alike < 0.08
+    union = found.where("doc_id < 3").agg(sketch.merged(F.col("sketch"))).first()[0]
+    assert union == found.where("doc_id = 1").first().sketch or set(union) >= set(found.where("doc_id = 1").first().sketch)
