@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatgraph.llm import simhash, sketch, tokens
+from heatgraph.llm import pii, simhash, sketch, tokens
 from heatgraph.llm.tables import read
 
 
@@ -24,5 +24,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_fingerprints": op2_fingerprints, "op4_token_counts": op4_token_counts}
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(pii.personal_data(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_fingerprints": op2_fingerprints,
+    "op4_token_counts": op4_token_counts,
+    "op8_personal_data": op8_personal_data,
+}
 ORACLE_SQL: dict[str, str] = {}

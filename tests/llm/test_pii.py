@@ -1,0 +1,109 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from heatgraph.llm import pii
+
+KINDS = ("email", "ip", "card", "phone")
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain(text):
+    out = []
+    for kind in KINDS:
+        for m in re.finditer(PLAIN[kind], text):
+            digits = re.sub(r"[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card":
+                odd, even = [int(d) for d in digits[::-1][::2]], [int(d) * 2 for d in digits[::-1][1::2]]
+                if not 14 <= len(digits) <= 19 or (sum(odd) + sum(d - 9 if d > 9 else d for d in even)) % 10:
+                    continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+def test_base_spans_like_the_patterns():
+    rng = random.Random(5)
+    parts = ["a@b.c", "x.y@z", "@", ".", "+", "-", " ", "(", ")", "1", "12", "255", "256", "0007", "1.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1111", "é", "+1 (741) 555-3069", "@mail.example.com", "%", "\n", "٣", "k"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert pii.base_spans(text) == plain(text), repr(text)
+    assert pii.base_spans("1" * 200000 + "a" * 200000 + "@") == []
+
+
+def test_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: plain(r.text) for r in docs.collect()}
+    got = pii.span_digest(pii.personal_data(docs)).collect()
+    assert len(got) == len(want)
+    for r in got:
+        spell = ",".join(f"{k}:{a}:{b}" for k, a, b in want[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(spell.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want[r.doc_id]) for k in KINDS]
+        assert set(filter(None, spell.split(","))) <= set(r.spans.split(","))
+
+
+def revealing(spark):
+    """zorblat is near one address only, in 6 surroundings; 'the' is everywhere."""
+    rng = random.Random(6)
+    filler = lambda n: " ".join(rng.choice(["the", "of", "and", "to", "as"]) + f" w{rng.randrange(50)}" for _ in range(n))
+    rows = [(i, f"{filler(5)} zorblat bob@x.org {filler(5)}") for i in range(6)]
+    rows += [(i, filler(20)) for i in range(6, 120)] + [(i, f"{filler(4)} eve{i}@y.org {filler(3)}") for i in range(120, 140)]
+    rows += [(i, "copied secretword sue@z.org passage") for i in range(140, 160)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_disclosing_terms(spark):
+    docs = revealing(spark)
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for i in range(6):
+        assert "zorblat" in [text[i][t.start : t.end] for t in got[i].terms]
+    told = {text[r.doc_id][t.start : t.end] for r in got.values() for t in r.terms}
+    assert not told & {"the", "of", "and", "copied", "secretword", "passage"}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert len(clean) == len(text)
+    assert all("@" not in t for t in clean.values()) and all("zorblat" not in clean[i] and "[EMAIL]" in clean[i] for i in range(6))
+    assert all(clean[i] == text[i] for i in range(6, 120))
+
+
+def test_disclosure_matches_brute_force(spark):
+    import math
+
+    docs = revealing(spark)
+    found = pii._scan(docs, "doc_id", "text", pii.WINDOW)
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosures(found, docs).collect()}
+    text = [r.text for r in docs.collect()]
+    near, around, ent, df = {}, {}, {}, {}
+    for i, t in enumerate(text):
+        for w in set(re.findall(r"\w+", t.lower())):
+            df[pii._hash(w)] = df.get(pii._hash(w), 0) + 1
+        for e, a, w, _, _ in pii.surroundings(t, pii.base_spans(t), pii.WINDOW):
+            near.setdefault((e, w), set()).add(i)
+            around.setdefault((e, w), set()).add(a)
+            ent.setdefault(e, set()).add(i)
+    n = len(text)
+    want = {k: math.log(n * len(v) / (df[k[1]] * len(ent[k[0]]))) / math.log(n / len(ent[k[0]])) for k, v in near.items() if len(around[k]) >= pii.SUPPORT}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_odd_rows(spark):
+    schema = "doc_id bigint, text string, digest string, base int, n_chars int"
+    rows = [(1, None, "x", 1, None), (2, "", None, None, 0), (3, "a@b.c", "", 2, 5), (3, "a@b.c", "", 2, 5), (None, "a@b.c +1 234 567 8901", "", 2, 5), (4, "w 1.2.3.4 " * 50000, "", 0, 9)]
+    frame = spark.createDataFrame(rows, schema)
+    got = sorted((r.doc_id or 0, r.n_email, r.n_ip, r.n_phone) for r in pii.span_digest(pii.personal_data(frame)).collect())
+    assert got == [(0, 1, 0, 1), (1, 0, 0, 0), (2, 0, 0, 0), (3, 1, 0, 0), (3, 1, 0, 0), (4, 0, 50000, 0)]
+    clean = {(r.doc_id, r.text if r.text is None else r.text[:12], r.n_chars) for r in pii.sanitise(frame).collect()}
+    assert {(1, None, None), (2, "", 0), (3, "[EMAIL]", 7)} <= clean and pii.sanitise(frame).columns == frame.columns
+    none = spark.createDataFrame([], schema)
+    assert pii.span_digest(pii.personal_data(none)).collect() == [] and pii.sanitise(none).collect() == []
