@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatgraph.llm import pii, simhash, sketch, tokens
+from heatgraph.llm import html, pii, simhash, sketch, tokens
 from heatgraph.llm.tables import read
 
 
@@ -28,10 +28,15 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.personal_data(read(spark, sf_dir, "documents")))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op8_personal_data": op8_personal_data,
+    "op10_main_text": op10_main_text,
 }
 ORACLE_SQL: dict[str, str] = {}
