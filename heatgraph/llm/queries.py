@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatgraph.llm import html, pii, simhash, sketch, tokens
+from heatgraph.llm import decontamination, html, packing, pii, simhash, sketch, tokens
 from heatgraph.llm.tables import read
 
 
@@ -24,10 +24,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.length_buckets(read(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.personal_data(read(spark, sf_dir, "documents")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(read(spark, sf_dir, "pages"))
 
@@ -36,7 +44,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
     "op4_token_counts": op4_token_counts,
+    "op6_length_buckets": op6_length_buckets,
     "op8_personal_data": op8_personal_data,
+    "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_length_buckets": packing.sql()}
