@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatgraph.llm import decontamination, html, packing, pii, simhash, sketch, tokens
+from heatgraph.llm import chat, decontamination, html, packing, pii, quality, simhash, sketch, tokens, toxicity
 from heatgraph.llm.tables import read
 
 
@@ -18,16 +18,32 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return chat.digest(chat.formatted(chat.negative_pairs(chat.conversations(turns))))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    net, _ = quality.fitted(docs, read(spark, sf_dir, "labels"))
+    return quality.scores(docs, net)
+
+
 def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.length_buckets(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fitted(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.personal_data(read(spark, sf_dir, "documents")))
 
@@ -43,10 +59,13 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
+    "op3_preference_format": op3_preference_format,
     "op4_token_counts": op4_token_counts,
+    "op5_quality": op5_quality,
     "op6_length_buckets": op6_length_buckets,
+    "op7_toxicity": op7_toxicity,
     "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
 }
-ORACLE_SQL: dict[str, str] = {"op6_length_buckets": packing.sql()}
+ORACLE_SQL: dict[str, str] = {"op3_preference_format": chat.sql(), "op6_length_buckets": packing.sql()}

@@ -26,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatgraph.llm.tables import slices, texts
 from heatgraph.operators.connected import connected_components
+from heatgraph.plans.bounded import join_checked
 from heatgraph.plans.lineage import cut
 
 BITS = 64
@@ -245,3 +246,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select(
         id_col, "fp", "component_id"
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest id's, of repeated ids the first text's.
+
+    All columns are kept. Rows with a null id have nothing to be told apart by and stay. The ids that
+    go, and those that are repeated, are broadcast if they are few; else the texts are shuffled once.
+    """
+    groups = cut(near_duplicates(docs, id_col, text_col, width).where(F.col(id_col).isNotNull()))
+    repeated = groups.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("high")).where("n > 1")
+    # an id that is repeated with different texts stays if one of its rows leads its group
+    repeated = cut(repeated.select(F.col(id_col).alias("_id"), (F.col("high") == F.col(id_col)).alias("_leads")))
+    going = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id"))
+    going = cut(going.unionByName(repeated.select("_id")).distinct())
+    once = join_checked(docs, going, docs[id_col] == going["_id"], "left_anti")
+    if repeated.isEmpty():
+        return once
+    leading = repeated.where("_leads")
+    several = join_checked(docs, leading, docs[id_col] == leading["_id"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    return once.unionByName(several.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
