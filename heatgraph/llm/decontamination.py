@@ -48,12 +48,22 @@ class Words:
                 self.known.clear()
             for t in tokens:
                 if t not in self.known:
-                    word = _NOT_WORD.sub("", t)
+                    word = t if t.isalnum() else _NOT_WORD.sub("", t)
                     self.known[t] = xxhash.xxh64_intdigest(word.encode()) | 1 if word else 0
             made = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
         return made[made != 0]
 
 
+_WORDS: list[Words] = []
+
+
+def shared_words() -> Words:
+    """One word table for each Python worker, kept from task to task."""
+    if not _WORDS:
+        _WORDS.append(Words())
+    return _WORDS[0]
+
+
 def grams(words: np.ndarray, n: int = GRAM) -> np.ndarray:
     """Hashes of the n-grams, one for each start."""
     count = len(words) - n + 1
@@ -120,17 +130,33 @@ def _hits(sorted_seeds: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.n
     return hit, at[hit]
 
 
+class Seeds:
+    """Sorted hashes behind a table of their low bits, which most other hashes don't pass."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = min(24, max(12, int(len(hashes)).bit_length() + 7))
+        self.sorted, self.mask = hashes, np.uint64((1 << bits) - 1)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[hashes & self.mask] = True
+
+    def hits(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        may = np.nonzero(self.table[found & self.mask])[0]
+        at, number = _hits(self.sorted, found[may])
+        return may[at], number
+
+
 class Aligner:
     """Leaks of a block of items in one text; outcomes for equal passages are kept."""
 
     def __init__(self, items: Items, cache: int = 1 << 16):
-        self.items, self.cache, self.words, self.known = items, cache, Words(), {}
+        self.items, self.cache, self.words, self.known = items, cache, shared_words(), {}
+        self.seeds = {n: Seeds(s) for n, s in items.seeds.items() if len(s)}
 
     def _passages(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, start, end) around the seeds; overlapping ones of an item as one."""
         spans: dict[int, list[tuple[int, int]]] = {}
-        for n, seeds in self.items.seeds.items():
-            for at, seed in zip(*(x.tolist() for x in _hits(seeds, grams(words, n)))):
+        for n, seeds in self.seeds.items():
+            for at, seed in zip(*(x.tolist() for x in seeds.hits(grams(words, n)))):
                 for item, offset in self.items.places[n][seed]:
                     size = len(self.items.words[item])
                     slack = size // 2 + 2
@@ -177,14 +203,15 @@ def _frequencies(docs: DataFrame, text_col: str, wanted: dict[int, np.ndarray])
     """Document frequency of the wanted n-grams over all documents; summed in each task, as many rows as n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = shared_words()
+        filters = {n: Seeds(w) for n, w in wanted.items()}
         counts = {n: np.zeros(len(w), np.int64) for n, w in wanted.items()}
         for batch in slices(batches, "text"):
             for text in texts(batch):
                 own = words(text)
-                for n, w in wanted.items():
-                    if len(w):
-                        counts[n][np.unique(_hits(w, grams(own, n))[1])] += 1
+                for n, w in filters.items():
+                    if len(w.sorted):
+                        counts[n][np.unique(w.hits(grams(own, n))[1])] += 1
         for n, c in counts.items():
             seen = np.nonzero(c)[0]
             if len(seen):
