@@ -1 +1 @@
-
+"""Numpy kernels for what is small and iterative."""
