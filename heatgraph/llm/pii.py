@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from heatgraph.llm.tables import slices, texts
 from heatgraph.plans.bounded import join_checked
@@ -240,45 +241,47 @@ def sanitised(text: str, base: list[Span], terms: list[tuple[int, int, float]],
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 100_000, **parameters) -> DataFrame:
     """``docs`` with sanitised texts, all columns and rows kept; ``n_chars``, if there, follows the text.
 
-    Texts do not move: the patterns are found again where the text is, and only the disclosing terms,
-    few, are joined to it (broadcast if their number allows). Null and empty texts stay as they are.
+    Texts do not move: the patterns are found again where the text is. The disclosing terms of a row
+    go to it as a broadcast table by digest of the text, if at most ``most`` rows have any; beyond that
+    they are joined to the rows. Null and empty texts stay as they are.
     """
     found = personal_data(docs, id_col, text_col, **parameters)
-    told = cut(found.where(F.size("terms") > 0).select(F.col(id_col).alias("_of"), F.col("digest").alias("_digest"), F.col("terms").alias("_terms")).distinct())
-    columns = docs.columns
+    told = cut(found.where(F.size("terms") > 0).select(F.col("digest").alias("_digest"), F.col("terms").alias("_terms")).dropDuplicates(["_digest"]))
+    columns, schema = docs.columns, docs.schema
     at = columns.index(text_col)
-    schema = docs.schema
+
+    def edited(batch: pa.RecordBatch, terms) -> pa.RecordBatch:
+        kept = list(batch.columns[: len(columns)])
+        new = [None if t is None else sanitised(t, base_spans(t), terms(i, t)) for i, t in enumerate(kept[at].to_pylist())]
+        kept[at] = pa.array(new, pa.string())
+        if "n_chars" in columns:
+            i = columns.index("n_chars")
+            kept[i] = pa.array([o if t is None else len(t) for t, o in zip(new, kept[i].to_pylist())], pa.int64()).cast(kept[i].type)
+        return pa.RecordBatch.from_arrays(kept, columns)
+
+    if told.limit(most + 1).count() <= most:
+        table = {r["_digest"]: [tuple(t) for t in r["_terms"]] for r in told.collect()}
+        shared = docs.sparkSession.sparkContext.broadcast(table)
+
+        def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in slices(batches, text_col):
+                yield edited(batch, lambda i, t: known.get(_hash(t), ()) if known else ())
+
+        return docs.mapInArrow(rewrite, schema)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             made = pa.array([_hash(t) for t in texts(batch, text_col)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "_digest"])
 
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rewrite_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            cols = batch.columns
-            extra = cols[-1].to_pylist()
-            new = [None if t is None else sanitised(t, base_spans(t), [(x["start"], x["end"], x["disclosure"]) for x in e or ()]) for t, e in zip(cols[at].to_pylist(), extra)]
-            kept = list(cols[: len(columns)])
-            kept[at] = pa.array(new, pa.string())
-            if "n_chars" in columns:
-                i = columns.index("n_chars")
-                old = kept[i]
-                kept[i] = pa.array([o if t is None else len(t) for t, o in zip(new, old.to_pylist())], pa.int64()).cast(old.type)
-            yield pa.RecordBatch.from_arrays(kept, columns)
-
-    if told.isEmpty():
-        joined = docs.withColumn("_terms", F.expr("cast(null as array<struct<start:bigint,end:bigint,disclosure:double>>)"))
-    else:
-        keyed = docs.mapInArrow(digests, _with(schema, "_key", "bigint"))
-        joined = join_checked(keyed, told, F.col(id_col).eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_digest"))).select(*columns, "_terms")
-    return joined.mapInArrow(rewrite, schema)
-
-
-def _with(schema, name: str, kind: str):
-    from pyspark.sql.types import StructType
-
-    return StructType([*schema.fields, *StructType.fromDDL(f"{name} {kind}").fields])
+            extra = batch.columns[-1].to_pylist()
+            yield edited(batch, lambda i, t: [(x["start"], x["end"], x["disclosure"]) for x in extra[i] or ()])
+
+    keyed = docs.mapInArrow(digests, StructType([*schema.fields, StructField("_digest", LongType())]))
+    return keyed.join(told, "_digest", "left").select(*columns, "_terms").mapInArrow(rewrite_joined, schema)

@@ -72,6 +72,7 @@ def test_disclosing_terms(spark):
     told = {text[r.doc_id][t.start : t.end] for r in got.values() for t in r.terms}
     assert not told & {"the", "of", "and", "copied", "secretword", "passage"}
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean == {r.doc_id: r.text for r in pii.sanitise(docs, most=2).collect()}
     assert len(clean) == len(text)
     assert all("@" not in t for t in clean.values()) and all("zorblat" not in clean[i] and "[EMAIL]" in clean[i] for i in range(6))
     assert all(clean[i] == text[i] for i in range(6, 120))
