@@ -35,7 +35,7 @@ _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(
 class Words:
     """Word hashes of texts: white-space tokens in lower case without their punctuation."""
 
-    def __init__(self, cache: int = 1 << 20):
+    def __init__(self, cache: int = 300_000):
         self.known: dict[str, int] = {}
         self.cache = cache
 
@@ -148,7 +148,7 @@ class Seeds:
 class Aligner:
     """Leaks of a block of items in one text; outcomes for equal passages are kept."""
 
-    def __init__(self, items: Items, cache: int = 1 << 16):
+    def __init__(self, items: Items, cache: int = 1 << 13):
         self.items, self.cache, self.words, self.known = items, cache, shared_words(), {}
         self.seeds = {n: Seeds(s) for n, s in items.seeds.items() if len(s)}
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatgraph.llm.labelled import fold
+from heatgraph.llm.labelled import fit_in_task, fold
 from heatgraph.llm.tables import slices, texts
 
 #: Most trusted positives and most unlabelled rows that the classifier is fitted on.
@@ -153,8 +153,8 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
     return net, prior
 
 
-def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Features of the rows with these ids, computed on the executors."""
+def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, x)``: features of the rows with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -163,8 +163,7 @@ def _sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> np.n
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
-    rows = source.mapInArrow(run, f"id {kind}, x array<double>").collect()
-    return np.array([r["x"] for r in sorted(rows, key=lambda r: (r["id"], r["x"]))])
+    return source.mapInArrow(run, f"id {kind}, x array<double>")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", positives: int = MOST_POSITIVE, unlabelled: int = MOST_UNLABELLED) -> tuple[Net, float]:
@@ -173,7 +172,12 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
     trusted = trusted.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(positives)
     web = docs.select(F.col(id_col).alias("id")).where("id is not null").where(fold("id") != 0)
     web = web.distinct().orderBy(F.xxhash64(F.lit("web"), "id"), "id").limit(unlabelled)
-    return train(_sample(docs, trusted, id_col, text_col), _sample(docs, web, id_col, text_col))
+    good, other = (_sample(docs, ids, id_col, text_col).withColumn("trusted", F.lit(v)) for ids, v in ((trusted, True), (web, False)))
+
+    def fit(held: list[tuple]) -> tuple[Net, float]:
+        return train(*(np.array([x for _, x, t in held if t == v]) for v in (True, False)))
+
+    return fit_in_task(good.unionByName(other), fit)
 
 
 def scores(docs: DataFrame, net: Net, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

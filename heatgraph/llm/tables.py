@@ -8,7 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows in an Arrow batch: texts may be long, and Spark's own 10,000 of them needn't fit in a worker.
+ROWS_PER_BATCH = 500
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; from then on the session hands Python at most ``ROWS_PER_BATCH`` rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +30,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
         step = max(1, min(rows, int(rows * limit / max(size, 1)) or 1))
         for start in range(0, rows, step):
             yield batch.slice(start, step)
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

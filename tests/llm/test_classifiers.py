@@ -25,9 +25,9 @@ def test_folds_and_sample(spark, tables):
     docs, labels, truth = tables
     for r in docs.select("doc_id", labelled.fold().alias("f")).collect():
         assert r.f == zlib.crc32(str(r.doc_id).encode()) % 5
-    rows = labelled.sample(docs, labels, "toxic", 20)
-    assert sum(y == 0 for _, y, _ in rows) == 20 and all(f for _, _, f in rows)
-    assert rows == labelled.sample(docs.repartition(7), labels.repartition(3), "toxic", 20)
+    rows = labelled.sample(docs, labels, "toxic", 20).collect()
+    assert sum(r.label == 0 for r in rows) == 20 and all(r.fold for r in rows)
+    assert sorted(rows) == sorted(labelled.sample(docs.repartition(7), labels.repartition(3), "toxic", 20).collect())
 
 
 def test_quality_held_out(spark, tables):
