@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -72,7 +72,7 @@ def permuted_blocks(blocks: DataFrame, order: DataFrame, perms: int = 1, seed: i
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block").reset_index(drop=True)
         first = rows.iloc[0]
-        digest = __import__("zlib").crc32(f"{first['sample']}|{first['chromo']}".encode())
+        digest = zlib.crc32(f"{first['sample']}|{first['chromo']}".encode())
         rng = np.random.default_rng([seed, int(first["perm_id"]), digest])
         taken = np.zeros(int(first["length"]) + 2, bool)  # shifted by one, with a border at each end
         starts = []
