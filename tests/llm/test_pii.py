@@ -2,8 +2,6 @@ import hashlib
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from heatgraph.llm import pii
 
 KINDS = ("email", "ip", "card", "phone")
