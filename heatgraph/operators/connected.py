@@ -45,9 +45,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nulls on either side are not edges; self loops and repeated edges change nothing except that a
     vertex with only a self loop is its own component. An empty edge table gives an empty result.
     """
-    edges = edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    loops = edges.where(F.col("u") == F.col("v")).select(F.col("u").alias("node"), F.col("u").alias("component"))
-    star = cut(_down(edges))
+    known = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull())
+    known = cut(known.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    loops = known.where(F.col("u") == F.col("v")).select(F.col("u").alias("node"), F.col("u").alias("component"))
+    star = known.where(F.col("u") != F.col("v"))
     seen = _state(star)
     for _ in range(max_rounds):
         if not seen[0]:
