@@ -1,10 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The document frequency of every word 3-gram of every test item is counted over the whole corpus. In
-each window of three consecutive 3-grams of an item the rarest is a seed, so every verbatim run of
-five item words holds one, and rarity only ranks an item's own 3-grams: an item leaked into a third
-of all documents keeps its seeds. A document passage around a seed whose words could reach the score
-at all is aligned with the item word by word (match +1, mismatch and gap -1).
+An alignment (match +1, mismatch and gap -1) of ``m`` matches and ``e`` edits scores ``m - e``. Its
+matches stand in at most ``e + 1`` runs, so a score ``s`` holds ``s - 1`` or more word 2-grams of the
+item. The document frequency of every 2-gram of every test item is counted over the whole corpus;
+2-grams that no document holds can't be among them. Of the others, all but the ``s - 1 - VOTES`` most
+frequent are seeds, so every alignment that reaches the score holds ``VOTES`` seeds (or all its
+2-grams, if those are fewer). Rarity only ranks an item's own 2-grams: an item leaked into a third of
+all documents keeps its seeds. Document passages with so many seeds on near diagonals whose words
+could reach the score at all are aligned with the item word by word. No leak is missed.
 
 Items go out in blocks of a fixed number, each broadcast and compared with all documents.
 """
@@ -23,13 +26,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from heatgraph.llm.tables import slices, texts
 
-GRAM = 3
-WINDOW = 3
+GRAM = 2
+VOTES = 2
 THRESHOLD = 0.5
 LEAST = 6
 BLOCK = 20_000
 _NOT_WORD = re.compile(r"[\W_]+")
-_FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(GRAM)], np.uint64)
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(3)], np.uint64)
 
 
 class Words:
@@ -98,26 +101,32 @@ class Items:
     def __init__(self, ids: list, words: list[np.ndarray], threshold: float, least: int):
         self.ids, self.words, self.threshold = ids, words, threshold
         self.least = [min(len(w), max(least, int(np.ceil(threshold * len(w))))) for w in words]
-        self.grams = {n: [grams(w, n) if min(GRAM, len(w)) == n else np.zeros(0, np.uint64) for w in words] for n in range(1, GRAM + 1)}
+        self.sizes = [min(GRAM, m) for m in self.least]
+        self.grams = {n: [grams(w, n) if size == n else np.zeros(0, np.uint64) for w, size in zip(words, self.sizes)] for n in range(1, GRAM + 1)}
         self.sorted = [np.unique(w) for w in words]
+        self.length = np.array([len(w) for w in words], np.int64)
+        self.slack = self.length - np.array(self.least, np.int64)  # edits of an alignment that reaches the score, at most
+        self.votes = np.array([max(1, min(VOTES, m - n + 1)) for m, n in zip(self.least, self.sizes)], np.int64)
         self.seeds: dict[int, np.ndarray] = {}
-        self.places: dict[int, list[list[tuple[int, int]]]] = {}
+        self.places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def every(self) -> dict[int, np.ndarray]:
-        """All distinct n-grams, by n (shorter than 3 only for items shorter than that)."""
+        """All distinct n-grams, by n (single words only for items that leak by one)."""
         return {n: np.unique(np.concatenate([*g, np.zeros(0, np.uint64)])) for n, g in self.grams.items()}
 
-    def choose(self, frequency: dict[int, dict[int, int]], window: int) -> None:
-        """Seeds: in each window of n-grams the rarest, the first of equals."""
+    def choose(self, frequency: dict[int, dict[int, int]]) -> None:
+        """Seeds: of an item's n-grams in the corpus all but the most frequent, that an alignment can't do with alone."""
         for n, all_grams in self.grams.items():
-            where: dict[int, list[tuple[int, int]]] = {}
+            rows = []
             for i, g in enumerate(all_grams):
                 counts = [frequency[n].get(x, 0) for x in g.tolist()]
-                taken = {min(range(a, min(a + window, len(g))), key=counts.__getitem__) for a in range(max(1, len(g) - window + 1))} if len(g) else ()
-                for at in sorted(taken):
-                    where.setdefault(int(g[at]), []).append((i, at))
-            self.seeds[n] = np.array(sorted(where), np.uint64)
-            self.places[n] = [where[x] for x in sorted(where)]
+                live = sorted((c, at) for at, c in enumerate(counts) if c)
+                held = self.least[i] - n + 1  # by every alignment that reaches the score
+                if len(live) >= held:
+                    rows += [(int(g[at]), i, at) for _, at in live[: len(live) - held + int(self.votes[i])]]
+            rows.sort()
+            self.seeds[n], starts = np.unique(np.array([r[0] for r in rows], np.uint64), return_index=True)
+            self.places[n] = (np.append(starts, len(rows)).astype(np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
 
 
 def _hits(sorted_seeds: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,31 +160,44 @@ class Aligner:
     def __init__(self, items: Items, cache: int = 1 << 13):
         self.items, self.cache, self.words, self.known = items, cache, shared_words(), {}
         self.seeds = {n: Seeds(s) for n, s in items.seeds.items() if len(s)}
+        self.bags = [np.unique(items.grams[n][i]) if n else items.words[i] for i, n in enumerate(items.sizes)]
 
     def _passages(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, start, end) around the seeds; overlapping ones of an item as one."""
-        spans: dict[int, list[tuple[int, int]]] = {}
+        """(item, start, end) around enough seeds on near diagonals; overlapping ones of an item as one."""
         for n, seeds in self.seeds.items():
-            for at, seed in zip(*(x.tolist() for x in seeds.hits(grams(words, n)))):
-                for item, offset in self.items.places[n][seed]:
-                    size = len(self.items.words[item])
-                    slack = size // 2 + 2
-                    spans.setdefault(item, []).append((max(0, at - offset - slack), min(len(words), at - offset + size + slack)))
-        for item, own in spans.items():
-            own.sort()
-            start, end = own[0]
-            for a, b in own[1:]:
-                if a > end:
-                    yield item, start, end
-                    start, end = a, b
-                end = max(end, b)
-            yield item, start, end
+            at, seed = seeds.hits(grams(words, n))
+            if not len(at):
+                continue
+            starts, items, offsets = self.items.places[n]
+            first, count = starts[seed], starts[seed + 1] - starts[seed]
+            place = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+            item, diagonal = items[place], np.repeat(at, count) - offsets[place]
+            order = np.lexsort((diagonal, item))
+            item, diagonal = item[order], diagonal[order]
+            slack, last = self.items.slack[item], np.arange(len(item)) + self.items.votes[item] - 1
+            end = np.minimum(last, len(item) - 1)
+            kept = np.nonzero((last == end) & (item[end] == item) & (diagonal[end] - diagonal <= slack))[0]
+            item, start, slack = item[kept], diagonal[kept], slack[kept]
+            stop = np.minimum(start + self.items.length[item] + slack, len(words)).tolist()
+            now, a, b = None, 0, 0
+            for i, x, y in zip(item.tolist(), np.maximum(start - slack, 0).tolist(), stop):
+                if i == now and x <= b:
+                    b = max(b, y)
+                    continue
+                if now is not None:
+                    yield now, a, b
+                now, a, b = i, x, y
+            if now is not None:
+                yield now, a, b
 
     def _score(self, item: int, passage: np.ndarray) -> tuple[int, int, int]:
         """Score and span in the passage, score 0 if it falls short."""
         own, least = self.items.words[item], self.items.least[item]
         if len(_hits(self.items.sorted[item], passage)[0]) < least:  # no alignment scores more than its matches
             return 0, 0, 0
+        n = self.items.sizes[item]
+        if len(_hits(self.bags[item], grams(passage, n))[0]) < least - n + 1:  # nor has fewer n-grams
+            return 0, 0, 0
         score, i, j = align(own, passage)
         if score < least:
             return 0, 0, 0
@@ -242,7 +264,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     words = Words()
     for rows in _blocks(benchmark, item_col, item_text_col, block):
         items = Items([i for i, _ in rows], [words(t) for _, t in rows], threshold, least)
-        items.choose(_frequencies(docs, text_col, items.every()), WINDOW)
+        items.choose(_frequencies(docs, text_col, items.every()))
         yield items
 
 

@@ -75,3 +75,45 @@ def test_odd_rows(spark):
     assert got == [(0, 9, 6), (3, 0, 1), (3, 0, 1), (3, 9, 6), (3, 9, 6), (4, 9, 6)]
     assert d.leaks(docs.limit(0), bench).collect() == [] and d.leaks(docs, bench.limit(0)).collect() == []
     assert sorted(r.doc_id for r in d.clean(docs, bench).collect()) == [1, 2] and d.clean(docs, bench).columns == docs.columns
+
+
+def test_edited_copies_without_long_runs(spark):
+    """Against the alignment of every item with every whole document, no run of words in common asked for."""
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(400)] + ["the", "of", "and"] * 60
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in [10, 20, 12, 7, 6, 4, 2, 1, *range(15, 40)]]
+    rows = []
+    for item in items:
+        substituted = [w if (at + 1) % 5 else f"x{rng.randrange(999)}" for at, w in enumerate(item)]
+        spread = [x for at, w in enumerate(item) for x in ([w] if at % 2 == 0 else [w, f"y{rng.randrange(999)}"])]
+        dropped = [w for w in item if rng.random() > 0.15]
+        for copy in (substituted, spread, dropped):
+            around = [[rng.choice(vocabulary) for _ in range(rng.randrange(60))] for _ in range(2)]
+            rows.append((len(rows), " ".join(around[0] + copy + around[1])))
+    rows += [(len(rows) + k, " ".join(rng.choice(vocabulary) for _ in range(200))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    words = d.Words()
+    want = {}
+    for k, text in rows:
+        for i, item in enumerate(items):
+            score = d.align(words(" ".join(item)), words(text))[0]
+            if score >= min(len(item), max(6, -(-len(item) // 2))):
+                want[k, i] = score
+    assert {(0, 0), (3, 1), (4, 1)} <= want.keys()
+    assert {(r.doc_id, r.item_id): r.score for r in d.leaks(docs, bench, block=9).collect()} == want
+    assert {r.doc_id for r in d.clean(docs, bench).collect()} == {k for k, _ in rows} - {k for k, _ in want}
+
+
+def test_documents_against_all_alignments(spark, sf):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    words = d.Words()
+    items = {r.item_id: words(r.text) for r in bench.collect()}
+    want = {}
+    for r in docs.collect():
+        text = words(r.text)
+        for i, w in items.items():
+            score = d.align(w, text)[0]
+            if score >= max(6, 0.5 * len(w)):
+                want[r.doc_id, i] = score
+    assert {(r.doc_id, r.item_id): r.score for r in d.leaks(docs, bench).collect()} == want
