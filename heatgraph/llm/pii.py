@@ -1,12 +1,13 @@
 """Personal data: fixed patterns, and terms that give protected entities away.
 
 The patterns find the entities (mail addresses, IPv4 addresses, card and phone numbers). Corpus
-co-occurrence then estimates how much a term near an entity tells about it, in the way of
+co-occurrence by document then estimates how much a term tells about an entity, in the way of
 information-theoretic sanitisation: with ``p`` the share of documents, the disclosure of entity ``e``
 by term ``t`` is ``PMI(t, e) / IC(e) = log(p(t, e) / (p(t) p(e))) / -log p(e)``, 1 if the term
 determines the entity and 0 if they are independent. Terms at or above ``GENERALISE`` are
-generalised to their shape, those at or above ``REMOVE`` removed. A pair counts only if it was seen
-in ``SUPPORT`` different surroundings, so that mere copies of one passage prove nothing.
+generalised to their shape, those at or above ``REMOVE`` removed, wherever they are, also in documents
+without any entity. A pair counts only if the entity was seen in ``SUPPORT`` different surroundings in
+documents with the term, so that mere copies of one passage prove nothing.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from heatgraph.llm.tables import slices, texts
 from heatgraph.plans.bounded import join_checked
@@ -30,6 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 GENERALISE, REMOVE = 0.8, 0.95
 SUPPORT = 3
 WINDOW = 8
+BLOCK = 1_000_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,8 +91,8 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 
 
-def surroundings(text: str, spans: list[Span], window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """``(entity, around, term, start, end)`` of the terms up to ``window`` words from each entity in its line."""
+def _outside(spans: list[Span]) -> Callable[[re.Match], bool]:
+    """Whether a match touches no span."""
     starts, ends = [], []  # the spans without overlaps
     for _, a, b in spans:
         if ends and a < ends[-1]:
@@ -102,8 +105,18 @@ def surroundings(text: str, spans: list[Span], window: int) -> Iterator[tuple[in
         i = bisect_left(starts, m.end())
         return i == 0 or ends[i - 1] <= m.start()
 
+    return free
+
+
+def _entity(text: str, span: Span) -> int:
+    return _hash(f"{span[0]}|{text[span[1] : span[2]].lower()}")
+
+
+def surroundings(text: str, spans: list[Span], window: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """``(entity, around, term, start, end)`` of the terms up to ``window`` words from each entity in its line."""
+    free = _outside(spans)
     for kind, a, b in spans:
-        entity = _hash(f"{kind}|{text[a:b].lower()}")
+        entity = _entity(text, (kind, a, b))
         reach = 40 * window
         low = max(text.rfind("\n", 0, a) + 1, a - reach)
         stop = text.find("\n", b)
@@ -116,6 +129,17 @@ def surroundings(text: str, spans: list[Span], window: int) -> Iterator[tuple[in
                 yield entity, around, _hash(m.group().lower()), *m.span()
 
 
+def evidence(text: str, spans: list[Span], window: int) -> tuple[dict[int, set[int]], set[int]]:
+    """The entities with their surroundings (``window`` words each side, over line ends), and all terms of the text."""
+    free = _outside(spans)
+    places: dict[int, set[int]] = {}
+    for kind, a, b in spans:
+        left = [m.group().lower() for m in _TERM.finditer(text, max(0, a - 40 * window), a)][-window:]
+        right = [m.group().lower() for m in _TERM.finditer(text, b, min(len(text), b + 40 * window))][:window]
+        places.setdefault(_entity(text, (kind, a, b)), set()).add(_hash(" ".join([*left, "", *right])))
+    return places, {_hash(w) for w in {m.group().lower() for m in _TERM.finditer(text) if free(m)}}
+
+
 _FOUND = "id {kind}, digest bigint, base array<struct<kind:string,start:bigint,end:bigint>>, near array<struct<entity:bigint,around:bigint,term:bigint,start:bigint,end:bigint>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _NEAR = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "around", "term", "start", "end")]))
@@ -141,6 +165,32 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
     return source.mapInArrow(run, _FOUND.format(kind=kind))
 
 
+_PLACES = pa.list_(pa.struct([("entity", pa.int64()), ("arounds", pa.list_(pa.int64()))]))
+
+
+def _evidence(docs: DataFrame, id_col: str, text_col: str, window: int, support: int) -> DataFrame:
+    """``(id, digest, places, words)`` of the documents with entities; of a document ``support`` surroundings do."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows, digest, places, words = [], [], [], []
+            for i, t in enumerate(texts(batch)):
+                if spans := base_spans(t):
+                    seen, terms = evidence(t, spans, window)
+                    rows.append(i)
+                    digest.append(_hash(t))
+                    places.append([{"entity": e, "arounds": sorted(a)[: max(1, support)]} for e, a in seen.items()])
+                    words.append(list(terms))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(digest, pa.int64()), pa.array(places, _PLACES), pa.array(words, pa.list_(pa.int64()))],
+                ["id", "digest", "places", "words"],
+            )
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, f"id {kind}, digest bigint, places array<struct<entity:bigint,arounds:array<bigint>>>, words array<bigint>")
+
+
 def _document_counts(docs: DataFrame, text_col: str, flush: int = 400_000) -> DataFrame:
     """``(term, df)``: in how many documents each term is, all documents; summed first in each task."""
 
@@ -153,7 +203,7 @@ def _document_counts(docs: DataFrame, text_col: str, flush: int = 400_000) -> Da
 
         for batch in slices(batches, "text"):
             for text in texts(batch):
-                counts.update(set(_TERM.findall(text.lower())))
+                counts.update({w.lower() for w in set(_TERM.findall(text))})
             if len(counts) > flush:
                 yield out()
                 counts.clear()
@@ -163,12 +213,8 @@ def _document_counts(docs: DataFrame, text_col: str, flush: int = 400_000) -> Da
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """``(entity, term, disclosure)`` of every pair with enough support, from counts over all documents."""
-    seen = found.where(F.size("near") > 0).select("id", "digest", F.explode("near").alias("x")).select("id", "digest", "x.entity", "x.around", "x.term")
-    places = seen.groupBy("entity", "term", "around").agg(F.countDistinct("id", "digest").alias("n"))
-    pairs = places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("both")).where(F.col("support") >= support)
-    entities = seen.select("entity", "id", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+def _estimated(pairs: DataFrame, entities: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """``(entity, term, disclosure)`` of ``pairs`` in ``both`` and of ``entities`` in ``of_entity`` documents."""
     known = cut(pairs.join(entities, "entity"))
     total = F.lit(max(1, docs.count())).cast("double")
     counted = known.join(_document_counts(docs, text_col), "term")
@@ -177,6 +223,113 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", suppo
     return counted.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure"))
 
 
+def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
+    """``(entity, term, disclosure)`` of the pairs seen near each other with enough support, from counts over all documents."""
+    seen = found.where(F.size("near") > 0).select("id", "digest", F.explode("near").alias("x")).select("id", "digest", "x.entity", "x.around", "x.term")
+    places = seen.groupBy("entity", "term", "around").agg(F.countDistinct("id", "digest").alias("n"))
+    pairs = places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("both")).where(F.col("support") >= support)
+    entities = seen.select("entity", "id", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    return _estimated(pairs, entities, docs, text_col)
+
+
+def document_disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
+    """``(entity, term, disclosure)`` of the pairs in the same documents, however far apart, with enough support.
+
+    Only entities with enough surroundings at all are paired with the terms of their documents.
+    """
+    found = cut(_evidence(docs, id_col, text_col, window, support))
+    seen = found.select("id", "digest", F.explode("places").alias("x")).select("id", "digest", "x.entity", "x.arounds").dropDuplicates(["id", "digest", "entity"])
+    enough = seen.select("entity", F.explode("arounds").alias("around")).groupBy("entity").agg(F.countDistinct("around").alias("n")).where(F.col("n") >= support)
+    placed = cut(seen.join(enough.select("entity"), "entity"))
+    entities = placed.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
+    words = found.select("id", "digest", "words").alias("w")
+    held = placed.select("id", "digest").distinct().alias("h")
+    same = lambda x: F.col("w.id").eqNullSafe(F.col(f"{x}.id")) & (F.col("w.digest") == F.col(f"{x}.digest"))
+    words = words.join(held, same("h"), "left_semi").dropDuplicates(["id", "digest"]).alias("w")
+    both = join_checked(words, cut(placed).alias("p"), same("p"), "inner").select("p.entity", "p.arounds", F.explode("w.words").alias("term"))
+    # a document counts at the first of its surroundings
+    spread = both.select("entity", "term", F.posexplode("arounds").alias("at", "around"))
+    places = spread.groupBy("entity", "term", "around").agg(F.count_if(F.col("at") == 0).alias("n"))
+    pairs = places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("both")).where(F.col("support") >= support)
+    return _estimated(pairs, entities, docs, text_col)
+
+
+def disclosing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
+    """``(term, disclosure)``: the terms that disclose any entity, with the most that they disclose."""
+    told = document_disclosures(docs, id_col, text_col, support, window).where(F.col("disclosure") >= generalise)
+    return cut(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+
+
+class Told:
+    """The disclosing terms of a block, looked up by spelling."""
+
+    def __init__(self, terms: np.ndarray, disclosure: np.ndarray, cache: int = 1 << 18):
+        self.terms, self.disclosure, self.cache, self.known = terms, disclosure, cache, {}
+
+    def _look(self, word: str) -> float:
+        key = _hash(word.lower())
+        at = int(np.searchsorted(self.terms, key))
+        return float(self.disclosure[at]) if at < len(self.terms) and self.terms[at] == key else 0.0
+
+    def __call__(self, text: str, spans: list[Span]) -> list[tuple[int, int, float]]:
+        """``(start, end, disclosure)`` of every place of the terms outside the spans."""
+        if not len(self.terms):
+            return []
+        if len(self.known) > self.cache:
+            self.known.clear()
+        known, told = self.known, False
+        for word in set(_TERM.findall(text)):
+            found = known.get(word)
+            if found is None:
+                found = known[word] = self._look(word)
+            told = told or found > 0
+        if not told:
+            return []
+        free = _outside(spans)
+        return [(*m.span(), known[m.group()]) for m in _TERM.finditer(text) if known.get(m.group()) and free(m)]
+
+
+def _blocks(told: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The terms in sorted blocks, read one after the other; at least one."""
+    held: list = []
+    first = True
+    for row in told.orderBy("term").toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            yield np.array([r["term"] for r in held], np.int64), np.array([r["disclosure"] for r in held])
+            held, first = [], False
+    if held or first:
+        yield np.array([r["term"] for r in held], np.int64), np.array([r["disclosure"] for r in held], float)
+
+
+_TERMS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("disclosure", pa.float64())]))
+
+
+def _marked(docs: DataFrame, text_col: str, told: DataFrame, block: int) -> DataFrame:
+    """``docs`` with ``_terms``: the places of all disclosing terms, by start. Block after block, in one pass of tasks."""
+    sc, names = docs.sparkSession.sparkContext, docs.columns
+
+    def scan(shared, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = Told(*shared.value)
+            for batch in slices(batches, text_col):
+                own = list(batch.columns[: len(names)])
+                before = [[]] * batch.num_rows if first else batch.column(len(names)).to_pylist()
+                found = [[*b, *({"start": x, "end": y, "disclosure": d} for x, y, d in find(t, base_spans(t)))] for t, b in zip(texts(batch, text_col), before)]
+                if not first:
+                    found = [sorted(f, key=lambda x: x["start"]) for f in found]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(found, _TERMS)], [*names, "_terms"])
+
+        return run
+
+    kind = StructType.fromDDL("_terms array<struct<start:bigint,end:bigint,disclosure:double>>")
+    schema = StructType([*docs.schema.fields, *kind.fields])
+    out = None
+    for part in _blocks(told, block):
+        out = (docs if out is None else out).mapInArrow(scan(sc.broadcast(part), out is None), schema)
+    return out
+
+
 def personal_data(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -184,27 +337,29 @@ def personal_data(
     generalise: float = GENERALISE,
     support: int = SUPPORT,
     window: int = WINDOW,
+    most: int = BLOCK,
 ) -> DataFrame:
     """``(id_col, digest, base, terms)`` for every row: spans of the patterns, and of disclosing terms.
 
-    ``terms`` has ``(start, end, disclosure)`` by start; offsets are code points, ends exclusive; terms
-    never overlap base spans. ``digest`` (hash of the text) tells rows of one id apart. Null texts are
-    empty and have no spans. Repeated rows and null ids come back as given; an empty table gives an
-    empty result; other columns are not read.
+    ``terms`` has ``(start, end, disclosure)`` by start, every place of a term that discloses an entity,
+    whether that is in the text or not; offsets are code points, ends exclusive; terms never overlap
+    base spans. ``digest`` (hash of the text) tells rows of one id apart. Null texts are empty and have
+    no spans. Repeated rows and null ids come back as given; an empty table gives an empty result;
+    other columns are not read. Terms go out in broadcast blocks of ``most``.
     """
-    found = cut(_scan(docs, id_col, text_col, window))
-    told = cut(disclosures(found, docs, text_col, support).where(F.col("disclosure") >= generalise))
-    near = found.where(F.size("near") > 0).select("id", "digest", F.explode("near").alias("x")).select("id", "digest", "x.entity", "x.term", "x.start", "x.end").distinct()
-    hits = join_checked(near, told, ["entity", "term"], "inner")
-    best = hits.groupBy("id", "digest", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = best.groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    keyed = found.select("id", "digest", "base").alias("f")
-    terms = terms.alias("t")
-    same = F.col("f.id").eqNullSafe(F.col("t.id")) & (F.col("f.digest") == F.col("t.digest"))
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,disclosure:double>>)")
-    return keyed.join(terms, same, "left").select(
-        F.col("f.id").alias(id_col), F.col("f.digest").alias("digest"), F.col("f.base").alias("base"), F.coalesce(F.col("t.terms"), none).alias("terms")
-    )
+    told = disclosing(docs, id_col, text_col, generalise, support, window)
+    marked = _marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", told, most)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = texts(batch)
+            base = [[{"kind": k, "start": a, "end": b} for k, a, b in base_spans(t)] for t in found]
+            digest = [_hash(t) for t in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), pa.array(base, _SPANS), batch.column(2)], ["id", "digest", "base", "terms"])
+
+    schema = f"id {kind}, digest bigint, base array<struct<kind:string,start:bigint,end:bigint>>, terms array<struct<start:bigint,end:bigint,disclosure:double>>"
+    return marked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def span_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -241,47 +396,32 @@ def sanitised(text: str, base: list[Span], terms: list[tuple[int, int, float]],
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 100_000, **parameters) -> DataFrame:
+def sanitise(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most: int = BLOCK,
+    generalise: float = GENERALISE,
+    support: int = SUPPORT,
+    window: int = WINDOW,
+) -> DataFrame:
     """``docs`` with sanitised texts, all columns and rows kept; ``n_chars``, if there, follows the text.
 
-    Texts do not move: the patterns are found again where the text is. The disclosing terms of a row
-    go to it as a broadcast table by digest of the text, if at most ``most`` rows have any; beyond that
-    they are joined to the rows. Null and empty texts stay as they are.
+    Texts do not move: patterns and terms are found again where the text is, the terms by broadcast
+    blocks of ``most``. Null and empty texts stay as they are.
     """
-    found = personal_data(docs, id_col, text_col, **parameters)
-    told = cut(found.where(F.size("terms") > 0).select(F.col("digest").alias("_digest"), F.col("terms").alias("_terms")).dropDuplicates(["_digest"]))
+    told = disclosing(docs, id_col, text_col, generalise, support, window)
     columns, schema = docs.columns, docs.schema
     at = columns.index(text_col)
 
-    def edited(batch: pa.RecordBatch, terms) -> pa.RecordBatch:
-        kept = list(batch.columns[: len(columns)])
-        new = [None if t is None else sanitised(t, base_spans(t), terms(i, t)) for i, t in enumerate(kept[at].to_pylist())]
-        kept[at] = pa.array(new, pa.string())
-        if "n_chars" in columns:
-            i = columns.index("n_chars")
-            kept[i] = pa.array([o if t is None else len(t) for t, o in zip(new, kept[i].to_pylist())], pa.int64()).cast(kept[i].type)
-        return pa.RecordBatch.from_arrays(kept, columns)
-
-    if told.limit(most + 1).count() <= most:
-        table = {r["_digest"]: [tuple(t) for t in r["_terms"]] for r in told.collect()}
-        shared = docs.sparkSession.sparkContext.broadcast(table)
-
-        def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            for batch in slices(batches, text_col):
-                yield edited(batch, lambda i, t: known.get(_hash(t), ()) if known else ())
-
-        return docs.mapInArrow(rewrite, schema)
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            made = pa.array([_hash(t) for t in texts(batch, text_col)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "_digest"])
-
-    def rewrite_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            extra = batch.columns[-1].to_pylist()
-            yield edited(batch, lambda i, t: [(x["start"], x["end"], x["disclosure"]) for x in extra[i] or ()])
-
-    keyed = docs.mapInArrow(digests, StructType([*schema.fields, StructField("_digest", LongType())]))
-    return keyed.join(told, "_digest", "left").select(*columns, "_terms").mapInArrow(rewrite_joined, schema)
+            kept, terms = list(batch.columns[:-1]), batch.column(len(columns)).to_pylist()
+            new = [None if t is None else sanitised(t, base_spans(t), [(x["start"], x["end"], x["disclosure"]) for x in own]) for t, own in zip(kept[at].to_pylist(), terms)]
+            kept[at] = pa.array(new, pa.string())
+            if "n_chars" in columns:
+                i = columns.index("n_chars")
+                kept[i] = pa.array([o if t is None else len(t) for t, o in zip(new, kept[i].to_pylist())], pa.int64()).cast(kept[i].type)
+            yield pa.RecordBatch.from_arrays(kept, columns)
+
+    return _marked(docs, text_col, told, most).mapInArrow(rewrite, schema)

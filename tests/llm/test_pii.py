@@ -106,3 +106,53 @@ def test_odd_rows(spark):
     assert {(1, None, None), (2, "", 0), (3, "[EMAIL]", 7)} <= clean and pii.sanitise(frame).columns == frame.columns
     none = spark.createDataFrame([], schema)
     assert pii.span_digest(pii.personal_data(none)).collect() == [] and pii.sanitise(none).collect() == []
+
+
+def far_apart(spark):
+    """zorblat goes with bob's address, but never in its line nor within 8 words; once without any address."""
+    rng = random.Random(7)
+    filler = lambda n: " ".join(rng.choice(["the", "of", "and", "to", "as"]) + f" w{rng.randrange(50)}" for _ in range(n))
+    rows = [(i, f"Name: Zorblat\n{filler(12)}\n{filler(3)}\nEmail: bob@x.org\n{filler(4)}") for i in range(30)]
+    rows += [(30, f"{filler(9)} ZORBLAT {filler(9)}"), (31, "zorblat")]
+    rows += [(i, f"Name: other\n{filler(20)}\nEmail: none") for i in range(40, 600)] + [(i, f"Name: other\n{filler(4)} eve{i}@y.org {filler(3)}") for i in range(600, 620)]
+    rows += [(i, "copied secretword of a passage\nsue@z.org") for i in range(620, 640)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_disclosing_terms_far_from_the_entity(spark):
+    docs = far_apart(spark)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: [text[r.doc_id][t.start : t.end] for t in r.terms] for r in pii.personal_data(docs).collect()}
+    assert all([w.lower() for w in got[i]].count("zorblat") == 1 for i in range(32))
+    assert {w.lower() for ws in got.values() for w in ws} == {"zorblat"}
+    assert got == {r.doc_id: [text[r.doc_id][t.start : t.end] for t in r.terms] for r in pii.personal_data(docs, most=1).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("zorblat" not in t.lower() for t in clean.values()) and len(clean) == len(text)
+    assert all("secretword" in clean[i] for i in range(620, 640))
+
+
+def test_document_disclosure_matches_brute_force(spark):
+    import math
+
+    docs = far_apart(spark).unionByName(revealing(spark).selectExpr("doc_id + 1000 as doc_id", "text"))
+    docs = docs.unionByName(docs.where("doc_id < 5"))
+    rows = {(r.doc_id, r.text) for r in docs.collect()}
+    both, around, ent, df = {}, {}, {}, {}
+    for key in rows:
+        spans = pii.base_spans(key[1])
+        places, _ = pii.evidence(key[1], spans, pii.WINDOW)
+        inside = {i for _, a, b in spans for i in range(a, b)}
+        for w in {m.group().lower() for m in re.finditer(r"\w+", key[1]) if not inside & set(range(*m.span()))}:
+            for e, a in places.items():
+                both.setdefault((e, pii._hash(w)), set()).add(key)
+                around.setdefault((e, pii._hash(w)), set()).update(a)
+        for e in places:
+            ent.setdefault(e, set()).add(key)
+    n = 0
+    for r in docs.collect():
+        n += 1
+        for w in set(re.findall(r"\w+", r.text.lower())):
+            df[pii._hash(w)] = df.get(pii._hash(w), 0) + 1
+    want = {k: math.log(n * len(v) / (df[k[1]] * len(ent[k[0]]))) / math.log(n / len(ent[k[0]])) for k, v in both.items() if len(around[k]) >= pii.SUPPORT}
+    got = {(r.entity, r.term): r.disclosure for r in pii.document_disclosures(docs).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
