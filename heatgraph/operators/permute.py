@@ -57,11 +57,24 @@ def cna_blocks(cnas: DataFrame, order: DataFrame) -> DataFrame:
     return running.groupBy("sample", "chromo", "block").agg(F.min("mut_type").alias("mut_type"), F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"))
 
 
-def permuted_blocks(blocks: DataFrame, order: DataFrame, perms: int = 1, seed: int = 42, attempts: int = 10) -> DataFrame:
+def _spread(sizes: list[int], length: int, rng: np.random.Generator) -> list[int]:
+    """Starts of all blocks in random order, the free places dealt over the gaps: never fails if they fit apart."""
+    spare = length - sum(sizes) - len(sizes) + 1
+    gaps = np.sort(rng.integers(0, spare + 1, len(sizes)))
+    starts, used = [0] * len(sizes), 0
+    for gap, i in zip(gaps.tolist(), rng.permutation(len(sizes)).tolist()):
+        starts[i] = gap + used
+        used += sizes[i] + 1
+    return starts
+
+
+def permuted_blocks(blocks: DataFrame, order: DataFrame, perms: int = 1, seed: int = 42, attempts: int = 10, crowded: bool = False) -> DataFrame:
     """``(perm_id, sample, chromo, block, mut_type, start, n)``: blocks placed at random in their chromosome.
 
-    Blocks neither overlap nor touch. After some failed attempts a place is chosen among all free ones,
-    and it is an error if there is none.
+    Blocks neither overlap nor touch. After some failed attempts a place is chosen among all free ones;
+    if there is none, all blocks of the chromosome are placed anew in random order with random gaps. If
+    they don't fit apart at all, it is an error, or with ``crowded`` each is placed for itself, so that
+    they may touch or overlap, as changes of two kinds do in samples themselves. No block is left out.
     """
     lengths = order.groupBy("chromo").agg((F.max("pos") - F.min("pos") + 1).alias("length"), F.min("pos").alias("origin"))
     ids = blocks.sparkSession.range(1, perms + 1).withColumnRenamed("id", "perm_id")
@@ -69,25 +82,38 @@ def permuted_blocks(blocks: DataFrame, order: DataFrame, perms: int = 1, seed: i
     kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
     schema = f"perm_id bigint, sample {kinds['sample']}, chromo {kinds['chromo']}, block bigint, mut_type string, start bigint, n bigint"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block").reset_index(drop=True)
-        first = rows.iloc[0]
-        digest = zlib.crc32(f"{first['sample']}|{first['chromo']}".encode())
-        rng = np.random.default_rng([seed, int(first["perm_id"]), digest])
-        taken = np.zeros(int(first["length"]) + 2, bool)  # shifted by one, with a border at each end
+    def placed(sizes: list[int], length: int, rng: np.random.Generator) -> list[int] | None:
+        """One block after the other, or None if one finds no room."""
+        taken = np.zeros(length + 2, bool)  # shifted by one, with a border at each end
         starts = []
-        for n in rows["n"]:
-            room = int(first["length"]) - int(n) + 1
-            fits = lambda s: not taken[s + 1 : s + 1 + int(n)].any()  # noqa: E731,B023
+        for n in sizes:
+            room = length - n + 1
+            fits = lambda s: not taken[s + 1 : s + 1 + n].any()  # noqa: E731,B023
             tries = rng.integers(0, room, attempts).tolist() if room > 0 else []
             at = next((s for s in tries if fits(s)), None)
             if at is None:
                 free = [s for s in range(room) if fits(s)]
                 if not free:
-                    raise RuntimeError("no room for a block")
+                    return None
                 at = int(rng.choice(free))
-            taken[at : at + int(n) + 2] = True
-            starts.append(at + int(first["origin"]))
+            taken[at : at + n + 2] = True
+            starts.append(at)
+        return starts
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block").reset_index(drop=True)
+        first = rows.iloc[0]
+        digest = zlib.crc32(f"{first['sample']}|{first['chromo']}".encode())
+        rng = np.random.default_rng([seed, int(first["perm_id"]), digest])
+        length, sizes = int(first["length"]), [int(n) for n in rows["n"]]
+        starts = placed(sizes, length, rng)
+        if starts is None and sum(sizes) + len(sizes) - 1 <= length:
+            starts = _spread(sizes, length, rng)
+        if starts is None:
+            if not crowded or max(sizes) > length:
+                raise RuntimeError("no room for a block")
+            starts = [int(rng.integers(0, length - n + 1)) for n in sizes]
+        starts = [at + int(first["origin"]) for at in starts]
         rows["start"] = starts
         return rows[["perm_id", "sample", "chromo", "block", "mut_type", "start", "n"]]
 
@@ -100,10 +126,10 @@ def block_genes(blocks: DataFrame, order: DataFrame) -> DataFrame:
     return at.join(order.select("chromo", "pos", "gene"), ["chromo", "pos"]).select("perm_id", "sample", "gene", "mut_type")
 
 
-def permuted_mutation_heat(samples: DataFrame, genes: DataFrame, blocks: DataFrame, order: DataFrame, bmr: float, min_freq: int = 1, perms: int = 1, seed: int = 42) -> DataFrame:
+def permuted_mutation_heat(samples: DataFrame, genes: DataFrame, blocks: DataFrame, order: DataFrame, bmr: float, min_freq: int = 1, perms: int = 1, seed: int = 42, crowded: bool = False) -> DataFrame:
     """``(perm_id, node, score)``: mutation heat of permuted variants and blocks; untested genes are left out."""
     points = permuted_snvs(samples, genes, bmr, None, perms, seed).withColumn("mut_type", F.lit("snv"))
-    every = points.unionByName(block_genes(permuted_blocks(blocks, order, perms, seed), order)).join(genes.select("gene"), "gene", "left_semi")
+    every = points.unionByName(block_genes(permuted_blocks(blocks, order, perms, seed, crowded=crowded), order)).join(genes.select("gene"), "gene", "left_semi")
     flags = every.groupBy("perm_id", "gene", "sample").agg(F.max((F.col("mut_type") == "snv").cast("int")).alias("s"), F.max((F.col("mut_type") != "snv").cast("int")).alias("c"))
     counted = flags.groupBy("perm_id", "gene").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("both"))
     n = samples.select("sample").distinct().count()

@@ -247,8 +247,8 @@ def cna_block_permutation_invariants(spark, sf_dir):
 @query()
 def mutation_permutation_heat(spark, sf_dir):
     genes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), (F.col("p_size") + 1).alias("length"))
-    people = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("sample"))
-    return permute.permuted_mutation_heat(people, genes, _few(spark, sf_dir), _order(spark, sf_dir), 0.001, perms=2)
+    people = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample"))
+    return permute.permuted_mutation_heat(people, genes, _blocks(spark, sf_dir), _order(spark, sf_dir), 0.001, perms=2, crowded=True)
 
 
 @query(f"with {SIM} select src, dst, round(w, 9) as w from (select *, row_number() over (order by w desc, src, dst) as r, count(*) over () as n from sim) where r <= floor(0.05 * n)")

@@ -170,3 +170,50 @@ def test_union_find():
     sets = graph.UnionFind(5)
     assert sets.union(0, 1) and sets.union(1, 2) and sets.union(0, 2) is None
     assert sets.size[sets.find(2)] == 3 and sets.find(3) == 3
+
+
+def test_all_blocks_of_all_samples_are_permuted(spark):
+    from heatgraph.operators import permute
+    from heatgraph.queries import network as queries
+
+    for sf, apart in (("sf0.01", True), ("sf0.001", False)):
+        blocks, order = queries._blocks(spark, f"/root/testdata/{sf}"), queries._order(spark, f"/root/testdata/{sf}")
+        ends = {r.chromo: r.n for r in order.groupBy("chromo").count().withColumnRenamed("count", "n").collect()}
+        want = sorted((r.sample, r.chromo, r.block, r.mut_type, r.n) for r in blocks.collect())
+        placed = permute.permuted_blocks(blocks, order, 1, crowded=not apart).collect()
+        assert sorted((r.sample, r.chromo, r.block, r.mut_type, r.n) for r in placed) == want
+        assert all(1 <= r.start and r.start + r.n - 1 <= ends[r.chromo] for r in placed)
+        held = {}
+        for r in sorted(placed, key=lambda r: r.start):
+            held.setdefault((r.sample, r.chromo), []).append((r.start, r.n))
+        for (_, chromo), own in held.items():
+            if sum(n + 1 for _, n in own) - 1 <= ends[chromo]:
+                assert all(b > a + n for (a, n), (b, _) in zip(own, own[1:]))
+
+
+def test_mutation_permutation_heat_of_all_samples(spark, sf):
+    """Mutated genes of all samples: without variants the heat adds up to the genes of the placed blocks."""
+    from pyspark.sql import functions as F
+
+    from heatgraph.operators import permute
+    from heatgraph.queries import network as queries
+
+    blocks, order = queries._blocks(spark, sf), queries._order(spark, sf)
+    n = blocks.select("sample").distinct().count()
+    genes, people = order.select("gene", F.lit(1).alias("length")), blocks.select("sample").distinct()
+    heat = permute.permuted_mutation_heat(people, genes, blocks, order, 0.0, perms=1, crowded=True)
+    placed = permute.permuted_blocks(blocks, order, 1, crowded=True)
+    want = permute.block_genes(placed, order).select("sample", "gene").distinct().count()
+    assert n == 10 and abs(heat.agg(F.sum("score")).first()[0] * n - want) < 1e-6
+    scores = {round(r.score * 10, 9) for r in queries.mutation_permutation_heat(spark, sf).collect()}
+    assert scores <= set(map(float, range(11))) and len(scores) > 2
+
+
+def test_blocks_that_only_just_fit(spark):
+    """One after the other blocks may leave no room; all together they fit."""
+    from heatgraph.operators import permute
+
+    order = spark.createDataFrame([(i, "c", i) for i in range(1, 12)], "gene int, chromo string, pos int")
+    blocks = spark.createDataFrame([(s, "c", b, "amp", 0, 3) for s in range(40) for b in range(3)], "sample int, chromo string, block bigint, mut_type string, start int, n bigint")
+    placed = permute.permuted_blocks(blocks, order).collect()
+    assert sorted((r.sample, r.start) for r in placed) == [(s, at) for s in range(40) for at in (1, 5, 9)]
