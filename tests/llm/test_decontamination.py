@@ -27,7 +27,7 @@ def test_alignment_like_plain_form():
 def test_documents_against_brute_force(spark, sf):
     """Every document and item whose whole alignment reaches the score and that share five words in a row."""
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    words = d.Words()
+    words = d.words_of
     texts = {r.doc_id: words(r.text) for r in docs.collect()}
     items = {r.item_id: words(r.text) for r in bench.collect()}
     fives = {i: set(d.grams(w, 3)[:-2].tolist()) and {tuple(w[k : k + 5].tolist()) for k in range(len(w) - 4)} for i, w in items.items()}
@@ -93,7 +93,7 @@ def test_edited_copies_without_long_runs(spark):
     rows += [(len(rows) + k, " ".join(rng.choice(vocabulary) for _ in range(200))) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
-    words = d.Words()
+    words = d.words_of
     want = {}
     for k, text in rows:
         for i, item in enumerate(items):
@@ -107,7 +107,7 @@ def test_edited_copies_without_long_runs(spark):
 
 def test_documents_against_all_alignments(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    words = d.Words()
+    words = d.words_of
     items = {r.item_id: words(r.text) for r in bench.collect()}
     want = {}
     for r in docs.collect():

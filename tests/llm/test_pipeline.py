@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark, sf):
     assert sorted(r.doc_id for r in steps["simhash near-dedup"].collect()) == sorted(rows)
 
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    words = decontamination.Words()
+    words = decontamination.words_of
     for k, t in list(rows.items()):
         own = words(t)
         runs = {tuple(own[i : i + 5].tolist()) for i in range(len(own) - 4)}
