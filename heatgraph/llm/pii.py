@@ -16,6 +16,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -112,21 +113,21 @@ def _entity(text: str, span: Span) -> int:
     return _hash(f"{span[0]}|{text[span[1] : span[2]].lower()}")
 
 
-def surroundings(text: str, spans: list[Span], window: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """``(entity, around, term, start, end)`` of the terms up to ``window`` words from each entity in its line."""
-    free = _outside(spans)
-    for kind, a, b in spans:
-        entity = _entity(text, (kind, a, b))
-        reach = 40 * window
-        low = max(text.rfind("\n", 0, a) + 1, a - reach)
-        stop = text.find("\n", b)
-        high = min(len(text) if stop < 0 else stop, b + reach)
-        left = [m for m in _TERM.finditer(text, low, a)][-window:]
-        right = [m for m in _TERM.finditer(text, b, high)][:window]
-        around = _hash(" ".join(m.group().lower() for m in left + right))
-        for m in left + right:
-            if free(m):
-                yield entity, around, _hash(m.group().lower()), *m.span()
+def _before(text: str, at: int, count: int) -> list[str]:
+    """The last ``count`` words before ``at``, whole whatever their length."""
+    reach = 16 * (count + 1)
+    while True:
+        start = max(0, at - reach)
+        found = [m.group().lower() for m in _TERM.finditer(text, start, at)]
+        if not start:
+            return found[-count:] if count else []
+        if len(found) > count:  # the first may be cut
+            return found[len(found) - count :]
+        reach *= 4
+
+
+def _after(text: str, at: int, count: int) -> list[str]:
+    return [m.group().lower() for m in islice(_TERM.finditer(text, at), count)]
 
 
 def evidence(text: str, spans: list[Span], window: int) -> tuple[dict[int, set[int]], set[int]]:
@@ -134,37 +135,12 @@ def evidence(text: str, spans: list[Span], window: int) -> tuple[dict[int, set[i
     free = _outside(spans)
     places: dict[int, set[int]] = {}
     for kind, a, b in spans:
-        left = [m.group().lower() for m in _TERM.finditer(text, max(0, a - 40 * window), a)][-window:]
-        right = [m.group().lower() for m in _TERM.finditer(text, b, min(len(text), b + 40 * window))][:window]
+        left, right = _before(text, a, window), _after(text, b, window)
         places.setdefault(_entity(text, (kind, a, b)), set()).add(_hash(" ".join([*left, "", *right])))
     return places, {_hash(w) for w in {m.group().lower() for m in _TERM.finditer(text) if free(m)}}
 
 
-_FOUND = "id {kind}, digest bigint, base array<struct<kind:string,start:bigint,end:bigint>>, near array<struct<entity:bigint,around:bigint,term:bigint,start:bigint,end:bigint>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_NEAR = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "around", "term", "start", "end")]))
-
-
-def _scan(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ("entity", "around", "term", "start", "end")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = texts(batch)
-            spans = [base_spans(t) for t in found]
-            near = [[dict(zip(names, x)) for x in surroundings(t, s, window)] if s else [] for t, s in zip(found, spans)]
-            base = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans]
-            digest = [_hash(t) for t in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digest, pa.int64()), pa.array(base, _SPANS), pa.array(near, _NEAR)],
-                ["id", "digest", "base", "near"],
-            )
-
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, _FOUND.format(kind=kind))
-
-
 _PLACES = pa.list_(pa.struct([("entity", pa.int64()), ("arounds", pa.list_(pa.int64()))]))
 
 
@@ -223,19 +199,11 @@ def _estimated(pairs: DataFrame, entities: DataFrame, docs: DataFrame, text_col:
     return counted.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """``(entity, term, disclosure)`` of the pairs seen near each other with enough support, from counts over all documents."""
-    seen = found.where(F.size("near") > 0).select("id", "digest", F.explode("near").alias("x")).select("id", "digest", "x.entity", "x.around", "x.term")
-    places = seen.groupBy("entity", "term", "around").agg(F.countDistinct("id", "digest").alias("n"))
-    pairs = places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("both")).where(F.col("support") >= support)
-    entities = seen.select("entity", "id", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    return _estimated(pairs, entities, docs, text_col)
-
-
 def document_disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
     """``(entity, term, disclosure)`` of the pairs in the same documents, however far apart, with enough support.
 
-    Only entities with enough surroundings at all are paired with the terms of their documents.
+    A document is an id with a text: null ids count like any other, repeated rows once for an entity and
+    as often as given for the frequency of terms. Only entities with enough surroundings at all are paired with the terms of their documents.
     """
     found = cut(_evidence(docs, id_col, text_col, window, support))
     seen = found.select("id", "digest", F.explode("places").alias("x")).select("id", "digest", "x.entity", "x.arounds").dropDuplicates(["id", "digest", "entity"])

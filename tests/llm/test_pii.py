@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from heatgraph.llm import pii
 
 KINDS = ("email", "ip", "card", "phone")
@@ -76,26 +79,6 @@ def test_disclosing_terms(spark):
     assert all(clean[i] == text[i] for i in range(6, 120))
 
 
-def test_disclosure_matches_brute_force(spark):
-    import math
-
-    docs = revealing(spark)
-    found = pii._scan(docs, "doc_id", "text", pii.WINDOW)
-    got = {(r.entity, r.term): r.disclosure for r in pii.disclosures(found, docs).collect()}
-    text = [r.text for r in docs.collect()]
-    near, around, ent, df = {}, {}, {}, {}
-    for i, t in enumerate(text):
-        for w in set(re.findall(r"\w+", t.lower())):
-            df[pii._hash(w)] = df.get(pii._hash(w), 0) + 1
-        for e, a, w, _, _ in pii.surroundings(t, pii.base_spans(t), pii.WINDOW):
-            near.setdefault((e, w), set()).add(i)
-            around.setdefault((e, w), set()).add(a)
-            ent.setdefault(e, set()).add(i)
-    n = len(text)
-    want = {k: math.log(n * len(v) / (df[k[1]] * len(ent[k[0]]))) / math.log(n / len(ent[k[0]])) for k, v in near.items() if len(around[k]) >= pii.SUPPORT}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-
-
 def test_odd_rows(spark):
     schema = "doc_id bigint, text string, digest string, base int, n_chars int"
     rows = [(1, None, "x", 1, None), (2, "", None, None, 0), (3, "a@b.c", "", 2, 5), (3, "a@b.c", "", 2, 5), (None, "a@b.c +1 234 567 8901", "", 2, 5), (4, "w 1.2.3.4 " * 50000, "", 0, 9)]
@@ -131,28 +114,53 @@ def test_disclosing_terms_far_from_the_entity(spark):
     assert all("secretword" in clean[i] for i in range(620, 640))
 
 
-def test_document_disclosure_matches_brute_force(spark):
-    import math
+def told_plainly(rows):
+    """(kind, entity, term) to disclosure, over (id, text) rows, by sets of documents; no code under test."""
+    both, around, ent, df = {}, {}, {}, {}
+    for doc in set(rows):
+        text = doc[1]
+        spans = plain(text)
+        inside = {i for _, a, b in spans for i in range(a, b)}
+        terms = {m.group().lower() for m in re.finditer(r"\w+", text) if not inside & set(range(*m.span()))}
+        for kind, a, b in spans:
+            entity = kind, text[a:b].lower()
+            left, right = re.findall(r"\w+", text[:a].lower())[-8:], re.findall(r"\w+", text[b:].lower())[:8]
+            ent.setdefault(entity, set()).add(doc)
+            for w in terms:
+                both.setdefault((*entity, w), set()).add(doc)
+                around.setdefault((*entity, w), set()).add((tuple(left), tuple(right)))
+    for _, text in rows:
+        for w in set(re.findall(r"\w+", text.lower())):
+            df[w] = df.get(w, 0) + 1
+    n = len(rows)
+    return {k: math.log(n * len(v) / (df[k[2]] * len(ent[k[:2]]))) / math.log(n / len(ent[k[:2]])) for k, v in both.items() if len(around[k]) >= 3}
 
+
+def test_document_disclosure_matches_brute_force(spark):
     docs = far_apart(spark).unionByName(revealing(spark).selectExpr("doc_id + 1000 as doc_id", "text"))
     docs = docs.unionByName(docs.where("doc_id < 5"))
-    rows = {(r.doc_id, r.text) for r in docs.collect()}
-    both, around, ent, df = {}, {}, {}, {}
-    for key in rows:
-        spans = pii.base_spans(key[1])
-        places, _ = pii.evidence(key[1], spans, pii.WINDOW)
-        inside = {i for _, a, b in spans for i in range(a, b)}
-        for w in {m.group().lower() for m in re.finditer(r"\w+", key[1]) if not inside & set(range(*m.span()))}:
-            for e, a in places.items():
-                both.setdefault((e, pii._hash(w)), set()).add(key)
-                around.setdefault((e, pii._hash(w)), set()).update(a)
-        for e in places:
-            ent.setdefault(e, set()).add(key)
-    n = 0
-    for r in docs.collect():
-        n += 1
-        for w in set(re.findall(r"\w+", r.text.lower())):
-            df[pii._hash(w)] = df.get(pii._hash(w), 0) + 1
-    want = {k: math.log(n * len(v) / (df[k[1]] * len(ent[k[0]]))) / math.log(n / len(ent[k[0]])) for k, v in both.items() if len(around[k]) >= pii.SUPPORT}
+    docs = docs.withColumn("doc_id", F.when((F.col("doc_id") % 3 > 0) | (F.col("doc_id") < 20), F.col("doc_id")))  # null ids too
+    want = {(pii._hash(f"{k}|{e}"), pii._hash(w)): d for (k, e, w), d in told_plainly([tuple(r) for r in docs.collect()]).items()}
     got = {(r.entity, r.term): r.disclosure for r in pii.document_disclosures(docs).collect()}
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_terms_of_rows_without_an_id(spark):
+    docs = revealing(spark)
+    same = lambda frame: sorted(len(r.terms) for r in pii.personal_data(frame).collect())
+    assert same(docs) == same(docs.withColumn("doc_id", F.lit(None).cast("bigint"))) and sum(same(docs)) >= 6
+
+
+def test_words_of_any_length_stay_whole(spark):
+    """A word of 500 letters next to an address, and 8 such words before it: told apart to the last letter."""
+    long = ["".join(random.Random(k).choice("abcdefgh") for _ in range(500)) for k in range(9)]
+    for text in (f"one {long[0]} a@b.c", " ".join(long) + " a@b.c x", "k " * 400 + " ".join(long) + "\n\na@b.c"):
+        at = text.index("a@b.c")
+        assert pii._before(text, at, 8) == re.findall(r"\w+", text[:at])[-8:]
+        assert pii._after(text, 3, 8) == re.findall(r"\w+", text[3:])[:8]
+    assert pii._before("a b", 3, 0) == [] and pii._before("z" * 100000 + " q", 100002, 2) == ["z" * 100000, "q"]
+    rng = random.Random(3)
+    noise = lambda: " ".join(f"w{rng.randrange(60)}" for _ in range(6))
+    rows = [(i, f"{noise()} {long[0]} bob@x.org {noise()}") for i in range(8)] + [(i, f"{noise()} {long[0][:-1]} {noise()}") for i in range(8, 16)] + [(i, noise()) for i in range(16, 300)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(long[0][:300] not in clean[i] for i in range(8)) and all(clean[i] == dict(rows)[i] for i in range(8, 300))
