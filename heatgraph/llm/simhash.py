@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatgraph.llm.tables import slices, texts
@@ -248,22 +248,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the smallest id's, of repeated ids the first text's.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, most: int = 500_000) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest id's, of repeated ids the smallest text hash's.
 
-    All columns are kept. Rows with a null id have nothing to be told apart by and stay. The ids that
-    go, and those that are repeated, are broadcast if they are few; else the texts are shuffled once.
+    All columns are kept. Rows are told apart by their id and a hash of their text; a null id is larger
+    than any other. Of rows alike in both one stays, the one whose columns hash lowest. What goes is
+    known by two 64-bit hashes a row, broadcast up to ``most`` of them; beyond that the texts are
+    shuffled once. An empty table gives an empty result.
     """
-    groups = cut(near_duplicates(docs, id_col, text_col, width).where(F.col(id_col).isNotNull()))
-    repeated = groups.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("high")).where("n > 1")
-    # an id that is repeated with different texts stays if one of its rows leads its group
-    repeated = cut(repeated.select(F.col(id_col).alias("_id"), (F.col("high") == F.col(id_col)).alias("_leads")))
-    going = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id"))
-    going = cut(going.unionByName(repeated.select("_id")).distinct())
-    once = join_checked(docs, going, docs[id_col] == going["_id"], "left_anti")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
+    groups = cut(near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", width))
+    leads = F.col("key") == F.col("component_id")
+    hashes = (F.xxhash64("key.id").alias("_id"), F.col("key.digest").alias("_digest"))
+    repeated = cut(groups.where(leads).select(*hashes).groupBy("_id", "_digest").count().where("count > 1").select("_id", "_digest"))
+    going = cut(groups.where(~leads).select(*hashes).unionByName(repeated).distinct())
+    same = lambda keys: (F.xxhash64(docs[id_col]) == keys["_id"]) & (F.xxhash64(docs[text_col]) == keys["_digest"])
+    once = join_checked(docs, going, same(going), "left_anti", most)
     if repeated.isEmpty():
         return once
-    leading = repeated.where("_leads")
-    several = join_checked(docs, leading, docs[id_col] == leading["_id"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return once.unionByName(several.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+    several = join_checked(docs, repeated, same(repeated), "left_semi", most)
+    hashed = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*hashed))
+    first = several.groupBy(F.xxhash64(id_col), F.xxhash64(text_col)).agg(row.alias("row"))
+    return once.unionByName(first.select("row.*"))
