@@ -87,25 +87,22 @@ def _mask(turns: Column) -> Column:
 def formatted(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Adds ``prefix_turns, prompt, chosen_text, chosen_mask, rejected_text, rejected_mask`` in place of the turns.
 
-    Null conversations have no turns. Equal conversations, or one that continues the other, have an
+    All other columns are kept, save that one of these six names is replaced. Null conversations have no turns. Equal conversations, or one that continues the other, have an
     empty completion with an empty mask.
     """
     none = F.expr("cast(array() as array<struct<role:string,text:string>>)")
-    taken = pairs.withColumns({"_a": F.coalesce(F.col(chosen), none), "_b": F.coalesce(F.col(rejected), none)})
-    same = F.zip_with("_a", "_b", lambda x, y: x.isNotNull() & y.isNotNull() & (x["role"] == y["role"]) & (x["text"] == y["text"]))
+    made = ("prefix_turns", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask")
+    kept = [c for c in pairs.columns if c not in (chosen, rejected, *made)]
+    # nested, so that no name of the input can meet a name used here
+    a, b = F.coalesce(F.col(chosen), none).alias("a"), F.coalesce(F.col(rejected), none).alias("b")
+    own = [F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own")] if kept else []
+    taken = pairs.select(*own, a, b)
+    same = F.zip_with("a", "b", lambda x, y: x.isNotNull() & y.isNotNull() & (x["role"] == y["role"]) & (x["text"] == y["text"]))
     # the first turn that differs; beyond both ends there is one that does
-    taken = taken.withColumn("prefix_turns", (F.array_position(F.concat(F.transform(same, lambda s: F.coalesce(s, F.lit(False))), F.array(F.lit(False))), False) - 1).cast("int"))
-    rest = lambda c: F.slice(F.col(c), F.col("prefix_turns") + 1, F.size(c))
-    out = [c for c in pairs.columns if c not in (chosen, rejected)]
-    return taken.select(
-        *out,
-        "prefix_turns",
-        _rendered(F.slice("_a", 1, F.col("prefix_turns"))).alias("prompt"),
-        _rendered(rest("_a")).alias("chosen_text"),
-        _mask(rest("_a")).alias("chosen_mask"),
-        _rendered(rest("_b")).alias("rejected_text"),
-        _mask(rest("_b")).alias("rejected_mask"),
-    )
+    taken = taken.withColumn("n", (F.array_position(F.concat(F.transform(same, lambda s: F.coalesce(s, F.lit(False))), F.array(F.lit(False))), False) - 1).cast("int"))
+    rest = lambda c: F.slice(F.col(c), F.col("n") + 1, F.size(c))
+    found = (F.col("n"), _rendered(F.slice("a", 1, F.col("n"))), _rendered(rest("a")), _mask(rest("a")), _rendered(rest("b")), _mask(rest("b")))
+    return taken.select(*[F.col("own")[c].alias(c) for c in kept], *[f.alias(name) for f, name in zip(found, made)])
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -57,3 +57,13 @@ def test_odd_rows(spark):
     assert got[1].chosen_text == "" and got[5].prompt.endswith("<|assistant|>\n<|end|>\n")
     assert {k: r.rejected_id for k, r in pairs(rows[:3]).items()} == {1: 1}
     assert pairs([]) == {}
+
+
+def test_names_that_clash(spark):
+    schema = "pair_id int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, _a int, _b int, a int, b int, n int, own int, prompt string, prefix_turns int"
+    got = chat.formatted(spark.createDataFrame([(1, [("user", "q"), ("assistant", "x")], [("user", "q"), ("assistant", "y")], 1, 2, 3, 4, 5, 6, "old", 9)], schema))
+    assert got.columns == ["pair_id", "_a", "_b", "a", "b", "n", "own", "prefix_turns", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask"]
+    r = got.first()
+    assert tuple(r)[:9] == (1, 1, 2, 3, 4, 5, 6, 1, "<|user|>\nq<|end|>\n")
+    only = chat.formatted(spark.createDataFrame([([("user", "q")], None)], "chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>"))
+    assert only.first().prompt == ""
