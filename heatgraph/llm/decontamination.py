@@ -392,16 +392,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that leak no test item, all columns kept, rows told apart by id and a hash of the text.
+    """The rows of ``docs`` that leak no test item, all columns kept, rows told apart by hashes of id and text.
 
-    The keys of leaking rows are broadcast up to a million, else the texts are shuffled once.
+    Those two numbers of each leaking row are broadcast up to a million rows, else the texts are shuffled once.
     """
     gone = None
     for part in _found(docs, benchmark, id_col, text_col, item_col, item_text_col, threshold, least, block):
-        keys = part.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+        keys = part.select(F.xxhash64("id").alias("_id"), F.col("digest").alias("_digest"))
         gone = keys if gone is None else gone.unionByName(keys)
     if gone is None:
         return docs
     gone = cut(gone.distinct())
-    same = docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_digest"])
+    same = (F.xxhash64(docs[id_col]) == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_digest"])
     return join_checked(docs, gone, same, "left_anti", 1_000_000)

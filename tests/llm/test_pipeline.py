@@ -1,8 +1,11 @@
+import math
+
 import corpus_pipeline as p
-import numpy as np
+import public_tokenizers
+import tokenizers
 
-from heatgraph.llm import decontamination, packing, pii, simhash, toxicity
-from plain_forms import plain_components, plain_pack
+from heatgraph.llm import packing, pii, simhash, toxicity
+from plain_forms import best_alignment, plain_components, plain_pack, words_plainly
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -25,18 +28,12 @@ def test_stages_against_brute_force(spark, sf):
     rows = {k: t for k, t in rows.items() if groups[k][1] == k}
     assert sorted(r.doc_id for r in steps["simhash near-dedup"].collect()) == sorted(rows)
 
-    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    words = decontamination.words_of
+    bench = [words_plainly(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     for k, t in list(rows.items()):
-        own = words(t)
-        runs = {tuple(own[i : i + 5].tolist()) for i in range(len(own) - 4)}
-        for _, text in bench:
-            item = words(text)
-            if runs & {tuple(item[i : i + 5].tolist()) for i in range(len(item) - 4)} and decontamination.align(item, own)[0] >= max(6, 0.5 * len(item)):
-                rows.pop(k, None)
-    kept = {r.doc_id for r in steps["benchmark decontamination"].collect()}
-    assert kept <= rows.keys() and len(rows) - len(kept) <= 1
-    rows = {k: rows[k] for k in kept}
+        own = words_plainly(t)
+        if any(best_alignment(item, own) >= min(len(item), max(6, math.ceil(len(item) / 2))) for item in bench):
+            del rows[k]
+    assert {r.doc_id for r in steps["benchmark decontamination"].collect()} == rows.keys()
 
     told = {r.doc_id: [tuple(t) for t in r.terms] for r in pii.personal_data(steps["benchmark decontamination"]).collect()}
     rows = {k: pii.sanitised(t, pii.base_spans(t), told[k]) for k, t in rows.items()}
@@ -45,7 +42,8 @@ def test_stages_against_brute_force(spark, sf):
     assert not any(pii.base_spans(t) for t in rows.values())
 
     final = sorted(tuple(r) for r in steps["packing"].collect())
-    lengths = [(r.doc_id, r.n) for r in steps["pii"].select("doc_id", packing.unit_length().alias("n")).collect()]
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = [(k, len(library.encode(t, add_special_tokens=False).ids) + 1) for k, t in rows.items()]
     assert final == sorted(plain_pack(lengths, packing.BUCKETS, packing.BUDGET))
 
 
@@ -56,10 +54,26 @@ def test_run_and_empty_tables(spark, sf, tmp_path):
     assert p.run(spark, str(tmp_path)).collect() == []
 
 
+def test_toxicity_stage_without_labels_keeps_all(spark, sf, tmp_path):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    for name, known in (("none", labels.limit(0)), ("clean", labels.where("toxic = 0"))):
+        known.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert p.drop_toxic(spark, docs, f"{tmp_path}/{name}").count() == docs.count()
+
+
 def test_deduplicated_odd_rows(spark):
-    schema = "doc_id bigint, text string, _leads int, extra string"
+    """One row of each group by (id, hash of the text), null ids last; other columns of whatever name stay."""
+    schema = "doc_id bigint, text string, _leads int, extra string, _rank map<string,int>, key int, `end` array<int>, _id string"
     rows = [(4, "a b c d e"), (4, "a b c d e"), (2, "a b c d e"), (7, "q w e r t y"), (7, "q w e r t y"), (9, None), (8, ""), (None, "a b c d e"), (None, None)]
-    got = simhash.deduplicated(spark.createDataFrame([(*r, 1, "x") for r in rows], schema))
-    assert got.columns == ["doc_id", "text", "_leads", "extra"]
-    assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 0, 2, 7, 8]
-    assert np.all([r.text is None or r.text for r in got.collect() if r.doc_id != 8])
+    rows += [(11, "one id two texts"), (11, "another of them here"), (None, "alone without any id"), (None, "alone without any id")]
+    frame = spark.createDataFrame([(*r, 1, "x", {"a": 1}, None, [2], "z") for r in rows], schema)
+    for most in (500_000, 1):
+        got = simhash.deduplicated(frame, most=most)
+        assert got.columns == frame.columns
+        kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+        assert kept == sorted([(2, "a b c d e"), (7, "q w e r t y"), (8, ""), (11, "one id two texts"), (11, "another of them here"), (None, "alone without any id")], key=str)
+        assert {(r._leads, r.extra, r._rank["a"], r.end[0], r._id) for r in got.collect()} == {(1, "x", 1, 2, "z")}
+    assert simhash.deduplicated(frame.limit(0)).collect() == []
+    # one id on rows of different texts: the row that leads its group stays, the copy of a lower id goes
+    mixed = spark.createDataFrame([(1, "copied text of some words"), (5, "copied text of some words"), (5, "zebra words of its own here")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in simhash.deduplicated(mixed).collect()) == [(1, "copied text of some words"), (5, "zebra words of its own here")]

@@ -1,19 +1,44 @@
 import hashlib
 import random
 
+import xxhash
 from pyspark.sql import functions as F
 
 from heatgraph.llm import sketch
 
 
+FULL = (1 << 64) - 1
+SPREAD = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # fixed values of the hash
+
+
+def plain_sketch(text):
+    """Every 5-word shingle's 32-bit hash in the lowest eighth, in plain integers; else the smallest."""
+    words = text.lower().split()
+    found = set()
+    for i in range(max(1, len(words) - 4) if words else 0):
+        shingle = words[i : i + 5]
+        h = len(shingle)
+        for k, w in enumerate(shingle):
+            h = (h + xxhash.xxh64_intdigest(w.encode()) * (pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1)) & FULL
+        for factor in SPREAD:
+            h = ((h ^ h >> 33) * factor) & FULL
+        found.add(h >> 32)
+    low = sorted(h for h in found if h * 8 < 1 << 32)
+    return low or sorted(found)[:1]
+
+
+def plain_likeness(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+
+
 def plain(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    make = sketch.Sketcher()
     for i, (key, text) in enumerate(rows):
         text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
         k = len(text) // 2
         edited = text[: len(text) - k] + after[:k]
-        yield key, len(text), hashlib.sha256(edited.encode()).hexdigest(), make(text).tolist(), make(edited).tolist(), sketch.likeness(make(text), make(edited)), sketch.likeness(make(text), make(after))
+        own, other, following = plain_sketch(text), plain_sketch(edited), plain_sketch(after)
+        yield key, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, plain_likeness(own, other), plain_likeness(own, following)
 
 
 def unhex(text):
