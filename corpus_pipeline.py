@@ -7,8 +7,9 @@ columns they were given, so a stage's decisions are the rows (or texts) that the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heatgraph.llm import decontamination, packing, pii, simhash, toxicity
+from heatgraph.llm import decontamination, packing, pii, simhash, tokens, toxicity
 from heatgraph.llm.tables import read
 from heatgraph.plans.lineage import stored
 
@@ -19,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the smallest id stays, once. Rows without an id stay."""
+    """Of each group the document of the smallest id stays, once; rows without an id come after all others."""
     return simhash.deduplicated(docs)
 
 
@@ -34,8 +35,11 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's length bucket, batch and place in it."""
-    return packing.length_buckets(docs)
+    """Every document's length bucket, batch and place in it, by its tokens and an end mark."""
+    import public_tokenizers
+
+    counts = tokens.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.length_buckets(counts, length=F.col("n_tokens") + 1)
 
 
 STAGES = [
