@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Freed memory goes back to the system: Python workers live on from task to task, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that ``column`` holds at most about ``limit`` bytes in each."""
     for batch in batches:
@@ -30,7 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
         step = max(1, min(rows, int(rows * limit / max(size, 1)) or 1))
         for start in range(0, rows, step):
             yield batch.slice(start, step)
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

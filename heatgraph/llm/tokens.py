@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatgraph.llm.tables import slices, texts
+from heatgraph.llm.tables import release, slices, texts
 
 #: Fixed values of the vocabulary file: its special strings and its pre-tokenizer's pieces.
 SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
@@ -63,7 +63,7 @@ def splice(size: int, units: Callable[[int, int], Units], stable: Callable[[int]
 class Counter:
     """Token counts as the library gives them for the vocabulary file at ``path``, specials not added."""
 
-    def __init__(self, path: str, chunk: int = 1 << 16, overlap: int = 1 << 10, cache: int = 1 << 20):
+    def __init__(self, path: str, chunk: int = 1 << 16, overlap: int = 1 << 10, cache: int = 1 << 18):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -140,17 +140,6 @@ class Counter:
         return sum(self._pieces(PIECE.findall(text.lower())))
 
 
-_COUNTERS: dict[tuple, Counter] = {}
-
-
-def counter(path: str, chunk: int, overlap: int) -> Counter:
-    """One counter for each Python worker and set of parameters."""
-    key = (path, chunk, overlap)
-    if key not in _COUNTERS:
-        _COUNTERS[key] = Counter(path, chunk, overlap)
-    return _COUNTERS[key]
-
-
 def token_counts(
     docs: DataFrame,
     path: str,
@@ -169,7 +158,7 @@ def token_counts(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path, chunk, overlap)
+        own = Counter(path, chunk, overlap)  # for the task alone: the library's model is large
         for batch in slices(batches, "text"):
             found = texts(batch)
             tokens = [own.count(t) for t in found]
@@ -182,6 +171,8 @@ def token_counts(
                 ],
                 ["id", "n_bytes", "n_tokens", "over_limit"],
             )
+        del own
+        release()
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = source.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
