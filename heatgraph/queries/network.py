@@ -216,10 +216,10 @@ def _order(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("chromo"), pos.alias("pos"))
 
 
-def _blocks(spark, sf_dir, quantity=30):
+def _blocks(spark, sf_dir, order=None):
     kind = F.when(F.col("l_returnflag") == "A", "amp").otherwise("del")
-    rows = table(spark, sf_dir, "lineitem").where(f"l_returnflag in ('A', 'R') and l_quantity > {quantity}")
-    return permute.cna_blocks(rows.select(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("gene"), kind.alias("mut_type")), _order(spark, sf_dir))
+    rows = table(spark, sf_dir, "lineitem").where(f"l_returnflag in ('A', 'R') and l_quantity > 30")
+    return permute.cna_blocks(rows.select(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("gene"), kind.alias("mut_type")), _order(spark, sf_dir) if order is None else order)
 
 
 @query(f"with {_BLOCKS} select * from blocks")
@@ -227,18 +227,24 @@ def cna_blocks(spark, sf_dir):
     return _blocks(spark, sf_dir)
 
 
-_FEW = _BLOCKS.replace("l_quantity > 30", "l_quantity > 48")  # so few that each finds room on a short chromosome
+# one chromosome of all genes and a free end, on which the blocks of every sample find room apart
+_LONG = _BLOCKS.replace("p_brand as chromo", "'all' as chromo").replace("partition by p_brand", "partition by 'all'")
 
 
-def _few(spark, sf_dir):
-    return _blocks(spark, sf_dir, 48).where("sample % 10 = 0")
+def _long(spark, sf_dir):
+    from pyspark.sql import Window
+
+    part = table(spark, sf_dir, "part").withColumn("chromo", F.lit("all"))
+    genes = part.select(F.col("p_partkey").alias("gene"), "chromo", F.row_number().over(Window.partitionBy("chromo").orderBy("p_partkey")).alias("pos"))
+    return genes.unionByName(genes.groupBy("chromo").agg(F.lit(-1).alias("gene"), (5 * F.max("pos")).alias("pos")))
 
 
-@query(f"with {_FEW} select 1::bigint as perm_id, sample, chromo, mut_type, n, count(*) as blocks, 0::bigint as touching from blocks where sample % 10 = 0 group by sample, chromo, mut_type, n")
+@query(f"with {_LONG} select 1::bigint as perm_id, sample, chromo, mut_type, n, count(*) as blocks, 0::bigint as touching from blocks group by sample, chromo, mut_type, n")
 def cna_block_permutation_invariants(spark, sf_dir):
     from pyspark.sql import Window
 
-    placed = permute.permuted_blocks(_few(spark, sf_dir), _order(spark, sf_dir), 1)
+    order = _long(spark, sf_dir)
+    placed = permute.permuted_blocks(_blocks(spark, sf_dir, order), order, 1)
     before = F.lag(F.col("start") + F.col("n")).over(Window.partitionBy("perm_id", "sample", "chromo").orderBy("start"))
     checked = placed.withColumn("touches", F.coalesce(F.col("start") <= before, F.lit(False)))
     return checked.groupBy("perm_id", "sample", "chromo", "mut_type", "n").agg(F.count(F.lit(1)).alias("blocks"), F.count_if("touches").alias("touching"))
