@@ -39,7 +39,7 @@ def parser() -> Parser:
         return made
 
     command("heat-scores", "scores", "output", min_score=0.0, genes=None, name=None)
-    command("heat-mutation", "snvs", "cnas", "output", genes=None, samples=None, cna_threshold=0.0, min_freq=1, name=None)
+    command("heat-mutation", "snvs", "cnas", "output", genes=None, samples=None, cna_threshold=0.0, min_freq=1, name=None, sample_types=None)
     command("heat-oncodrive", "fm", "amp", "deletion", "output", fm_threshold=0.2, cis_threshold=0.2, cis=False, genes=None, name=None)
     command("heat-mutsig", "scores", "output", threshold=1.0, genes=None, name=None)
     command("heat-music", "scores", "output", threshold=1.0, max_heat=15.0, genes=None, name=None)
@@ -49,6 +49,7 @@ def parser() -> Parser:
     run = command("run", "output", beta=0.4, network_permutations=20, heat_permutations=100, consensus_permutations=0, seed=0)
     run.add_argument("--network", nargs=3, action="append", metavar=("NAME", "INDEX", "EDGES"), required=True)
     run.add_argument("--heat", nargs=2, action="append", metavar=("NAME", "FILE"), required=True)
+    command("consensus", "directory", "output", pval=0.01)
     command("dendrogram", "index", "edges", "heat", "output", beta=0.4)
     return top
 
@@ -57,8 +58,8 @@ def _named_network(spark: SparkSession, index: str, edges: str):
     return network.canonical(text.indexed_edges(text.lines(spark, edges), text.node_index(text.lines(spark, index))))
 
 
-def _write_heat(spark: SparkSession, found, args) -> None:
-    if args.genes:
+def _write_heat(spark: SparkSession, found, args, listed: bool = True) -> None:
+    if args.genes and listed:
         found = heat_ops.reconciled(found, text.names(text.lines(spark, args.genes)))
     parameters = {k: v for k, v in vars(args).items() if k != "command" and v is not None}
     sinks.write_json(args.output, sinks.heat_document(found, parameters))
@@ -73,8 +74,7 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         genes = text.names(lines(args.genes)) if args.genes else None
         people = text.samples(lines(args.samples)) if args.samples else None
         found = heat_ops.loaded_mutation_heat(text.snvs(lines(args.snvs), genes, people), text.cnas(lines(args.cnas), genes, people), genes, people, args.cna_threshold or None, args.min_freq)
-        args.genes = None
-        _write_heat(spark, found, args)
+        _write_heat(spark, found, args, False)
     elif args.command == "heat-oncodrive":
         table = text.driver_scores(*(lines(p) for p in (args.fm, args.amp, args.deletion)))
         _write_heat(spark, heat_ops.fm_heat(table, args.fm_threshold, args.cis_threshold, args.cis).select("node", "score"), args)
@@ -108,6 +108,8 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         counts = runs.consensus.size_counts(roles)
         permuted = runs.permuted_consensus(networks, heats, settings, args.consensus_permutations) if args.consensus_permutations else None
         runs.write_consensus(roles, chosen, runs.consensus.consensus_statistics(counts, permuted, args.consensus_permutations), os.path.join(args.output, "consensus"), parameters)
+    elif args.command == "consensus":
+        runs.stored_consensus(spark, args.directory, args.output, args.pval)
     elif args.command == "dendrogram":
         from heatgraph.operators.similarity import Problem
 

@@ -126,10 +126,41 @@ def block_genes(blocks: DataFrame, order: DataFrame) -> DataFrame:
     return at.join(order.select("chromo", "pos", "gene"), ["chromo", "pos"]).select("perm_id", "sample", "gene", "mut_type")
 
 
-def permuted_mutation_heat(samples: DataFrame, genes: DataFrame, blocks: DataFrame, order: DataFrame, bmr: float, min_freq: int = 1, perms: int = 1, seed: int = 42, crowded: bool = False) -> DataFrame:
-    """``(perm_id, node, score)``: mutation heat of permuted variants and blocks; untested genes are left out."""
-    points = permuted_snvs(samples, genes, bmr, None, perms, seed).withColumn("mut_type", F.lit("snv"))
-    every = points.unionByName(block_genes(permuted_blocks(blocks, order, perms, seed, crowded=crowded), order)).join(genes.select("gene"), "gene", "left_semi")
+def prevailing(cnas: DataFrame, threshold: float) -> DataFrame:
+    """Of ``(perm_id, sample, gene, mut_type)`` those of the kind that a share ``threshold`` of the gene's changes has, in each permutation."""
+    if not threshold > 0.5:
+        raise ValueError("the threshold must be over 0.5")
+    of = cnas.groupBy("perm_id", "gene").agg(F.count_if(F.col("mut_type") == "amp").alias("a"), F.count_if(F.col("mut_type") == "del").alias("d"))
+    side = F.when(F.col("a") / (F.col("a") + F.col("d")) >= threshold, "amp").when(F.col("d") / (F.col("a") + F.col("d")) >= threshold, "del")
+    return cnas.join(of.select("perm_id", "gene", side.alias("mut_type")), ["perm_id", "gene", "mut_type"], "left_semi").select("perm_id", "sample", "gene", "mut_type")
+
+
+def permuted_mutation_heat(
+    samples: DataFrame,
+    genes: DataFrame,
+    blocks: DataFrame,
+    order: DataFrame,
+    bmr: float,
+    min_freq: int = 1,
+    perms: int = 1,
+    seed: int = 42,
+    crowded: bool = False,
+    rates: DataFrame | None = None,
+    cna_threshold: float | None = None,
+    network: DataFrame | None = None,
+) -> DataFrame:
+    """``(perm_id, node, score)``: mutation heat of permuted variants and blocks; untested genes are left out.
+
+    ``rates`` ``(gene, bmr)`` go before the rate ``bmr``; with ``cna_threshold`` the placed changes are filtered
+    as real ones are; with ``network`` ``(node)`` only its genes are tested.
+    """
+    if network is not None:
+        genes = genes.join(network.select(F.col("node").alias("gene")).distinct(), "gene", "left_semi")
+    points = permuted_snvs(samples, genes, bmr, rates, perms, seed).withColumn("mut_type", F.lit("snv"))
+    changes = block_genes(permuted_blocks(blocks, order, perms, seed, crowded=crowded), order)
+    if cna_threshold:
+        changes = prevailing(changes, cna_threshold)
+    every = points.unionByName(changes).join(genes.select("gene"), "gene", "left_semi")
     flags = every.groupBy("perm_id", "gene", "sample").agg(F.max((F.col("mut_type") == "snv").cast("int")).alias("s"), F.max((F.col("mut_type") != "snv").cast("int")).alias("c"))
     counted = flags.groupBy("perm_id", "gene").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("both"))
     n = samples.select("sample").distinct().count()

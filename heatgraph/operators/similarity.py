@@ -92,17 +92,24 @@ def at_least(members: DataFrame, sizes: list[int], keys: list[str] | None = None
 
 
 class Problem:
-    """A kernel with its nodes, dense, for tasks that try many heats; broadcast once."""
+    """A kernel with its nodes, dense in single precision, for threshold searches over all its cells.
 
-    def __init__(self, kernel: DataFrame, most: int = 12_000):
-        rows = kernel.select("dst", "src", F.col("p").cast("double").alias("p")).toPandas()
-        self.names = sorted(set(rows["src"]))
-        if len(self.names) > most:
+    For networks of at most ``most`` nodes, which is checked before any cell is read.
+    """
+
+    def __init__(self, kernel: DataFrame, most: int = 16_000):
+        rows = kernel.select("src").distinct().limit(most + 1).collect()
+        if len(rows) > most:
             raise ValueError(f"more than {most} nodes")
-        place = {x: i for i, x in enumerate(self.names)}
-        self.p = np.zeros((len(self.names), len(self.names)))
-        self.p[rows["dst"].map(place), rows["src"].map(place)] = rows["p"]
-        self.place = place
+        self.names = sorted(r["src"] for r in rows)
+        self.place = {x: i for i, x in enumerate(self.names)}
+        index = kernel.sparkSession.createDataFrame([(x, i) for x, i in self.place.items()], f"node {kernel.schema['src'].dataType.simpleString()}, at int")
+        to, seed = index.toDF("dst", "i"), index.toDF("src", "j")
+        cells = kernel.select("dst", "src", F.col("p").cast("double").alias("p")).join(F.broadcast(to), "dst").join(F.broadcast(seed), "src")
+        self.p = np.zeros((len(self.names), len(self.names)), kernel.schema["p"].dataType.typeName() == "float" and np.float32 or float)
+        for batch in cells.select("i", "j", "p").toArrow().to_batches():
+            i, j, p = (c.to_numpy() for c in batch.columns)
+            self.p[i, j] = p
 
     def weights(self, heat: dict, directed: bool = True) -> tuple[list, np.ndarray]:
         names = [x for x in self.names if x in heat]
@@ -112,17 +119,46 @@ class Problem:
         return names, p * h if directed else np.minimum(p, p.T) * np.maximum(h[:, None], h)
 
 
-def counts_by_permutation(kernel: DataFrame, heats: DataFrame, delta: float, sizes: list[int], directed: bool = True) -> DataFrame:
-    """``(perm_id, size, n)`` for heats ``(perm_id, node, score)``: the kernel goes out once, a task takes a permutation."""
+def permuted_similarity(kernel: DataFrame, heats: DataFrame, delta: float, directed: bool = True) -> DataFrame:
+    """``(perm_id, src, dst, w)`` of at least ``delta`` (above 0), for heats ``(perm_id, node, score)``.
+
+    Joins of what can reach ``delta`` at all: ``p`` below ``delta / max(score)`` never does, so the kernel is
+    read as the few entries that matter, and never leaves the executors.
+    """
+    if delta <= 0:
+        raise ValueError("the threshold must be over 0")
+    most = heats.agg(F.max("score")).first()[0] or 0.0
+    near = kernel.where(F.col("p") >= (delta / most * (1 - 1e-6) if most > 0 else float("inf")))
+    near = near.select("src", "dst", F.col("p").cast("double").alias("p"))
+    own = heats.select("perm_id", F.col("node").alias("src"), "score")
+    other = heats.select("perm_id", F.col("node").alias("dst"), F.col("score").alias("other"))
+    if directed:
+        found = near.join(own, "src").withColumn("w", F.col("p") * F.col("score")).where(F.col("w") >= delta)
+        return found.join(other.select("perm_id", "dst"), ["perm_id", "dst"], "left_semi").select("perm_id", "src", "dst", "w")
+    back = near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("p").alias("q"))
+    found = near.join(back, ["src", "dst"]).withColumn("p", F.least("p", "q")).join(own, "src").join(other, ["perm_id", "dst"])
+    found = found.withColumn("w", F.col("p") * F.greatest("score", "other"))
+    return found.where(F.col("w") >= delta).select("perm_id", "src", "dst", "w")
+
+
+def counts_at_levels(kernel: DataFrame, heats: DataFrame, deltas: list[float], sizes: list[int], directed: bool = True) -> DataFrame:
+    """``(perm_id, delta, size, n)``: components of at least each size, of all permutations at all thresholds in one pass.
+
+    A task holds the edges of one permutation at one threshold. Sizes are 2 or more, as nodes without an edge are not looked at.
+    """
     spark = kernel.sparkSession
-    shared = spark.sparkContext.broadcast(Problem(kernel))
+    levels = spark.createDataFrame([(float(d),) for d in deltas], "delta double")
+    sim = permuted_similarity(kernel, heats, min(deltas), directed)
+    graphs = sim.join(F.broadcast(levels), F.col("w") >= F.col("delta"))  # a threshold or more for each edge
+    counted = at_least(component_members(graphs, ["perm_id", "delta"], directed), sizes, ["perm_id", "delta"])
+    wanted = heats.select(F.col("perm_id").cast("bigint").alias("perm_id")).distinct().withColumn("delta", F.explode(F.array(*[F.lit(float(d)) for d in deltas])))
+    wanted = wanted.withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
+    return wanted.join(counted, ["perm_id", "delta", "size"], "left").select("perm_id", "delta", "size", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        _, w = shared.value.weights(dict(zip(rows["node"], rows["score"])), directed)
-        found = graph.sizes_at(w, delta, directed)
-        return pd.DataFrame({"perm_id": rows["perm_id"].iloc[0], "size": sizes, "n": [int((found >= k).sum()) for k in sizes]})
 
-    return heats.groupBy("perm_id").applyInPandas(run, "perm_id bigint, size int, n bigint")
+def counts_by_permutation(kernel: DataFrame, heats: DataFrame, delta: float, sizes: list[int], directed: bool = True) -> DataFrame:
+    """``(perm_id, size, n)`` at one threshold."""
+    return counts_at_levels(kernel, heats, [delta], sizes, directed).drop("delta")
 
 
 def counts_by_network(networks: DataFrame, heat: DataFrame, beta: float, delta: float, sizes: list[int], directed: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +52,28 @@ def run_summary(runs: DataFrame, deltas: DataFrame) -> DataFrame:
     return kept.groupBy("network", "heat", "delta").agg(F.countDistinct("component").alias("n"))
 
 
-def document(members: DataFrame, scores: DataFrame, network: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """``(component, json)``: each component's nodes and edges."""
-    own = nodes(members, scores, labels).groupBy("component").agg(F.sort_array(F.collect_list(F.struct("name", "value"))).alias("nodes"))
+def document(members: DataFrame, scores: DataFrame, network: DataFrame, labels: DataFrame | None = None, display: DataFrame | None = None, mutations: DataFrame | None = None, n_samples: int = 0) -> DataFrame:
+    """``(component, json)``: each component's nodes and edges, and with mutations its coverage of the samples.
+
+    Nodes show the scores of ``display`` in place of the heat where it is given.
+    """
+    own = nodes(members, scores if display is None else display, labels).groupBy("component").agg(F.sort_array(F.collect_list(F.struct("name", "value"))).alias("nodes"))
     links = edges(members, network).groupBy("component").agg(F.sort_array(F.collect_list(F.struct("source", "target"))).alias("edges"))
     table = own.join(links, "component", "left")
-    return table.select("component", F.to_json(F.struct("nodes", F.coalesce("edges", F.array()).alias("edges"))).alias("json"))
+    shown = ["nodes", F.coalesce("edges", F.array()).alias("edges")]
+    if mutations is not None:
+        table = table.join(coverage(members, mutations, n_samples).select("component", "coverage"), "component", "left")
+        shown.append("coverage")
+    return table.select("component", F.to_json(F.struct(*shown)).alias("json"))
+
+
+def mutation_document(mutations: DataFrame, members: DataFrame, types: DataFrame) -> str:
+    """The mutations of the genes in components by gene and sample, and each sample's type, as JSON."""
+    matrix: dict = {}
+    for r in mutation_matrix(mutations, members).collect():  # what one page shows
+        matrix.setdefault(str(r["gene"]), {})[str(r["sample"])] = r["types"]
+    kinds = {str(r["sample"]): r["type"] for r in types.select("sample", "type").collect()}
+    return json.dumps({"geneToMutations": matrix, "sampleToType": kinds}, sort_keys=True)
 
 
 def first_merges(linkage: DataFrame, most: int = 20) -> DataFrame:

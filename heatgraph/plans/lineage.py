@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local tests) a
-    temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the master is this
+    machine (tests) a temporary folder is used; elsewhere executors could not read each other's files.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="heatgraph-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

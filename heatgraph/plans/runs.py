@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from heatgraph.operators import consensus, delta, heat as heat_ops, network, permute, similarity, view
 from heatgraph.plans.lineage import cut
-from heatgraph.sources import sinks
+from heatgraph.sources import sinks, text
 
 
 @dataclass
@@ -63,11 +63,12 @@ def single_run(edges: DataFrame, heat: DataFrame, settings: Settings, network_na
     members = cut(similarity.component_members(graphs, ["delta"]))
     sizes = list(settings.sizes)
     heats = cut(permute.permuted_heat(positive, nodes, settings.heat_permutations, others, settings.seed)) if settings.heat_permutations else None
+    permuted_counts = cut(similarity.counts_at_levels(kernel, heats, deltas, sizes)) if heats is not None else None
     tables = []
     for d in deltas:
         real = similarity.at_least(members.where(F.col("delta") == d), sizes)
         real = edges.sparkSession.createDataFrame([(k,) for k in sizes], "size int").join(real, "size", "left").na.fill(0)
-        counts = similarity.counts_by_permutation(kernel, heats, d, sizes) if heats is not None else None
+        counts = permuted_counts.where(F.col("delta") == d).drop("delta") if heats is not None else None
         tables.append(consensus.consensus_statistics(real, counts, settings.heat_permutations).withColumn("delta", F.lit(d)))
     statistics = tables[0]
     for t in tables[1:]:
@@ -77,9 +78,9 @@ def single_run(edges: DataFrame, heat: DataFrame, settings: Settings, network_na
     return Run(network_name, heat_name, listed.withColumns(names), cut(statistics.withColumns(names)), deltas)
 
 
-def all_runs(networks: dict[str, DataFrame], heats: dict[str, DataFrame], settings: Settings) -> tuple[list[Run], DataFrame, DataFrame]:
-    """Every network with every heat, their consensus roles, and the chosen thresholds."""
-    runs = [single_run(e, h, settings, n, k) for n, e in networks.items() for k, h in heats.items()]
+def all_runs(networks: dict[str, DataFrame], heats: dict[str, DataFrame], settings: Settings, own: dict[tuple[str, str], DataFrame] | None = None) -> tuple[list[Run], DataFrame, DataFrame]:
+    """Every network with every heat, their consensus roles, and the chosen thresholds; ``own`` has heats by (network, heat)."""
+    runs = [single_run(e, own[n, k] if own else h, settings, n, k) for n, e in networks.items() for k, h in heats.items()]
     members, statistics = runs[0].members, runs[0].statistics
     for r in runs[1:]:
         members, statistics = members.unionByName(r.members), statistics.unionByName(r.statistics)
@@ -87,18 +88,51 @@ def all_runs(networks: dict[str, DataFrame], heats: dict[str, DataFrame], settin
     return runs, cut(roles), cut(chosen)
 
 
+def dealt_heat(edges: DataFrame, heat: DataFrame, seed: int) -> DataFrame:
+    """``(node, score)``: the positive scores of a network's nodes dealt over all its nodes that have a score, 0 for the rest."""
+    nodes = network.both_ways(edges).select(F.col("src").alias("node")).distinct()
+    scores = cut(heat_ops.in_network(heat, nodes))
+    positive = cut(heat_ops.filter_heat(scores, None, False))
+    dealt = permute.permuted_heat(positive, nodes, 1, heat_ops.filtered_nodes(scores, positive), seed)
+    return cut(scores.select("node").distinct().join(dealt.select("node", "score"), "node", "left").na.fill(0.0))
+
+
 def permuted_consensus(networks: dict[str, DataFrame], heats: dict[str, DataFrame], settings: Settings, n: int, seed: int = 1) -> DataFrame:
-    """``(perm_id, size, n)``: consensus sizes of permuted heats on the same networks."""
+    """``(perm_id, size, n)``: consensus sizes of permuted heats on the same networks.
+
+    Each heat is dealt anew inside each network, over its nodes with a score, those of score 0 included.
+    """
+    connected = {k: cut(network.largest_component(network.canonical(e))) for k, e in networks.items()}
     found = None
     for i in range(1, n + 1):
-        dealt = {}
-        for k, h in heats.items():
-            dealt[k] = cut(permute.permuted_heat(h, h.select("node"), 1, None, seed * 1000 + i).select("node", "score"))
-        counts = consensus.size_counts(all_runs(networks, dealt, settings)[1]).withColumn("perm_id", F.lit(i))
+        pairs = [(e, h) for e in networks for h in heats]
+        own = {(e, h): dealt_heat(connected[e], heats[h], (seed * 1000 + i) * 100 + at) for at, (e, h) in enumerate(pairs)}
+        counts = cut(consensus.size_counts(all_runs(connected, heats, settings, own)[1]).withColumn("perm_id", F.lit(i)))
         found = counts if found is None else found.unionByName(counts)
     return found
 
 
+def stored_runs(spark, root: str) -> tuple[DataFrame, DataFrame]:
+    """``(network, heat, delta, component, node)`` and ``(network, heat, delta, size, observed, expected, pval)`` of the runs below ``root``."""
+    named = lambda name, part: F.coalesce(F.col("parameters")[name], F.split("run", "-")[part])
+    found = text.run_results(spark, root).select(named("network_name", 0).alias("network"), named("heat_name", 1).alias("heat"), "delta", "components", "statistics")
+    listed = found.select("network", "heat", "delta", F.posexplode("components").alias("component", "nodes"))
+    members = listed.select("network", "heat", "delta", "component", F.explode("nodes").alias("node"))
+    statistics = found.select("network", "heat", "delta", F.explode("statistics").alias("size", "s"))
+    return cut(members), cut(statistics.select("network", "heat", "delta", F.col("size").cast("int").alias("size"), "s.observed", "s.expected", "s.pval"))
+
+
+def stored_consensus(spark, root: str, output: str, pval: float = 0.01, min_size: int = 2) -> None:
+    """Consensus of stored runs as one file: a JSON document, or lines joined by commas, by the file's ending."""
+    members, statistics = stored_runs(spark, root)
+    roles, chosen = consensus.identified(members, statistics, pval, min_size)
+    linkers, listed, deltas = consensus_lists(roles, chosen)
+    if output.lower().endswith(".json"):
+        sinks.write_json(output, {"linkers": linkers, "consensus": listed, "deltas": deltas})
+    else:
+        sinks.write_text(output, f"# Linkers: {', '.join(linkers)}\n" + sinks.consensus_lines(linkers, listed, ", "))
+
+
 def write_run(run: Run, root: str, parameters: dict, heat: DataFrame | None = None, edges: DataFrame | None = None) -> str:
     """A folder for each threshold, and the payload and index of the result pages."""
     folder = os.path.join(root, f"{run.network}-{run.heat}".lower())
@@ -106,7 +140,8 @@ def write_run(run: Run, root: str, parameters: dict, heat: DataFrame | None = No
         own = run.members.where(F.col("delta") == d)
         listed = [[str(x) for x in r["members"]] for r in similarity.ordered(similarity.listing(own.select("component", "node"))).collect()]
         table = {r["size"]: {"observed": r["observed"], "expected": r["expected"], "pval": r["pval"]} for r in run.statistics.where(F.col("delta") == d).collect()}
-        sinks.write_run(folder, d, parameters, listed, table, sinks.heat_document(heat, parameters) if heat is not None else None)
+        named = parameters | {"network_name": run.network, "heat_name": run.heat, "delta": d}
+        sinks.write_run(folder, d, named, listed, table, sinks.heat_document(heat, parameters) if heat is not None else None)
         if heat is not None and edges is not None:
             pages = view.document(own.select("component", "node"), heat, edges).orderBy("component").collect()
             sinks.write_text(os.path.join(folder, "viz", f"delta_{d:g}.json"), "[" + ",\n".join(r["json"] for r in pages) + "]\n")
@@ -114,7 +149,8 @@ def write_run(run: Run, root: str, parameters: dict, heat: DataFrame | None = No
     return folder
 
 
-def write_consensus(roles: DataFrame, chosen: DataFrame, statistics: DataFrame, root: str, parameters: dict) -> None:
+def consensus_lists(roles: DataFrame, chosen: DataFrame) -> tuple[list[str], list[dict], dict]:
+    """Linkers, subnetworks with core and expansion (largest core first), and the threshold of each run."""
     rows = roles.collect()
     linkers = sorted(str(r["node"]) for r in rows if r["role"] == "linker")
     groups: dict = {}
@@ -122,6 +158,10 @@ def write_consensus(roles: DataFrame, chosen: DataFrame, statistics: DataFrame,
         if r["role"] != "linker":
             groups.setdefault(r["component"], {"core": [], "expansion": []})[r["role"]].append(str(r["node"]))
     listed = sorted(({k: sorted(v) for k, v in g.items()} for g in groups.values()), key=lambda g: (-len(g["core"]), g["core"]))
-    deltas = {f"{r['network']}-{r['heat']}": r["delta"] for r in chosen.collect()}
+    return linkers, listed, {f"{r['network']}-{r['heat']}": r["delta"] for r in chosen.collect()}
+
+
+def write_consensus(roles: DataFrame, chosen: DataFrame, statistics: DataFrame, root: str, parameters: dict) -> None:
+    linkers, listed, deltas = consensus_lists(roles, chosen)
     table = {r["size"]: {"observed": r["observed"], "expected": r["expected"], "pval": r["pval"]} for r in statistics.collect()}
     sinks.write_consensus(root, linkers, listed, deltas, table, parameters)

@@ -32,7 +32,8 @@ def words(value: str = "value") -> Column:
 
 
 def tabs(value: str = "value") -> Column:
-    return F.split(F.rtrim(F.col(value)), "\t")
+    """Tab columns of a line without the white space at its end, tabs included."""
+    return F.split(F.regexp_replace(F.col(value), r"\s+$", ""), "\t")
 
 
 def last_wins(rows: DataFrame, key: str, *values: str) -> DataFrame:
@@ -84,6 +85,31 @@ def heat_file(spark: SparkSession, path: str, is_json: bool) -> tuple[DataFrame,
     return heat, named["value"] if named else stem
 
 
+def network(edge_rows: DataFrame, index_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node)`` of the whole index, also those without an edge, and ``(src, dst)``."""
+    index = node_index(index_rows)
+    return index.select("node").distinct(), indexed_edges(edge_rows, index)
+
+
+def heat_mutations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """The mutations ``(sample, gene, mut_type, valid)`` that a heat document was made from, and ``(sample, type)``.
+
+    None if its parameters name no mutation files. Without a file of types every sample is of type "Cancer".
+    """
+    named = {r["parameter"]: r["value"] for r in heat_json(spark, path)[1].collect()}
+    if not (named.get("snvs") or named.get("cnas")):
+        return None
+    read = lambda key, parse: parse(lines(spark, named[key])) if named.get(key) else None
+    genes, people = read("genes", names), read("samples", samples)
+    parts = [read("snvs", lambda x: snvs(x, genes, people)), read("cnas", lambda x: cnas(x, genes, people))]
+    parts = [p for p in parts if p is not None]
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    types = read("sample_types", lambda x: sample_types(without_comments(x)))
+    if types is None:
+        types = (every if people is None else people).select("sample").distinct().withColumn("type", F.lit("Cancer"))
+    return every, types
+
+
 def display_names(rows: DataFrame) -> DataFrame:
     return _pairs(rows, tabs()[0], F.trim(tabs()[1]), ("node", "label"))
 
