@@ -12,6 +12,7 @@ from heatgraph.functions import hierarchy
 from heatgraph.operators import heat as heat_ops
 from heatgraph.operators import network
 from heatgraph.plans import runs
+from heatgraph.plans.lineage import cut
 from heatgraph.sources import sinks, text
 
 
@@ -86,7 +87,9 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         edges = _named_network(spark, args.index, args.edges)
         network.stored_kernel(args.kind, edges, args.parameter, args.output)
         if args.permutations:
-            sinks.save_permuted(network.permuted(network.largest_component(edges), args.permutations, args.swaps, args.seed), os.path.join(args.output, "permuted"))
+            made = cut(network.permuted(network.largest_component(edges), args.permutations, args.swaps, args.seed, report=True))
+            sinks.save_permuted(made.drop("swaps"), os.path.join(args.output, "permuted"))
+            sinks.write_json(os.path.join(args.output, "swaps.json"), {str(r["perm_id"]): r["swaps"] for r in made.select("perm_id", "swaps").distinct().collect()})
     elif args.command == "create-network":
         import pyspark.sql.functions as F
 

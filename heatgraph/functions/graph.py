@@ -109,40 +109,44 @@ def sizes_at(weights: np.ndarray, delta: float, directed: bool = True) -> np.nda
     return np.bincount(np.unique(label[touched], return_inverse=True)[1]) if touched.any() else np.zeros(0, np.int64)
 
 
-def swapped(edges: np.ndarray, n: int, swaps: int, rng: np.random.Generator) -> np.ndarray:
-    """Double edge swaps that keep degrees, simplicity and connectivity.
+def swapped(edges: np.ndarray, n: int, swaps: int, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+    """Double edge swaps that keep degrees, simplicity and connectivity, and how many were made.
 
     Swaps are tried in windows; a window after which the graph is not connected is undone and the
-    next one is shorter, else it grows.
+    next one is shorter, else it grows, up to one swap for each edge. Fewer swaps than wanted are made
+    only where 50 tries for each don't find them.
     """
     edges = [tuple(sorted(e)) for e in edges.tolist()]
     present = set(edges)
-    done, window = 0, 8
-    tries = 0
+    most = max(256, len(edges))
+    done, tries, window = 0, 0, 8
     while done < swaps and len(edges) > 1 and tries < 50 * swaps + 100:
-        saved_edges, saved_set, made = list(edges), set(present), 0
-        for _ in range(min(window, swaps - done) * 4):
+        wanted = min(window, swaps - done)
+        made = []  # what to put back
+        for (a, b), turned in zip(rng.integers(0, len(edges), (4 * wanted, 2)).tolist(), (rng.random(4 * wanted) < 0.5).tolist()):
             tries += 1
-            a, b = (int(x) for x in rng.integers(0, len(edges), 2))
             (u, v), (x, y) = edges[a], edges[b]
-            if rng.random() < 0.5:
+            if turned:
                 x, y = y, x
             if len({u, v, x, y}) < 4:
                 continue
-            first, second = tuple(sorted((u, y))), tuple(sorted((x, v)))
+            first, second = (u, y) if u < y else (y, u), (x, v) if x < v else (v, x)
             if first in present or second in present:
                 continue
-            present -= {edges[a], edges[b]}
-            present |= {first, second}
+            made.append((a, edges[a], b, edges[b]))
+            present.difference_update((edges[a], edges[b]))
+            present.update((first, second))
             edges[a], edges[b] = first, second
-            made += 1
-            if made >= min(window, swaps - done):
+            if len(made) >= wanted:
                 break
         label = components(n, *np.array(edges).T)
-        if len(set(label.tolist())) == 1:
-            done += made
-            window = min(window * 2, 256)
+        if (label == label[0]).all():
+            done += len(made)
+            window = min(window * 2, most)
         else:
-            edges, present = saved_edges, saved_set
+            for a, one, b, other in reversed(made):
+                present.difference_update((edges[a], edges[b]))
+                present.update((one, other))
+                edges[a], edges[b] = one, other
             window = max(1, window // 2)
-    return np.array(sorted(edges), np.int64)
+    return np.array(sorted(edges), np.int64), done

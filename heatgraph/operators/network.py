@@ -149,8 +149,11 @@ def balanced_beta(edges: DataFrame, digits: int = 2) -> DataFrame:
     return edges.select("src", "dst").repartition(1).mapInPandas(run, "beta double")
 
 
-def permuted(edges: DataFrame, n: int, swaps_per_edge: float = 115, seed: int = 0, first: int = 1) -> DataFrame:
-    """``(perm_id, src, dst)``: ``n`` networks of the same degrees, connected and simple, a task for each."""
+def permuted(edges: DataFrame, n: int, swaps_per_edge: float = 115, seed: int = 0, first: int = 1, report: bool = False) -> DataFrame:
+    """``(perm_id, src, dst)``: ``n`` networks of the same degrees, connected and simple, a task for each.
+
+    With ``report`` each row also has ``swaps``, the number made, to be held against the number asked for.
+    """
     spark = edges.sparkSession
     names, src, dst = _arrays(edges)
     kind = edges.schema["src"].dataType.simpleString()
@@ -161,7 +164,8 @@ def permuted(edges: DataFrame, n: int, swaps_per_edge: float = 115, seed: int =
         values = np.array(names, object)
         for ids in frames:
             for perm in ids["id"]:
-                made = graph.swapped(pairs, len(names), int(swaps_per_edge * len(pairs)), np.random.default_rng([seed, int(perm)]))
-                yield pd.DataFrame({"perm_id": int(perm), "src": values[made[:, 0]], "dst": values[made[:, 1]]})
+                made, swaps = graph.swapped(pairs, len(names), int(swaps_per_edge * len(pairs)), np.random.default_rng([seed, int(perm)]))
+                out = pd.DataFrame({"perm_id": int(perm), "src": values[made[:, 0]], "dst": values[made[:, 1]]})
+                yield out.assign(swaps=swaps) if report else out
 
-    return spark.range(first, first + n).repartition(n).mapInPandas(run, f"perm_id bigint, src {kind}, dst {kind}")
+    return spark.range(first, first + n).repartition(n).mapInPandas(run, f"perm_id bigint, src {kind}, dst {kind}" + (", swaps bigint" if report else ""))

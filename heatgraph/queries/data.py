@@ -55,13 +55,13 @@ def net(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
     return best.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).distinct()
 
 
-PARTS = "parts as materialized (select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey where a.l_quantity > 44 and b.l_quantity > 44)"
+PARTS = "parts as materialized (select distinct a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_quantity = b.l_quantity and a.l_partkey < b.l_partkey)"
 
 
 def parts_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that were ordered together in bulk: many components."""
-    items = table(spark, sf_dir, "lineitem").where("l_quantity > 44").select("l_orderkey", "l_partkey").distinct()
-    return items.select("l_orderkey", F.col("l_partkey").alias("src")).join(items.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src < dst").select("src", "dst").distinct()
+    """Parts that an order has in the same quantity: many components."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.col("l_partkey").alias("src")).distinct()
+    return items.join(items.withColumnRenamed("src", "dst"), ["l_orderkey", "l_quantity"]).where("src < dst").select("src", "dst").distinct()
 
 
 def closure_sql(edges: str, name: str, keys: str = "") -> str:

@@ -65,10 +65,10 @@ def ppr_top_influencers(spark, sf_dir):
     return data.kernel(spark, sf_dir).where("src <> dst").withColumn("r", rank).where("r <= 3").drop("r")
 
 
-@query(f"""with {net_sql(3)}, {kernel_sql()} select dst, src, p from kernel where src in (select distinct src from net order by src limit 5)""")
+@query(f"""with {net_sql(3)}, {kernel_sql()} select dst, src, p from kernel""")
 def ppr_iterated(spark, sf_dir):
     edges = data.net(spark, sf_dir)
-    seeds = edges.select(F.col("src").alias("node")).distinct().orderBy("node").limit(5)
+    seeds = network.both_ways(edges).select(F.col("src").alias("node")).distinct()
     return network.restart_iteration(edges, seeds, BETA).select("dst", "src", F.round("p", 6).alias("p"))
 
 
@@ -170,7 +170,7 @@ def significance_heat(spark, sf_dir):
 
 
 def _swapped(spark, sf_dir, n=3):
-    return network.permuted(data.net(spark, sf_dir), n, swaps_per_edge=5, seed=1)
+    return network.permuted(data.net(spark, sf_dir), n, seed=1)
 
 
 @query()

@@ -44,11 +44,15 @@ def test_groups_and_sizes():
 def test_swaps_keep_degrees_and_connection():
     rng = np.random.default_rng(2)
     edges = np.array([(i, i + 1) for i in range(29)] + [(int(a), int(b)) for a, b in {tuple(sorted(p)) for p in rng.integers(0, 30, (25, 2)).tolist()} if b > a + 1])
-    made = graph.swapped(edges, 30, 400, rng)
+    made, done = graph.swapped(edges, 30, 400, rng)
+    assert done == 400
     assert (np.bincount(made.ravel()) == np.bincount(edges.ravel())).all()
     assert len({tuple(e) for e in made.tolist()}) == len(edges) and (made[:, 0] < made[:, 1]).all()
     assert len(set(graph.components(30, *made.T).tolist())) == 1
     assert {tuple(e) for e in made.tolist()} != {tuple(e) for e in edges.tolist()}
+    star = np.array([(0, i) for i in range(1, 6)])
+    made, done = graph.swapped(star, 6, 10, rng)
+    assert done == 0 and made.tolist() == star.tolist()
 
 
 def ring(n=12, chords=((0, 5), (3, 9))):

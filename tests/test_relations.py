@@ -175,6 +175,9 @@ def test_command_line(spark, tmp_path):
     named = write(tmp_path / "named.txt", "#c\nb\ta\nb\tb\nc\tb\nx\ty\n")
     cli.run(spark, ["create-network", "--edges", named, "--output", f"{out}/made"])
     assert [r.value for r in spark.read.text(f"{out}/made_index_gene").collect()] == ["1\ta", "2\tb", "3\tc"]
+    cli.run(spark, ["network", "--index", index, "--edges", edges, "--output", f"{out}/kernel", "--permutations", "2", "--swaps", "3"])
+    assert json.load(open(f"{out}/kernel/swaps.json")) == {"1": 3 * len(pairs), "2": 3 * len(pairs)}
+    assert spark.read.parquet(f"{out}/kernel/permuted").groupBy("perm_id").count().orderBy("perm_id").collect() == [(1, len(pairs)), (2, len(pairs))]
     snv = write(tmp_path / "snv.txt", "s1\tg1\ns2\tg1\tg2\n")
     cna = write(tmp_path / "cna.txt", "s1\tg2(A)\n")
     cli.run(spark, ["heat-mutation", "--snvs", snv, "--cnas", cna, "--output", f"{out}/m.json"])
