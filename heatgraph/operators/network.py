@@ -60,13 +60,15 @@ def walk_matrix(edges: DataFrame) -> DataFrame:
 
 
 def _arrays(edges: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
-    """Node names in order and the edges by place, of a network small enough."""
+    """Node names and the edges by place, both in order whatever the partitions, of a network small enough."""
     rows = edges.select("src", "dst").limit(MOST_EDGES + 1).toPandas()
     if len(rows) > MOST_EDGES:
         raise ValueError(f"more than {MOST_EDGES} edges: use restart_iteration")
     names = sorted(set(rows["src"]) | set(rows["dst"]))
     place = {x: i for i, x in enumerate(names)}
-    return names, rows["src"].map(place).to_numpy(np.int64), rows["dst"].map(place).to_numpy(np.int64)
+    src, dst = rows["src"].map(place).to_numpy(np.int64), rows["dst"].map(place).to_numpy(np.int64)
+    order = np.lexsort((dst, src))
+    return names, src[order], dst[order]
 
 
 def restart_kernel(edges: DataFrame, beta: float, block: int = 256, places: int | None = None) -> DataFrame:

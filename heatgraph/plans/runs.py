@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,7 @@ class Settings:
     seed: int = 0
     deltas: tuple[float, ...] = ()
     pval: float = 0.01
+    at_once: int = 4  # runs whose jobs share the cluster
 
 
 @dataclass
@@ -80,7 +82,9 @@ def single_run(edges: DataFrame, heat: DataFrame, settings: Settings, network_na
 
 def all_runs(networks: dict[str, DataFrame], heats: dict[str, DataFrame], settings: Settings, own: dict[tuple[str, str], DataFrame] | None = None) -> tuple[list[Run], DataFrame, DataFrame]:
     """Every network with every heat, their consensus roles, and the chosen thresholds; ``own`` has heats by (network, heat)."""
-    runs = [single_run(e, own[n, k] if own else h, settings, n, k) for n, e in networks.items() for k, h in heats.items()]
+    with ThreadPoolExecutor(max(1, settings.at_once)) as pool:
+        waiting = [pool.submit(single_run, e, own[n, k] if own else h, settings, n, k) for n, e in networks.items() for k, h in heats.items()]
+        runs = [w.result() for w in waiting]
     members, statistics = runs[0].members, runs[0].statistics
     for r in runs[1:]:
         members, statistics = members.unionByName(r.members), statistics.unionByName(r.statistics)

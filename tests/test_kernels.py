@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from heatgraph.functions import diffusion, graph, hierarchy, thresholds
+from heatgraph.functions import diffusion, graph, hierarchy, simulate, thresholds
 
 
 def reach(n, src, dst):
@@ -221,3 +221,29 @@ def test_blocks_that_only_just_fit(spark):
     blocks = spark.createDataFrame([(s, "c", b, "amp", 0, 3) for s in range(40) for b in range(3)], "sample int, chromo string, block bigint, mut_type string, start int, n bigint")
     placed = permute.permuted_blocks(blocks, order).collect()
     assert sorted((r.sample, r.start) for r in placed) == [(s, at) for s in range(40) for at in (1, 5, 9)]
+
+
+def test_simulated_study():
+    networks, heats, planted = simulate.simulated_study()
+    assert (networks, heats, planted) == simulate.simulated_study() and networks != simulate.simulated_study(seed=1)[0]
+    assert [len(h) for h in heats] == [230, 240] and [len(p) for p in planted] == [5] * 5 + [10] * 5
+    members = [v for p in planted for v in p]
+    assert len(members) == len(set(members))
+    for edges, size in zip(networks, (225, 235, 245)):
+        inside = {v for e in edges for v in e}
+        assert 750 < len(edges) and len(inside) <= size and all(u < v for u, v in edges) and len(set(edges)) == len(edges)
+        for p in planted:  # what the sample holds of a clique is a clique
+            held = sorted(set(p) & inside)
+            assert {(u, v) for i, u in enumerate(held) for v in held[i + 1 :]} <= set(edges)
+    for h in heats:
+        assert min(h[v] for v in members if v in h) >= max(s for v, s in h.items() if v not in members)
+    with pytest.raises(ValueError):
+        simulate.simulated_study(20, 10)
+    grown = simulate.preferential_attachment(40, 3, np.random.default_rng(0))
+    assert len(grown) == 37 * 3 and all(u < v for u, v in grown)
+
+
+def test_random_weights():
+    w = simulate.random_weights(60, 0.5, 4, seed=3)
+    assert (np.diag(w) == 0).all() and set(np.unique(w).tolist()) == {0.0, 0.25, 0.5, 0.75, 1.0} and 0.4 < (w == 0).mean() < 0.6
+    assert np.array_equal(w, simulate.random_weights(60, 0.5, 4, seed=3))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from heatgraph import cli
 from heatgraph.functions import graph
-from heatgraph.operators import delta, permute, similarity, view
+from heatgraph.operators import delta, network, permute, similarity, view
 from heatgraph.plans import runs
 from heatgraph.sources import text
 
@@ -144,3 +144,10 @@ def test_pages_with_mutations(spark):
     assert page["nodes"][0] == {"name": "a", "value": 7.0} and page["nodes"][1]["name"] == "b" and page["nodes"][1]["value"] in ("NaN", None)
     types = spark.createDataFrame([("s1", "Cancer")], "sample string, type string")
     assert json.loads(view.mutation_document(mutations, members, types)) == {"geneToMutations": {"a": {"s1": ["snv"]}, "b": {"s1": ["amp"]}}, "sampleToType": {"s1": "Cancer"}}
+
+
+def test_permuted_networks_do_not_depend_on_partitions(spark):
+    pairs = [(i, (i + k) % 40) for i in range(40) for k in (1, 3)]
+    edges = network.canonical(spark.createDataFrame(pairs, "src int, dst int")).cache()
+    seen = {tuple(sorted(tuple(r) for r in network.permuted(e, 2, 5, seed=3).collect())) for e in (edges, edges.orderBy("dst").coalesce(1), edges.repartition(7, "dst"))}
+    assert len(seen) == 1
