@@ -36,3 +36,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame of ``stored``, once nothing will read it again."""
+    jvm = df.sparkSession._jvm
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()[:1]}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
