@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatgraph.llm import chat, decontamination, html, packing, pii, quality, simhash, sketch, tokens, toxicity
+from heatgraph.llm import alignment, chat, decontamination, html, packing, phrases, pii, quality, simhash, sketch, tokens, toxicity, urls
 from heatgraph.llm.tables import read
 
 
@@ -56,6 +56,20 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(read(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged_urls(read(spark, sf_dir, "pages"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignments(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_fingerprints": op2_fingerprints,
@@ -67,5 +81,8 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
+    "op11_collocations": op11_collocations,
+    "op12_url_filters": op12_url_filters,
+    "op13_token_alignment": op13_token_alignment,
 }
-ORACLE_SQL: dict[str, str] = {"op3_preference_format": chat.sql(), "op6_length_buckets": packing.sql()}
+ORACLE_SQL: dict[str, str] = {"op3_preference_format": chat.sql(), "op6_length_buckets": packing.sql(), "op11_collocations": phrases.sql(), "op12_url_filters": urls.sql()}
