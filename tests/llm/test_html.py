@@ -23,6 +23,116 @@ CASES = [
 ]
 
 
+
+
+def story(k: str, n: int = 3) -> str:
+    return " ".join(f"{k} sentence {i} tells a part of the long story with many plain words in it, one after the other." for i in range(n))
+
+
+def told(k: str, n: int = 3) -> str:
+    return "".join(f"<p>{k} sentence {i} tells a part of the long story with many plain words in it, one after the other.</p>" for i in range(n))
+
+
+REPLIES = "".join(f"<article class=comment><p>{w} thinks that this is a rather long reply to what was said above, and more.</p></article>" for w in "abcd")
+TEASERS = "".join(f"<article><h3><a href=/{w}>Read {w}</a></h3><p>Teaser {w} in a few words.</p></article>" for w in "abc")
+TAGS_DISAGREE = {
+    "comments are articles": (f"<div class=post>{told('post')}</div><section id=comments>{REPLIES}</section>", story("post")),
+    "comments as articles in main": (f"<main><article>{told('own')}</article><section id=comments>{REPLIES}</section></main>", story("own")),
+    "comments inside the article": (f"<article>{told('own')}<section class='post-comments'>{REPLIES}</section></article>", story("own")),
+    "comments without a container": (f"<article>{told('own', 5)}{REPLIES}</article>", story("own", 5)),
+    "comments named by one word": (f"<article>{told('own')}<ol class=commentlist><li class='comment even'>{told('re')}</li></ol></article>", story("own")),
+    "wrapper named as layout": (f"<div class='wrap sidebar-left'>{told('own', 5)}</div><div><article>teaser</article></div>", story("own", 5)),
+    "article inside such a wrapper": (f"<div class='widget'><article>{told('own')}</article></div><div class=x>{told('z', 1)}</div>", story("own")),
+    "body that has a sidebar": (f"<div class='has-sidebar no-comments'>{told('own')}</div><div class=sidebar>{told('s', 1)}</div>", story("own")),
+    "headings with noise ids": (f"<article><h2 id='related-work'>Related work</h2><p id='search-engines'>Search engines.</p>{told('own')}</article>", f"Related work Search engines. {story('own')}"),
+    "sections with noise ids": (f"<article>{told('own')}<section id='related-work'>{told('other')}</section></article>", f"{story('own')} {story('other')}"),
+    "paragraph named sidebar": (f"<article>{told('own')}<p class='sidebar'>Note.</p></article>", f"{story('own')} Note."),
+    "advert as a paragraph": (f"<article>{told('own', 2)}<p class='advert'>Buy it now.</p>{told('and', 1)}</article>", f"{story('own', 2)} {story('and', 1)}"),
+    "teasers below": (f"<main><article>{told('own', 4)}</article><section class=more>{TEASERS}</section></main>", story("own", 4)),
+    "teasers beside a plain story": (f"<div id=page><div class=post>{told('own', 4)}</div><div class=more>{TEASERS}</div></div>", story("own", 4)),
+    "teasers in main beside a plain story": (f"<main><div class=post>{told('own', 4)}</div>{TEASERS}</main>", story("own", 4)),
+    "related posts": (f"<article>{told('own')}<div class='related-posts'>{told('rel', 6)}</div></article>", story("own")),
+    "short article, long notice": (f"<article>{told('own', 1)}</article><div class='cookie-notice'>{told('we', 9)}</div>", story("own", 1)),
+    "only comments": (f"<section id=comments>{REPLIES}</section>", ""),
+    "hidden copy": (f"<article>{told('own')}</article><div hidden>{told('own', 9)}</div>", story("own")),
+    "role": (f"<div role=main>{told('own')}</div><div role=complementary>{told('side', 2)}</div>", story("own")),
+}
+
+
+@pytest.mark.parametrize("name", TAGS_DISAGREE)
+def test_density_decides(name):
+    page, want = TAGS_DISAGREE[name]
+    assert main_text(f"<html><body><nav><a href=/>Home</a></nav>{page}<footer>f</footer></body></html>") == want
+
+
+def plain_density(page: str) -> list[tuple[str, float, float]]:
+    """Composite text density by its definition, recursive: (tag, density, sum of the children's densities) of every element."""
+    import math
+    from xml.etree import ElementTree
+
+    def counts(e, linked):
+        here = linked or e.tag == "a"
+        parts = [(e.text or "", here)] + [(c.tail or "", here) for c in e]
+        own = [sum(len(" ".join(t.split())) for t, _ in parts), sum(len(" ".join(t.split())) for t, k in parts if k), 0, 0]
+        for c in e:
+            below = counts(c, here)
+            own = [own[0] + below[0], own[1] + below[1], own[2] + below[2] + 1, own[3] + below[3] + (c.tag == "a")]
+        return own
+
+    def linked_above(e, above):
+        return any(x.tag == "a" for x in above)
+
+    body = ElementTree.fromstring(page).find("body")
+    all_chars, all_links = counts(body, False)[:2]
+
+    def density(e, above):
+        c, lc, t, lt = counts(e, linked_above(e, above))
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + all_links / all_chars * c + math.e)
+        return max(0.0, c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / base) or c / max(t, 1) * 1e-3
+
+    out = []
+
+    def visit(e, above):
+        total = sum(density(c, (*above, e)) for c in e)
+        out.append((e.tag, density(e, above), total or density(e, above)))
+        for c in e:
+            visit(c, (*above, e))
+
+    visit(body, ())
+    return out
+
+
+def test_density_against_its_definition():
+    import random
+
+    from heatgraph.llm import html
+
+    rng = random.Random(7)
+
+    def made(depth: int) -> str:
+        text = " ".join(rng.choice(["word", "other", "a", "longer-word"]) for _ in range(rng.randint(0, 12)))
+        if depth == 0 or rng.random() < 0.2:
+            return text
+        tag = rng.choice(["div", "section", "blockquote", "b", "a"])
+        return text + "".join(f"<{tag}>{made(depth - 1)}</{tag}>" for _ in range(rng.randint(1, 4)))
+
+    for _ in range(60):
+        page = f"<html><body>{''.join(f'<div>{made(3)}</div>' for _ in range(rng.randint(1, 5)))}</body></html>"
+        if "<a><a>" in page or re.search(r"<a>[^<]*<(?!/)", page):
+            page = page.replace("<a>", "<i>").replace("</a>", "</i>")
+        tree = html._parse(page)
+        found = html._Densities(tree, tree.text, [False] * len(tree.tag))
+        body = tree.tag.index("body")
+        got = [(tree.tag[i], found.density[i], found.sums[i]) for i in range(body, len(tree.tag))]
+        want = plain_density(page)
+        assert [x[0] for x in got] == [x[0] for x in want]
+        assert all(abs(a - b) < 1e-9 for x, y in zip(got, want) for a, b in zip(x[1:], y[1:]))
+        best = max(x[2] for x in want)
+        assert found.core is None or found.sums[found.core] <= best + 1e-9
+
+
 @pytest.mark.parametrize("page,want", CASES)
 def test_made_pages(page, want):
     assert main_text(page) == " ".join(want.split())
