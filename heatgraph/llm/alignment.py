@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -138,10 +137,10 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: b
 
         def out(batch: pa.RecordBatch) -> pa.RecordBatch:
             codes = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            columns = [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([sizes], pa.list_(pa.int32())), pa.array([codes], pa.list_(pa.int32())), pa.array([list(numbers)], pa.list_(pa.string()))]
+            columns = [pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([sizes], pa.list_(pa.int32())), pa.array([codes], pa.list_(pa.int32())), pa.array([list(numbers)], pa.list_(pa.string()))]
             for x in (ids, sizes, parts, numbers):
                 x.clear()
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "sizes", "codes", "segments"])
+            return pa.RecordBatch.from_arrays(columns, ["ids", "sizes", "codes", "segments"])
 
         batch = None
         for batch in slices(batches, "text"):
@@ -158,7 +157,8 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: b
             yield out(batch)
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"chunk string, ids array<{kind}>, sizes array<int>, codes array<int>, segments array<string>")
+    found = source.mapInArrow(run, f"ids array<{kind}>, sizes array<int>, codes array<int>, segments array<string>")
+    return found.withColumn("chunk", F.monotonically_increasing_id())  # for good once it is written
 
 
 _ALIGNED = "segment string, ok boolean, n_a int, n_b int, n_groups int, n_links bigint, groups string, a array<int>, b array<int>, times array<bigint>"

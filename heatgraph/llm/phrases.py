@@ -13,7 +13,6 @@ A phrase is only as frequent as its parts, so dropping the infrequent units of a
 from __future__ import annotations
 
 import re
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,8 +27,10 @@ from heatgraph.plans.lineage import dropped, stored
 
 LEAST, MOST_WORDS, TOP, COVER, SCALE = 10, 3, 2000, 50, 1_000_000
 UNKNOWN = "und"
-#: Words of a chunk (more only if one document has more).
-CHUNK = 1 << 19
+#: Words that a task holds in chunks, one for each language (more only if one document has more).
+CHUNK = 1 << 21
+#: Names of a level up to this number are broadcast to the dictionaries; more of them are shuffled with these.
+MOST_NAMES = 1_000_000
 
 _CUT = re.compile(r"[.,;:!?\x0a-\x0d]+")
 _CUT_MARK = "\n"  # can't be a word, as it ends a piece
@@ -56,10 +57,10 @@ class _Chunk:
         codes = np.concatenate(self.parts) - 2
         units = list(self.numbers)[2:]
         self.numbers.default_factory = None  # it refers to the numbers, which go as soon as nothing does
-        return uuid.uuid4().hex, lang, codes, units, np.bincount(codes[codes >= 0], minlength=len(units))
+        return lang, codes, units, np.bincount(codes[codes >= 0], minlength=len(units))
 
 
-_CHUNK = pa.schema([("chunk", pa.string()), ("lang", pa.string()), ("codes", pa.list_(pa.int32())), ("units", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_CHUNK = pa.schema([("lang", pa.string()), ("codes", pa.list_(pa.int32())), ("units", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
 def _chunks(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFrame:
@@ -71,7 +72,7 @@ def _chunks(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFra
         def out() -> Iterator[pa.RecordBatch]:
             for lang, chunk in held.items():
                 row = chunk.row(lang)
-                if row[3]:
+                if row[2]:
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _CHUNK.types)], schema=_CHUNK)
             held.clear()
 
@@ -84,7 +85,8 @@ def _chunks(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFra
         yield from out()
 
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "chunk string, lang string, codes array<int>, units array<string>, counts array<bigint>")
+    found = source.mapInArrow(run, "lang string, codes array<int>, units array<string>, counts array<bigint>")
+    return found.withColumn("chunk", F.monotonically_increasing_id())  # for good once it is written
 
 
 def _named(counted: DataFrame, least: int) -> DataFrame:
@@ -92,7 +94,7 @@ def _named(counted: DataFrame, least: int) -> DataFrame:
     return stored(counted.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
 
 
-_PAIRED = pa.schema([("chunk", pa.string()), ("codes", pa.list_(pa.int32())), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+_PAIRED = pa.schema([("chunk", pa.int64()), ("codes", pa.list_(pa.int32())), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
 
 def _paired(chunks: DataFrame, placed: DataFrame) -> DataFrame:
@@ -115,7 +117,13 @@ def _paired(chunks: DataFrame, placed: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(rows, _PAIRED.types)], schema=_PAIRED)
 
     sequences = chunks.select("chunk", "codes").groupBy("chunk")
-    return sequences.cogroup(placed.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(run, "chunk string, codes array<int>, lefts array<bigint>, rights array<bigint>, counts array<bigint>")
+    return sequences.cogroup(placed.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(run, "chunk bigint, codes array<int>, lefts array<bigint>, rights array<bigint>, counts array<bigint>")
+
+
+def _placed(units: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """``(chunk, code, id)`` of the units that have a name."""
+    few = names.limit(MOST_NAMES + 1).count() <= MOST_NAMES
+    return units.join(F.broadcast(names) if few else names.hint("shuffle_hash"), keys).select("chunk", "code", "id")
 
 
 def _units(paired: DataFrame) -> DataFrame:
@@ -140,19 +148,22 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     one = F.array("f")
     words = _named(counted, least).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", one.alias("firsts"), one.alias("lasts"), F.lit(None).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("right"))
     levels = [words]
-    placed = units.join(words.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("chunk", "code", "id")
-    for _ in range(2, most_words + 1):
-        before, paired = held, stored(_paired(held, placed))
-        dropped(before)
-        held, units, above = paired, _units(paired), levels[-1]
+    placed = _placed(units, words.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"])
+    for k in range(2, most_words + 1):
+        before, held = held, _paired(held, placed)
+        if k < most_words:  # the last level is only counted
+            held = stored(held)
+            dropped(before)
+        units, above = _units(held), levels[-1]
         counted = units.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         left = above.select(F.col("id").alias("left"), "lang", "phrase", "firsts")
         right = above.select(F.col("id").alias("right"), "last", "lasts")
         own = F.array("f")
         spelled = counted.join(left, "left").join(right, "right").select("lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.concat("firsts", own).alias("firsts"), F.concat("lasts", own).alias("lasts"), "left", "right")
         levels.append(_named(spelled, least))
-        placed = units.join(levels[-1].select("left", "right", "id"), ["left", "right"]).select("chunk", "code", "id")
-    dropped(held)
+        if k < most_words:
+            placed = _placed(units, levels[-1].select("left", "right", "id"), ["left", "right"])
+    dropped(before if most_words > 1 else held)
     return totals, levels
 
 
