@@ -5,29 +5,35 @@ No token of either vocabulary reaches over such a place: that is verified for ev
 vocabularies are loaded, and the first one's pre-tokenizer ends a piece there anyhow. So a text's tokens
 are those of its segments one after the other, and both kinds of tokens end together at every cut.
 
-Texts are held as chunks: numbers beside a dictionary of distinct segments. Dictionaries, never
-occurrences, are joined: the distinct segments of all documents are tokenised and aligned once, joined back
-to the chunks, and each chunk composes its documents.
+Texts are held as chunks: numbers beside a dictionary of distinct segments. Only dictionaries are shuffled, never
+occurrences: all places of a segment in dictionaries meet, where it is tokenised and aligned once, and
+the alignment goes back to each of the chunks, which compose their documents from it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from heatgraph.llm.tables import release, slices, texts
 from heatgraph.plans.lineage import dropped, stored
 
 #: Characters of a chunk (more only if one document has more).
-CHUNK = 4 << 20
+CHUNK = 24 << 20
+#: Linked id pairs up to this number are sent to the tasks as a sorted list; more of them are shuffled to the chunks.
+MOST_PAIRS = 2_000_000
+#: Places of a chunk that are looked at together.
+BLOCK = 1 << 20
 #: White space in any of the definitions in use (this module's is the widest) never comes before a cut.
 _SEGMENT = re.compile(r"(?<=\S)(?= .)", re.S)
 _SPACE = "▁"
@@ -60,6 +66,9 @@ class Pair:
             self.a_bytes[i] = bytes(letters[c] for c in entry)
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.a_size = np.zeros(1 + max(self.a_bytes), np.int64)
+        self.a_size[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         self.separable = self._separable()
 
     def _piece(self, i: int) -> bytes:
@@ -74,34 +83,52 @@ class Pair:
                 return False
         return not any(crosses.search(self.b.id_to_piece(i).replace(_SPACE, " ")) for i in range(len(self.b_bytes)) if not self.b.is_byte(i))
 
-    def encoded(self, cut: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """Ids of both for each segment, and whether both spell exactly its bytes."""
-        ours = [e.ids for e in self.a.encode_batch(cut, add_special_tokens=False)]
-        theirs = self.b.encode([s[1:] for s in cut], num_threads=1)
-        out = []
-        for s, x, y in zip(cut, ours, theirs):
-            whole = s.encode()
-            out.append((x, y, b"".join(self.a_bytes.get(i, b"") for i in x) == whole and b"".join(self.b_bytes[i] for i in y) == whole))
+    def encoded(self, cut: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both for all segments, how many of each a segment has, and whether both spell exactly its bytes.
+
+        Segments that end in no white space are tokenised in one go, as what the vocabularies can't merge doesn't depend on its
+        neighbours; if that doesn't spell them, and for all others, each is tokenised for itself.
+        """
+        joined = "".join(cut)
+        if self.separable and not any(s[-1:].isspace() for s in cut):
+            x = np.array(self.a.encode(joined, add_special_tokens=False).ids, np.int64)
+            y = np.array(self.b.encode(joined[1:]), np.int64)
+            whole = joined.encode()
+            if self._spelled(x, y, whole):
+                ends = np.cumsum([len(s.encode()) for s in cut])
+                n_x = np.diff(np.searchsorted(np.cumsum(self.a_size[x]), ends, side="right"), prepend=0)
+                n_y = np.diff(np.searchsorted(np.cumsum(self.b_size[y]), ends, side="right"), prepend=0)
+                return x, y, n_x, n_y, np.ones(len(cut), bool)
+        xs = [e.ids for e in self.a.encode_batch(cut, add_special_tokens=False)]
+        ys = self.b.encode([s[1:] for s in cut], num_threads=1)
+        ok = np.array([self._spelled(x, y, s.encode()) for x, y, s in zip(xs, ys, cut)], bool)
+        xs, ys = ([z if k else [] for z, k in zip(zs, ok.tolist())] for zs in (xs, ys))
+        flat = lambda zs: np.fromiter((i for z in zs for i in z), np.int64)
+        return flat(xs), flat(ys), np.array([len(x) for x in xs], np.int64), np.array([len(y) for y in ys], np.int64), ok
+
+    def _spelled(self, x, y, whole: bytes) -> bool:
+        x, y = (z.tolist() if isinstance(z, np.ndarray) else z for z in (x, y))
+        return b"".join(map(self.a_bytes.__getitem__, x)) == whole and b"".join(map(self.b_bytes.__getitem__, y)) == whole
+
+    def aligned(self, cut: list[str]) -> list[bytes]:
+        """For each segment its groups as numbers: how many, ids of the first and of the second in each, then all ids; empty if not spelled."""
+        x, y, n_x, n_y, ok = self.encoded(cut)
+        end_x, end_y = np.cumsum(self.a_size[x]), np.cumsum(self.b_size[y])
+        common = np.intersect1d(end_x, end_y, assume_unique=True)  # every segment's end is among them
+        in_x = np.diff(np.searchsorted(end_x, common, side="right"), prepend=0)
+        in_y = np.diff(np.searchsorted(end_y, common, side="right"), prepend=0)
+        last = np.searchsorted(common, np.concatenate([[0], end_x])[np.cumsum(n_x)], side="right")
+        groups = np.diff(last, prepend=0)
+        kind = np.uint32
+        in_x, in_y, x, y = in_x.astype(kind), in_y.astype(kind), x.astype(kind), y.astype(kind)
+        out, g, i, j = [], 0, 0, 0
+        for n, a, b, fine in zip(groups.tolist(), n_x.tolist(), n_y.tolist(), ok.tolist()):
+            out.append(b"".join((_U(n), in_x[g : g + n].tobytes(), in_y[g : g + n].tobytes(), x[i : i + a].tobytes(), y[j : j + b].tobytes())) if fine else b"")
+            g, i, j = g + n, i + a, j + b
         return out
 
-    def groups(self, x: list[int], y: list[int]) -> list[tuple[list[int], list[int]]]:
-        """Ids between the byte offsets where tokens of both end."""
-        out, i, at_i, j, at_j = [], 0, 0, 0, 0
-        while i < len(x):
-            first_i, first_j = i, j
-            at_i += len(self.a_bytes[x[i]])
-            i += 1
-            while True:
-                if at_j < at_i:
-                    at_j += len(self.b_bytes[y[j]])
-                    j += 1
-                elif at_i < at_j:
-                    at_i += len(self.a_bytes[x[i]])
-                    i += 1
-                else:
-                    break
-            out.append((x[first_i:i], y[first_j:j]))
-        return out
+
+_U = struct.Struct("<I").pack
 
 
 @lru_cache(maxsize=1)
@@ -109,22 +136,57 @@ def _pair(byte_level: str, pieces: str) -> Pair:
     return Pair(byte_level, pieces)
 
 
-def written(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+class Aligned:
+    """The alignments of a chunk's segments as arrays, by the number of the segment."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        self.ok = np.array([len(b) > 0 for b in blobs], bool)
+        numbers = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
+        size = np.array([len(b) >> 2 for b in blobs], np.int64)
+        begin = np.cumsum(size) - size
+        self.n_groups = np.zeros(len(blobs), np.int64)
+        self.n_groups[self.ok] = numbers[begin[self.ok]]
+        spread = lambda first, n: np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        of = np.repeat(np.arange(len(blobs)), self.n_groups)  # segment of each group
+        in_a = numbers[spread(begin + 1, self.n_groups)]
+        in_b = numbers[spread(begin + 1 + self.n_groups, self.n_groups)]
+        self.n_a = np.bincount(of, in_a, len(blobs)).astype(np.int64)
+        self.n_b = np.bincount(of, in_b, len(blobs)).astype(np.int64)
+        self.a = numbers[spread(begin + 1 + 2 * self.n_groups, self.n_a)]
+        self.b = numbers[spread(begin + 1 + 2 * self.n_groups + self.n_a, self.n_b)]
+        self.in_a, self.in_b = in_a, in_b
+        times = in_a * in_b
+        self.n_links = np.bincount(of, times, len(blobs)).astype(np.int64)
+        # links: every first id of a group with every second one
+        group_a = np.repeat(np.arange(len(in_a)), in_a)
+        first = np.repeat(self.a, in_b[group_a])
+        second = self.b[spread((np.cumsum(in_b) - in_b)[group_a], in_b[group_a])]
+        self.pairs, number = np.unique(first << 32 | second, return_inverse=True)
+        key, self.times = np.unique(np.repeat(of, times) * max(len(self.pairs), 1) + number, return_counts=True)
+        self.held = key % max(len(self.pairs), 1)  # distinct pairs of each segment, as numbers of ``pairs``
+        self.n_held = np.bincount(key // max(len(self.pairs), 1), minlength=len(blobs))
+
+    def spelled(self) -> list[str]:
+        """``a1,a2|b1;...`` of each segment."""
+        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        groups, i, j = [], 0, 0
+        for m, n in zip(self.in_a.tolist(), self.in_b.tolist()):
+            groups.append(f"{a[i]}|{b[j]}" if m == n == 1 else f"{','.join(a[i : i + m])}|{','.join(b[j : j + n])}")
+            i, j = i + m, j + n
+        out, g = [], 0
+        for n in self.n_groups.tolist():
+            out.append(";".join(groups[g : g + n]))
+            g += n
+        return out
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Small numbers, compressed: the bytes of all of them by place, as the higher ones hardly change."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
-def _links(groups: list[tuple[list[int], list[int]]]) -> tuple[list[int], list[int], list[int]]:
-    """Distinct linked id pairs of a segment and how often each is linked."""
-    counts: defaultdict[tuple[int, int], int] = defaultdict(int)
-    for x, y in groups:
-        if len(x) == 1 and len(y) == 1:
-            counts[x[0], y[0]] += 1
-            continue
-        (ux, nx), (uy, ny) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-        for a, n in zip(ux.tolist(), nx.tolist()):
-            for b, m in zip(uy.tolist(), ny.tolist()):
-                counts[a, b] += n * m
-    return [a for a, _ in counts], [b for _, b in counts], list(counts.values())
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: bool) -> DataFrame:
@@ -136,8 +198,8 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: b
         numbers: dict[str, int] = {}
 
         def out(batch: pa.RecordBatch) -> pa.RecordBatch:
-            codes = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            columns = [pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([sizes], pa.list_(pa.int32())), pa.array([codes], pa.list_(pa.int32())), pa.array([list(numbers)], pa.list_(pa.string()))]
+            codes = np.concatenate(parts)
+            columns = [pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([sizes], pa.list_(pa.int32())), pa.array([_packed(codes)], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string()))]
             for x in (ids, sizes, parts, numbers):
                 x.clear()
             return pa.RecordBatch.from_arrays(columns, ["ids", "sizes", "codes", "segments"])
@@ -149,111 +211,120 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: b
                 ids.append(i)
                 sizes.append(len(cut))
                 parts.append(np.fromiter((numbers.setdefault(s, len(numbers)) for s in cut), np.int32, len(cut)))
-                held += len(text)
-                if held > size or len(ids) >= size >> 6:
+                held += len(text) + 64
+                if held > size:
                     yield out(batch)
                     held = 0
         if ids:
             yield out(batch)
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = source.mapInArrow(run, f"ids array<{kind}>, sizes array<int>, codes array<int>, segments array<string>")
+    found = source.mapInArrow(run, f"ids array<{kind}>, sizes array<int>, codes binary, segments array<string>")
     return found.withColumn("chunk", F.monotonically_increasing_id())  # for good once it is written
 
 
-_ALIGNED = "segment string, ok boolean, n_a int, n_b int, n_groups int, n_links bigint, groups string, a array<int>, b array<int>, times array<bigint>"
+def aligned_segments(units: DataFrame, byte_level: str, pieces: str, at_once: int = 4000) -> DataFrame:
+    """``(chunk, code, blob)`` of ``(chunk, code, segment)``: the alignment of each segment, made once and given to all its places.
 
-
-def aligned_segments(distinct: DataFrame, byte_level: str, pieces: str, at_once: int = 2000) -> DataFrame:
-    """``(segment, ok, n_a, n_b, n_groups, n_links, groups, a, b, times)`` of distinct segments, each tokenised once.
-
-    ``groups`` is spelled ``a1,a2|b1;...``; ``a``, ``b`` and ``times`` are its distinct linked pairs. A segment whose bytes the
-    tokens don't spell is not ``ok`` and has none of these.
+    Places are dealt out and sorted by segment, so equal ones follow each other. ``Aligned`` reads the blobs; a
+    segment whose bytes the tokens don't spell has an empty one.
     """
+    schema = pa.schema([("chunk", pa.int64()), ("code", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(byte_level, pieces)
-        lists = pa.list_(pa.int32())
-        kinds = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), lists, lists, pa.list_(pa.int64())]
-        names = [x.split(" ")[0] for x in _ALIGNED.split(", ")]
+        last, blob = None, b""
         for batch in slices(batches, "segment", 1 << 20):
             for start in range(0, batch.num_rows, at_once):
-                cut = batch.column(0).slice(start, at_once).to_pylist()
-                rows = []
-                for s, (x, y, ok) in zip(cut, pair.encoded(cut)):
-                    if not ok:
-                        rows.append((s, False, 0, 0, 0, 0, "", [], [], []))
-                        continue
-                    groups = pair.groups(x, y)
-                    a, b, times = _links(groups)
-                    rows.append((s, True, len(x), len(y), len(groups), sum(times), written(groups), a, b, times))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-    return distinct.select("segment").mapInArrow(run, _ALIGNED)
-
-
-def _of(table: pa.Table, name: str) -> np.ndarray:
-    """The values of a list column's only row."""
-    return table.column(name).combine_chunks().values.to_numpy(zero_copy_only=False)
-
-
-_COUNTED = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("docs", pa.int64())])
+                part = batch.slice(start, at_once)
+                runs = part.column(2).to_pylist()
+                new, before = [], last
+                for s in runs:
+                    if s != before:
+                        new.append(s)
+                        before = s
+                made = iter(pair.aligned(new)) if new else iter(())
+                blobs = []
+                for s in runs:
+                    if s != last:
+                        last, blob = s, next(made)
+                    blobs.append(blob)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())], schema=schema)
+
+    dealt = units.select("chunk", "code", "segment").repartition("segment").sortWithinPartitions("segment")
+    return dealt.mapInArrow(run, "chunk bigint, code int, blob binary")
+
+
+def _row(table: pa.Table | pa.RecordBatch, name: str, row: int = 0):
+    return table.column(name)[row].as_py()
+
+
+def _documents(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of documents of about ``BLOCK`` places, or of a single document."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and held + n > BLOCK:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def _usable(codes: np.ndarray, sizes: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Whether each document of a chunk has tokens."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return (np.bincount(doc[~ok[codes]], minlength=len(sizes)) == 0) & (sizes > 0)
+
+
+def _document_counts(codes: np.ndarray, sizes: np.ndarray, found: Aligned) -> np.ndarray:
+    """How many documents of a chunk hold each of its linked pairs."""
+    good = _usable(codes, sizes, found.ok)
+    counts, end = np.zeros(len(found.pairs), np.int64), np.cumsum(sizes)
+    at, wide, tall = np.cumsum(found.n_held) - found.n_held, max(len(found.n_held), 1), max(len(found.pairs), 1)
+    for first, last in _documents(sizes):
+        doc = np.repeat(np.arange(first, last), np.where(good[first:last], sizes[first:last], 0))
+        own = codes[(end[first] - sizes[first]) : end[last - 1]][np.repeat(good[first:last], sizes[first:last])]
+        held = np.unique(doc * wide + own)  # a document's distinct segments
+        n = found.n_held[held % wide]
+        numbers = found.held[np.repeat(at[held % wide] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        seen = np.unique(np.repeat(held // wide, n) * tall + numbers)
+        counts += np.bincount(seen % tall, minlength=len(counts))[: len(counts)]
+    return counts
+
+
+_CHUNKED = "chunk bigint, ids array<{}>, sizes array<int>, codes binary, blobs array<binary>, pairs array<bigint>, docs array<bigint>"
+
+
+def _rated(codes: np.ndarray, sizes: np.ndarray, found: Aligned, count: np.ndarray, best: np.ndarray) -> list[np.ndarray]:
+    """Per document of a chunk: n_a, n_b, n_groups, n_links, n_best and count_sum, from counts of the chunk's pairs."""
+    good, end = _usable(codes, sizes, found.ok), np.cumsum(sizes)
+    last = np.cumsum(found.n_held)
+
+    def of_segments(values: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(values)])
+        return total[last] - total[last - found.n_held]
+
+    n_best, count_sum = of_segments(found.times * best[found.held]), of_segments(found.times * count[found.held])
+    out = []
+    for each in (found.n_a, found.n_b, found.n_groups, found.n_links, n_best, count_sum):
+        total = np.concatenate([[0], np.cumsum(each[codes])])
+        out.append(np.where(good, total[end] - total[end - sizes], 0))
+    return out
 
 
-def _usable(codes: np.ndarray, sizes: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: each place's document, whether a document has tokens, and the places that count."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    bad = np.bincount(doc[~ok[codes]], minlength=len(sizes)) > 0
-    good = ~bad & (sizes > 0)
-    return doc, good, good[doc]
-
-
-def _document_counts(sequences: pa.Table, placed: pa.Table) -> pa.Table:
-    """How many documents of a chunk hold each linked pair."""
-    if not sequences.num_rows or not placed.num_rows:
-        return _COUNTED.empty_table()
-    codes, sizes = _of(sequences, "codes"), _of(sequences, "sizes")
-    order = np.argsort(placed.column("code").to_numpy())
-    ok = placed.column("ok").to_numpy(zero_copy_only=False)[order]
-    lists = [placed.column(k).combine_chunks() for k in ("a", "b")]
-    begin = lists[0].offsets.to_numpy()
-    a, b = (x.values.to_numpy() for x in lists)
-    doc, _, use = _usable(codes, sizes, ok)
-    held = np.unique(doc[use].astype(np.int64) * len(order) + codes[use])  # a document's distinct segments
-    row = order[held % len(order)]
-    length = begin[row + 1] - begin[row]
-    at = np.repeat(begin[row] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(row) else np.zeros(0, np.int64)
-    both, number = np.unique(a[at].astype(np.int64) << 32 | b[at], return_inverse=True)
-    seen = np.unique(np.repeat(held // len(order), length) * max(len(both), 1) + number)
-    count = np.bincount(seen % max(len(both), 1), minlength=len(both))
-    return pa.Table.from_arrays([pa.array((both >> 32).astype(np.int32)), pa.array((both & 0xFFFFFFFF).astype(np.int32)), pa.array(count.astype(np.int64))], schema=_COUNTED)
-
-
-def _composed(sequences: pa.Table, placed: pa.Table, schema: pa.Schema) -> pa.Table:
-    """The documents of a chunk from their segments."""
-    if not sequences.num_rows:
-        return schema.empty_table()
-    codes, sizes = _of(sequences, "codes"), _of(sequences, "sizes")
-    order = np.argsort(placed.column("code").to_numpy()) if placed.num_rows else np.zeros(0, np.int64)
-    ok = placed.column("ok").to_numpy(zero_copy_only=False)[order].astype(bool)
-    doc, good, use = _usable(codes, sizes, ok)
-    totals = []
-    for name in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"):
-        each = np.cumsum(np.concatenate([[0], placed.column(name).to_numpy()[order].astype(np.int64)[codes]]))
-        end = np.cumsum(sizes)
-        totals.append(np.where(good, each[end] - each[end - sizes], 0))
-    spelled = placed.column("groups").take(pa.array(order)).to_pylist()
-    digests, at = [], 0
-    for n, fine in zip(sizes.tolist(), good.tolist()):
-        digests.append(hashlib.sha256(";".join([spelled[c] for c in codes[at : at + n].tolist()]).encode()).hexdigest() if fine else "")
+def _digests(codes: np.ndarray, sizes: np.ndarray, found: Aligned) -> list[str]:
+    spelled, out, at = found.spelled(), [], 0
+    for n, fine in zip(sizes.tolist(), _usable(codes, sizes, found.ok).tolist()):
+        out.append(hashlib.sha256(";".join([spelled[c] for c in codes[at : at + n].tolist()]).encode()).hexdigest() if fine else "")
         at += n
-    ids = sequences.column("ids").combine_chunks().values
-    out = pa.Table.from_arrays([ids, *(pa.array(t, pa.int64()) for t in totals), pa.array(digests, pa.string())], schema=schema)
-    release()
     return out
 
 
-def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+_COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+
+
+def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """``(id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)`` for every row, over whole texts.
 
     ``byte_level`` is the file of a byte-level vocabulary that gets a space and the text, ``pieces`` that of a piece model
@@ -262,27 +333,62 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
     their first id. Null and empty texts, and those that the tokens don't spell byte by byte, have zeros and an empty digest.
     Repeated rows and null ids count like any others; other columns are not read; an empty table gives an empty result.
     """
+    spark, field = docs.sparkSession, docs.schema[id_col].dataType
+    kind, id_type = field.simpleString(), to_arrow_type(field)
     held = stored(_chunks(docs, id_col, text_col, chunk, _pair(byte_level, pieces).separable))
-    units = held.select("chunk", F.posexplode("segments").alias("code", "segment"))
-    table = stored(aligned_segments(units.select("segment").distinct(), byte_level, pieces).withColumn("sid", F.monotonically_increasing_id()))
-    sequences = held.select("chunk", "sizes", "codes")
-
-    placed = units.join(table.select("segment", "ok", "a", "b"), "segment").select(F.col("chunk").alias("of"), "code", "ok", "a", "b")
-    counted = sequences.groupBy("chunk").cogroup(placed.groupBy("of")).applyInArrow(_document_counts, "a int, b int, docs bigint")
-    counts = stored(counted.groupBy("a", "b").agg(F.sum("docs").alias("count")))
-    best = counts.groupBy("a").agg(F.max("count").alias("most"))
-    rated = counts.join(best, "a").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
-    links = table.select("sid", F.explode(F.arrays_zip("a", "b", "times")).alias("x")).select("sid", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.times").alias("times"))
-    stats = links.join(rated, ["a", "b"]).groupBy("sid").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
-    known = table.join(stats, "sid", "left").select("segment", "ok", "n_a", "n_b", "n_groups", "n_links", "groups", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"))
-    placed = units.join(known, "segment").drop("segment").withColumnRenamed("chunk", "of")
-
-    kind = docs.schema[id_col].dataType
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = pa.schema([("id", to_arrow_type(kind)), *((n, pa.int64()) for n in names), ("groups_sha256", pa.string())])
-    run = lambda sequence, segment: _composed(sequence, segment, schema)
-    whole = held.select("chunk", "ids", "sizes", "codes").groupBy("chunk").cogroup(placed.groupBy("of"))
-    found = whole.applyInArrow(run, f"id {kind.simpleString()}, " + ", ".join(f"{n} bigint" for n in names) + ", groups_sha256 string")
+    placed = aligned_segments(held.select("chunk", F.posexplode("segments").alias("code", "segment")), byte_level, pieces)
+    chunked = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("blobs", pa.list_(pa.binary())), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+    result = pa.schema([("id", id_type), *((n, pa.int64()) for n in _COLUMNS), ("groups_sha256", pa.string())])
+
+    def composed(sequence: pa.Table, alignment: pa.Table) -> pa.Table:
+        if not sequence.num_rows:
+            return chunked.empty_table()
+        order = np.argsort(alignment.column("code").to_numpy()) if alignment.num_rows else np.zeros(0, np.int64)
+        blobs = alignment.column("blob").combine_chunks().take(pa.array(order, pa.int64())) if alignment.num_rows else pa.array([], pa.binary())
+        found = Aligned(blobs.to_pylist())
+        counts = _document_counts(_unpacked(_row(sequence, "codes")), np.array(_row(sequence, "sizes"), np.int64), found)
+        columns = [sequence.column(n).combine_chunks() for n in ("chunk", "ids", "sizes", "codes")]
+        columns += [pa.ListArray.from_arrays(pa.array([0, len(blobs)], pa.int32()), blobs), pa.array([found.pairs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(columns, schema=chunked)
+
+    sequences = held.select("chunk", "ids", "sizes", "codes").groupBy("chunk")
+    whole = stored(sequences.cogroup(placed.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(composed, _CHUNKED.format(kind)))
+    dropped(held)
+
+    each = whole.select("chunk", F.explode(F.arrays_zip("pairs", "docs")).alias("x")).select("chunk", F.col("x.pairs").alias("pair"), F.col("x.docs").alias("docs"))
+    counts = stored(each.groupBy("pair").agg(F.sum("docs").alias("count")).where(F.col("count") > 0))
+    best = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("count").alias("most"))
+    rated = counts.withColumn("a", F.shiftright("pair", 32)).join(best, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
+
+    def rows(batch: pa.RecordBatch | pa.Table, row: int, pairs: np.ndarray, count: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+        found = Aligned(_row(batch, "blobs", row))
+        codes, sizes = _unpacked(_row(batch, "codes", row)), np.array(_row(batch, "sizes", row), np.int64)
+        at = np.minimum(np.searchsorted(pairs, found.pairs), max(len(pairs) - 1, 0))
+        known = pairs[at] == found.pairs if len(pairs) else np.zeros(len(found.pairs), bool)  # others are only in texts without tokens
+        own = [np.where(known, x[at], 0) if len(pairs) else np.zeros(len(at), np.int64) for x in (count, best.astype(np.int64))]
+        totals = _rated(codes, sizes, found, *own)
+        return pa.RecordBatch.from_arrays([pa.array(_row(batch, "ids", row), id_type), *(pa.array(t, pa.int64()) for t in totals), pa.array(_digests(codes, sizes, found), pa.string())], schema=result)
+
+    schema = f"id {kind}, " + ", ".join(f"{n} bigint" for n in _COLUMNS) + ", groups_sha256 string"
+    if counts.limit(most_pairs + 1).count() <= most_pairs:
+        table = rated.orderBy("pair").toArrow()
+        shared = spark.sparkContext.broadcast(tuple(table.column(n).to_numpy() for n in ("pair", "count", "best")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    yield rows(batch, row, *shared.value)
+            release()
+
+        found = whole.select("ids", "sizes", "codes", "blobs").mapInArrow(run, schema)
+    else:
+
+        def beside(sequence: pa.Table, known: pa.Table) -> pa.Table:
+            if not sequence.num_rows:
+                return result.empty_table()
+            order = np.argsort(known.column("pair").to_numpy())
+            return pa.Table.from_batches([rows(sequence, 0, *(known.column(n).to_numpy()[order] for n in ("pair", "count", "best")))])
+
+        own = each.join(rated, "pair").select(F.col("chunk").alias("of"), "pair", "count", "best")
+        found = whole.select("chunk", "ids", "sizes", "codes", "blobs").groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(beside, schema)
     return found.withColumnRenamed("id", id_col)
