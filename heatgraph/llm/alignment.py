@@ -20,12 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from heatgraph.llm.tables import release, slices, texts
+from heatgraph.llm.tables import packed, release, slices, texts, unpacked
 from heatgraph.plans.lineage import dropped, stored
 
 #: Characters of a chunk (more only if one document has more).
@@ -180,15 +179,6 @@ class Aligned:
         return out
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Small numbers, compressed: the bytes of all of them by place, as the higher ones hardly change."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: bool) -> DataFrame:
     """``(chunk, ids, sizes, codes, segments)``: all documents as numbers of distinct segments, without a shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -199,7 +189,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: b
 
         def out(batch: pa.RecordBatch) -> pa.RecordBatch:
             codes = np.concatenate(parts)
-            columns = [pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([sizes], pa.list_(pa.int32())), pa.array([_packed(codes)], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string()))]
+            columns = [pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([sizes], pa.list_(pa.int32())), pa.array([packed(codes)], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string()))]
             for x in (ids, sizes, parts, numbers):
                 x.clear()
             return pa.RecordBatch.from_arrays(columns, ["ids", "sizes", "codes", "segments"])
@@ -346,7 +336,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
         order = np.argsort(alignment.column("code").to_numpy()) if alignment.num_rows else np.zeros(0, np.int64)
         blobs = alignment.column("blob").combine_chunks().take(pa.array(order, pa.int64())) if alignment.num_rows else pa.array([], pa.binary())
         found = Aligned(blobs.to_pylist())
-        counts = _document_counts(_unpacked(_row(sequence, "codes")), np.array(_row(sequence, "sizes"), np.int64), found)
+        counts = _document_counts(unpacked(_row(sequence, "codes")), np.array(_row(sequence, "sizes"), np.int64), found)
         columns = [sequence.column(n).combine_chunks() for n in ("chunk", "ids", "sizes", "codes")]
         columns += [pa.ListArray.from_arrays(pa.array([0, len(blobs)], pa.int32()), blobs), pa.array([found.pairs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
         return pa.Table.from_arrays(columns, schema=chunked)
@@ -362,7 +352,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
 
     def rows(batch: pa.RecordBatch | pa.Table, row: int, pairs: np.ndarray, count: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
         found = Aligned(_row(batch, "blobs", row))
-        codes, sizes = _unpacked(_row(batch, "codes", row)), np.array(_row(batch, "sizes", row), np.int64)
+        codes, sizes = unpacked(_row(batch, "codes", row)), np.array(_row(batch, "sizes", row), np.int64)
         at = np.minimum(np.searchsorted(pairs, found.pairs), max(len(pairs) - 1, 0))
         known = pairs[at] == found.pairs if len(pairs) else np.zeros(len(found.pairs), bool)  # others are only in texts without tokens
         own = [np.where(known, x[at], 0) if len(pairs) else np.zeros(len(at), np.int64) for x in (count, best.astype(np.int64))]

@@ -2,8 +2,9 @@
 
 Texts are held as chunks: sequences of small numbers beside a dictionary of what these stand for. A
 level of naming joins the dictionaries (never the occurrences) with the frequent units of all
-documents, replaces the numbers by those globally joined ids, and counts which ids stand side by
-side; the pairs found are the units of the next level. So a phrase of ``k`` words is a pair of phrases
+documents, replaces the numbers by those globally joined ids, and numbers which ids stand side by
+side; the pairs found are the units of the next level. All chunks' pairs meet in buckets by hash, where they are counted, the
+frequent ones named, and the names given back to the chunks. So a phrase of ``k`` words is a pair of phrases
 of ``k - 1`` words, and its two ids are parent pointers: the left one leads to all its beginnings, the
 right one to all its endings, and it tells both what longer phrase they are part of.
 
@@ -22,15 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatgraph.llm.tables import slices
+from heatgraph.llm.tables import packed, release, slices, unpacked
 from heatgraph.plans.lineage import dropped, stored
 
 LEAST, MOST_WORDS, TOP, COVER, SCALE = 10, 3, 2000, 50, 1_000_000
 UNKNOWN = "und"
 #: Words that a task holds in chunks, one for each language (more only if one document has more).
 CHUNK = 1 << 21
-#: Names of a level up to this number are broadcast to the dictionaries; more of them are shuffled with these.
+#: Frequent words up to this number are broadcast to the dictionaries; more of them are shuffled with these.
 MOST_NAMES = 1_000_000
+#: Places of words for each bucket of pairs.
+BUCKET = 2_000_000
 
 _CUT = re.compile(r"[.,;:!?\x0a-\x0d]+")
 _CUT_MARK = "\n"  # can't be a word, as it ends a piece
@@ -57,10 +60,10 @@ class _Chunk:
         codes = np.concatenate(self.parts) - 2
         units = list(self.numbers)[2:]
         self.numbers.default_factory = None  # it refers to the numbers, which go as soon as nothing does
-        return lang, codes, units, np.bincount(codes[codes >= 0], minlength=len(units))
+        return lang, packed(codes + 1), units, np.bincount(codes[codes >= 0], minlength=len(units))
 
 
-_CHUNK = pa.schema([("lang", pa.string()), ("codes", pa.list_(pa.int32())), ("units", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_CHUNK = pa.schema([("lang", pa.string()), ("codes", pa.binary()), ("units", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
 def _chunks(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFrame:
@@ -85,50 +88,88 @@ def _chunks(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFra
         yield from out()
 
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
-    found = source.mapInArrow(run, "lang string, codes array<int>, units array<string>, counts array<bigint>")
+    found = source.mapInArrow(run, "lang string, codes binary, units array<string>, counts array<bigint>")
     return found.withColumn("chunk", F.monotonically_increasing_id())  # for good once it is written
 
 
-def _named(counted: DataFrame, least: int) -> DataFrame:
-    """The frequent ones of ``(..., f)``, each with an ``id``; written, so that ids stay what they are."""
-    return stored(counted.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
+_PAIRED = pa.schema([("chunk", pa.int64()), ("codes", pa.binary()), ("bucket", pa.int64()), ("units", pa.list_(pa.binary()))])
+_KINDS = ("<u4", "<i8", "<i8", "<i8")  # of codes, left ids, right ids and counts
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)  # odd numbers that spread ids over buckets
 
 
-_PAIRED = pa.schema([("chunk", pa.int64()), ("codes", pa.list_(pa.int32())), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+def _paired(chunks: DataFrame, placed: DataFrame, buckets: int) -> DataFrame:
+    """Sequences of the next level: ids of ``placed`` side by side, numbered in each chunk.
 
+    Of each chunk a row with the ``codes`` of the sequence, and one for each of its buckets with ``units``: codes, left ids, right
+    ids and counts of its pairs. ``placed`` is ``(chunk, code, id)`` or, packed, ``(chunk, placed)``.
+    """
 
-def _paired(chunks: DataFrame, placed: DataFrame) -> DataFrame:
-    """Sequences of the next level: ids of ``placed`` ``(chunk, code, id)`` side by side, numbered in each chunk."""
-
-    def run(sequence: pa.Table, names: pa.Table) -> pa.Table:
+    def run(sequence: pa.Table, names: pa.Table) -> Iterator[pa.RecordBatch]:
         if not sequence.num_rows or not names.num_rows:
-            return _PAIRED.empty_table()
-        codes = sequence.column("codes").combine_chunks().values.to_numpy()
-        code, name = names.column("code").to_numpy(), names.column("id").to_numpy()
+            return
+        chunk = sequence.column("chunk")[0].as_py()
+        codes = unpacked(sequence.column("codes")[0].as_py()) - 1  # the end of a piece is -1
+        if "placed" in names.column_names:
+            found = [(unpacked(x[0]), unpacked(x[1], "<i8")) for x in names.column("placed").to_pylist()]
+            code, name = (np.concatenate(x) for x in zip(*found))
+        else:
+            code, name = names.column("code").to_numpy(), names.column("id").to_numpy()
         ids = np.full(max(int(codes.max(initial=-1)), int(code.max())) + 2, -1, np.int64)  # the last one stands for -1
         ids[code] = name
         known = ids[codes] >= 0
         both = np.flatnonzero(known[:-1] & known[1:])
-        key = codes[both].astype(np.int64) * len(ids) + codes[both + 1]
-        unique, number, counts = np.unique(key, return_inverse=True, return_counts=True)
-        following = np.full(max(len(codes) - 1, 0), -1, np.int32)
-        following[both] = number
-        rows = [sequence.column("chunk")[0].as_py()], [following], [ids[unique // len(ids)]], [ids[unique % len(ids)]], [counts]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(rows, _PAIRED.types)], schema=_PAIRED)
+        unique, number, counts = np.unique(codes[both] * len(ids) + codes[both + 1], return_inverse=True, return_counts=True)
+        following = np.zeros(max(len(codes) - 1, 0), np.int64)
+        following[both] = number + 1
+        left, right = ids[unique // len(ids)], ids[unique % len(ids)]
+        mixed = (left.astype(np.uint64) * _MIX[0]) ^ (right.astype(np.uint64) * _MIX[1])
+        bucket = ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+        rows = [(chunk, packed(following), None, None)]
+        for first, last in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            own = order[first:last]
+            rows.append((chunk, None, int(bucket[own[0]]), [packed(x[own], kind) for x, kind in zip((np.arange(len(unique)), left, right, counts), _KINDS)]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PAIRED.types)], schema=_PAIRED)
+        release()
+
+    def whole(sequence: pa.Table, names: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(run(sequence, names), _PAIRED)
 
     sequences = chunks.select("chunk", "codes").groupBy("chunk")
-    return sequences.cogroup(placed.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(run, "chunk bigint, codes array<int>, lefts array<bigint>, rights array<bigint>, counts array<bigint>")
+    return sequences.cogroup(placed.withColumnRenamed("chunk", "of").groupBy("of")).applyInArrow(whole, "chunk bigint, codes binary, bucket bigint, units array<binary>")
 
 
-def _placed(units: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """``(chunk, code, id)`` of the units that have a name."""
-    few = names.limit(MOST_NAMES + 1).count() <= MOST_NAMES
-    return units.join(F.broadcast(names) if few else names.hint("shuffle_hash"), keys).select("chunk", "code", "id")
+_NAMED = pa.schema([("chunk", pa.int64()), ("placed", pa.list_(pa.binary())), ("id", pa.list_(pa.int64())), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64())), ("f", pa.list_(pa.int64()))])
+
 
+def _named_pairs(paired: DataFrame, least: int, place: bool) -> DataFrame:
+    """Of each bucket a row with the frequent pairs ``(id, left, right, f)`` and, with ``place``, for each chunk the codes and ids of its own."""
 
-def _units(paired: DataFrame) -> DataFrame:
-    zipped = F.arrays_zip("lefts", "rights", "counts")
-    return paired.select("chunk", F.posexplode(zipped).alias("code", "x")).select("chunk", "code", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.counts").alias("n"))
+    def run(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        parts = [[unpacked(x, kind) for x, kind in zip(row, _KINDS)] for row in table.column("units").to_pylist()]
+        code, left, right, n = (np.concatenate(x) for x in zip(*parts))
+        lefts, a = np.unique(left, return_inverse=True)
+        rights, b = np.unique(right, return_inverse=True)
+        pairs, number = np.unique(a * len(rights) + b, return_inverse=True)
+        f = np.bincount(number, n, len(pairs)).astype(np.int64)  # exact below 2 ** 53
+        often = np.flatnonzero(f >= least)
+        ids = np.full(len(pairs), -1, np.int64)
+        ids[often] = (key[0].as_py() << 32) + np.arange(len(often))
+        rows = [(None, None, ids[often], lefts[pairs[often] // len(rights)], rights[pairs[often] % len(rights)], f[often])] if len(often) else []
+        if place:
+            at = 0
+            for chunk, part in zip(table.column("chunk").to_pylist(), parts):
+                own = ids[number[at : at + len(part[0])]]
+                at += len(part[0])
+                if (own >= 0).any():
+                    rows.append((chunk, [packed(part[0][own >= 0]), packed(own[own >= 0], "<i8")], None, None, None, None))
+        out = pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_NAMED.types)], schema=_NAMED)
+        release()
+        return out
+
+    pairs = paired.where(F.col("bucket").isNotNull()).select("chunk", "bucket", "units")
+    return pairs.groupBy("bucket").applyInArrow(run, "chunk bigint, placed array<binary>, id array<bigint>, left array<bigint>, right array<bigint>, f array<bigint>")
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, most_words: int = MOST_WORDS, chunk: int = CHUNK) -> tuple[DataFrame, list[DataFrame]]:
@@ -143,27 +184,31 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     held = stored(_chunks(docs, text_col, lang_col, chunk))
     zipped = F.arrays_zip("units", "counts")
     units = held.select("chunk", "lang", F.posexplode(zipped).alias("code", "x")).select("chunk", "lang", "code", F.col("x.units").alias("word"), F.col("x.counts").alias("n"))
-    counted = units.groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    counted = units.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     totals = stored(held.select("lang", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
     one = F.array("f")
-    words = _named(counted, least).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", one.alias("firsts"), one.alias("lasts"), F.lit(None).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("right"))
-    levels = [words]
-    placed = _placed(units, words.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"])
+    words = stored(counted.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"))  # written, so that ids stay what they are
+    levels = [words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", one.alias("firsts"), one.alias("lasts"), F.lit(None).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("right"))]
+    names = words.select("lang", "word", "id")
+    few = names.limit(MOST_NAMES + 1).count() <= MOST_NAMES
+    placed = units.join(F.broadcast(names) if few else names, ["lang", "word"]).select("chunk", "code", "id")
+    buckets = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET
     for k in range(2, most_words + 1):
-        before, held = held, _paired(held, placed)
-        if k < most_words:  # the last level is only counted
-            held = stored(held)
-            dropped(before)
-        units, above = _units(held), levels[-1]
-        counted = units.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        left = above.select(F.col("id").alias("left"), "lang", "phrase", "firsts")
-        right = above.select(F.col("id").alias("right"), "last", "lasts")
-        own = F.array("f")
-        spelled = counted.join(left, "left").join(right, "right").select("lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.concat("firsts", own).alias("firsts"), F.concat("lasts", own).alias("lasts"), "left", "right")
-        levels.append(_named(spelled, least))
+        paired = _paired(held, placed, buckets)
         if k < most_words:
-            placed = _placed(units, levels[-1].select("left", "right", "id"), ["left", "right"])
-    dropped(before if most_words > 1 else held)
+            paired = stored(paired)
+            dropped(held)
+            held = paired.where(F.col("codes").isNotNull())
+        found = stored(_named_pairs(paired, least, k < most_words))
+        zipped = F.explode(F.arrays_zip("id", "left", "right", "f")).alias("x")
+        pairs = found.where(F.col("chunk").isNull()).select(zipped).select("x.*")
+        left = levels[-1].select(F.col("id").alias("left"), "lang", "phrase", "firsts")
+        right = levels[-1].select(F.col("id").alias("right"), "last", "lasts")
+        own = F.array("f")
+        spelled = pairs.join(left, "left").join(right, "right").select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.concat("firsts", own).alias("firsts"), F.concat("lasts", own).alias("lasts"), "left", "right")
+        levels.append(stored(spelled))
+        placed = found.where(F.col("chunk").isNotNull()).select("chunk", "placed")
+    dropped(held)
     return totals, levels
 
 
