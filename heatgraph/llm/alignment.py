@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +31,8 @@ from heatgraph.plans.lineage import dropped, stored
 CHUNK = 24 << 20
 #: Linked id pairs up to this number are sent to the tasks as a sorted list; more of them are shuffled to the chunks.
 MOST_PAIRS = 2_000_000
-#: Places of a chunk that are looked at together.
-BLOCK = 1 << 20
+#: Segments that are tokenised together, and those that are spelled together.
+TOGETHER, BLOCK = 64, 1 << 15
 #: White space in any of the definitions in use (this module's is the widest) never comes before a cut.
 _SEGMENT = re.compile(r"(?<=\S)(?= .)", re.S)
 _SPACE = "▁"
@@ -85,14 +85,14 @@ class Pair:
     def encoded(self, cut: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of both for all segments, how many of each a segment has, and whether both spell exactly its bytes.
 
-        Segments that end in no white space are tokenised in one go, as what the vocabularies can't merge doesn't depend on its
+        Segments that end in no white space are tokenised ``TOGETHER``, as what the vocabularies can't merge doesn't depend on its
         neighbours; if that doesn't spell them, and for all others, each is tokenised for itself.
         """
-        joined = "".join(cut)
         if self.separable and not any(s[-1:].isspace() for s in cut):
-            x = np.array(self.a.encode(joined, add_special_tokens=False).ids, np.int64)
-            y = np.array(self.b.encode(joined[1:]), np.int64)
-            whole = joined.encode()
+            pieces = ["".join(cut[i : i + TOGETHER]) for i in range(0, len(cut), TOGETHER)]
+            x = np.array([i for e in self.a.encode_batch_fast(pieces, add_special_tokens=False) for i in e.ids], np.int64)
+            y = np.array([i for z in self.b.encode([p[1:] for p in pieces], num_threads=1) for i in z], np.int64)
+            whole = "".join(pieces).encode()
             if self._spelled(x, y, whole):
                 ends = np.cumsum([len(s.encode()) for s in cut])
                 n_x = np.diff(np.searchsorted(np.cumsum(self.a_size[x]), ends, side="right"), prepend=0)
@@ -109,8 +109,11 @@ class Pair:
         x, y = (z.tolist() if isinstance(z, np.ndarray) else z for z in (x, y))
         return b"".join(map(self.a_bytes.__getitem__, x)) == whole and b"".join(map(self.b_bytes.__getitem__, y)) == whole
 
-    def aligned(self, cut: list[str]) -> list[bytes]:
-        """For each segment its groups as numbers: how many, ids of the first and of the second in each, then all ids; empty if not spelled."""
+    def aligned(self, cut: list[str]) -> tuple[pa.Array, bool]:
+        """For each segment its groups as numbers: how many, ids of the first and of the second in each, then all ids; empty if not spelled.
+
+        Numbers are of two bytes, unless the second result says that one of these needs four.
+        """
         x, y, n_x, n_y, ok = self.encoded(cut)
         end_x, end_y = np.cumsum(self.a_size[x]), np.cumsum(self.b_size[y])
         common = np.intersect1d(end_x, end_y, assume_unique=True)  # every segment's end is among them
@@ -118,16 +121,23 @@ class Pair:
         in_y = np.diff(np.searchsorted(end_y, common, side="right"), prepend=0)
         last = np.searchsorted(common, np.concatenate([[0], end_x])[np.cumsum(n_x)], side="right")
         groups = np.diff(last, prepend=0)
-        kind = np.uint32
-        in_x, in_y, x, y = in_x.astype(kind), in_y.astype(kind), x.astype(kind), y.astype(kind)
-        out, g, i, j = [], 0, 0, 0
-        for n, a, b, fine in zip(groups.tolist(), n_x.tolist(), n_y.tolist(), ok.tolist()):
-            out.append(b"".join((_U(n), in_x[g : g + n].tobytes(), in_y[g : g + n].tobytes(), x[i : i + a].tobytes(), y[j : j + b].tobytes())) if fine else b"")
-            g, i, j = g + n, i + a, j + b
-        return out
+        size = np.where(ok, 1 + 2 * groups + n_x + n_y, 0)
+        begin = np.cumsum(size) - size
+        flat = np.zeros(size.sum(), np.int64)
+        flat[begin[ok]] = groups[ok]
+        at = begin + 1
+        for values, n in ((in_x, groups), (in_y, groups), (x, n_x), (y, n_y)):
+            flat[_spread(at, n)] = values
+            at = at + n
+        wide = bool(flat.max(initial=0) >= 1 << 16)
+        kind = np.dtype("<u4" if wide else "<u2")
+        offsets = np.concatenate([[0], np.cumsum(size)]) * kind.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat.astype(kind))]), wide
 
 
-_U = struct.Struct("<I").pack
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``first, first + 1, ...``, ``n`` numbers for each."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 @lru_cache(maxsize=1)
@@ -138,54 +148,64 @@ def _pair(byte_level: str, pieces: str) -> Pair:
 class Aligned:
     """The alignments of a chunk's segments as arrays, by the number of the segment."""
 
-    def __init__(self, blobs: list[bytes]) -> None:
-        self.ok = np.array([len(b) > 0 for b in blobs], bool)
-        numbers = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
-        size = np.array([len(b) >> 2 for b in blobs], np.int64)
-        begin = np.cumsum(size) - size
-        self.n_groups = np.zeros(len(blobs), np.int64)
+    def __init__(self, blobs: pa.Array, wide: bool = False) -> None:
+        n, kind = len(blobs), np.dtype("<u4" if wide else "<u2")
+        offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        numbers = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)
+        begin = (offsets[:-1] - offsets[0]) // kind.itemsize
+        self.ok = offsets[1:] > offsets[:-1]
+        self.n_groups = np.zeros(n, np.int64)
         self.n_groups[self.ok] = numbers[begin[self.ok]]
-        spread = lambda first, n: np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        of = np.repeat(np.arange(len(blobs)), self.n_groups)  # segment of each group
-        in_a = numbers[spread(begin + 1, self.n_groups)]
-        in_b = numbers[spread(begin + 1 + self.n_groups, self.n_groups)]
-        self.n_a = np.bincount(of, in_a, len(blobs)).astype(np.int64)
-        self.n_b = np.bincount(of, in_b, len(blobs)).astype(np.int64)
-        self.a = numbers[spread(begin + 1 + 2 * self.n_groups, self.n_a)]
-        self.b = numbers[spread(begin + 1 + 2 * self.n_groups + self.n_a, self.n_b)]
-        self.in_a, self.in_b = in_a, in_b
-        times = in_a * in_b
-        self.n_links = np.bincount(of, times, len(blobs)).astype(np.int64)
+        of = np.repeat(np.arange(n, dtype=np.int32), self.n_groups)  # segment of each group
+        self.in_a = numbers[_spread(begin + 1, self.n_groups)].astype(np.int32)
+        self.in_b = numbers[_spread(begin + 1 + self.n_groups, self.n_groups)].astype(np.int32)
+        self.n_a = np.bincount(of, self.in_a, n).astype(np.int64)
+        self.n_b = np.bincount(of, self.in_b, n).astype(np.int64)
+        self.a = numbers[_spread(begin + 1 + 2 * self.n_groups, self.n_a)]
+        self.b = numbers[_spread(begin + 1 + 2 * self.n_groups + self.n_a, self.n_b)]
+        times = self.in_a.astype(np.int64) * self.in_b
+        self.n_links = np.bincount(of, times, n).astype(np.int64)
         # links: every first id of a group with every second one
-        group_a = np.repeat(np.arange(len(in_a)), in_a)
-        first = np.repeat(self.a, in_b[group_a])
-        second = self.b[spread((np.cumsum(in_b) - in_b)[group_a], in_b[group_a])]
-        self.pairs, number = np.unique(first << 32 | second, return_inverse=True)
-        key, self.times = np.unique(np.repeat(of, times) * max(len(self.pairs), 1) + number, return_counts=True)
-        self.held = key % max(len(self.pairs), 1)  # distinct pairs of each segment, as numbers of ``pairs``
-        self.n_held = np.bincount(key // max(len(self.pairs), 1), minlength=len(blobs))
+        n_second = np.repeat(self.in_b, self.in_a)
+        begin_b = np.repeat((np.cumsum(self.in_b) - self.in_b).astype(np.int64), self.in_a)
+        key = np.repeat(self.a.astype(np.int64), n_second) << 32 | self.b[_spread(begin_b, n_second)]
+        self.pairs, number = np.unique(key, return_inverse=True)
+        tall = max(len(self.pairs), 1)
+        key, self.times = np.unique(np.repeat(of.astype(np.int64), times) * tall + number, return_counts=True)
+        self.held = (key % tall).astype(np.int32)  # distinct pairs of each segment, as numbers of ``pairs``
+        self.n_held = np.bincount(key // tall, minlength=n)
 
     def spelled(self) -> list[str]:
         """``a1,a2|b1;...`` of each segment."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        groups, i, j = [], 0, 0
-        for m, n in zip(self.in_a.tolist(), self.in_b.tolist()):
-            groups.append(f"{a[i]}|{b[j]}" if m == n == 1 else f"{','.join(a[i : i + m])}|{','.join(b[j : j + n])}")
-            i, j = i + m, j + n
-        out, g = [], 0
-        for n in self.n_groups.tolist():
-            out.append(";".join(groups[g : g + n]))
-            g += n
+        out: list[str] = []
+        ends = [np.concatenate([[0], np.cumsum(x)]) for x in (self.n_groups, self.n_a, self.n_b)]
+        for first in range(0, len(self.n_groups), BLOCK):
+            (g, h), (i, i_end), (j, j_end) = ((e[first], e[min(first + BLOCK, len(self.n_groups))]) for e in ends)
+            a, b = list(map(str, self.a[i:i_end].tolist())), list(map(str, self.b[j:j_end].tolist()))
+            groups, i, j = [], 0, 0
+            for m, n in zip(self.in_a[g:h].tolist(), self.in_b[g:h].tolist()):
+                groups.append(f"{a[i]}|{b[j]}" if m == n == 1 else f"{','.join(a[i : i + m])}|{','.join(b[j : j + n])}")
+                i, j = i + m, j + n
+            at = 0
+            for n in self.n_groups[first : first + BLOCK].tolist():
+                out.append(";".join(groups[at : at + n]))
+                at += n
         return out
 
 
+def _widened(blobs: pa.Array, wide: np.ndarray) -> pa.Array:
+    """Blobs of four-byte numbers, of which those in ``wide`` are so already."""
+    return pa.array([b if w else np.frombuffer(b, "<u2").astype("<u4").tobytes() for b, w in zip(blobs.to_pylist(), wide.tolist())], pa.binary())
+
+
 def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: bool) -> DataFrame:
     """``(chunk, ids, sizes, codes, segments)``: all documents as numbers of distinct segments, without a shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, parts, held = [], [], [], 0
-        numbers: dict[str, int] = {}
+        numbers: defaultdict[str, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
 
         def out(batch: pa.RecordBatch) -> pa.RecordBatch:
             codes = np.concatenate(parts)
@@ -200,7 +220,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: b
                 cut = (segments(" " + text) if separable else [" " + text]) if text else []
                 ids.append(i)
                 sizes.append(len(cut))
-                parts.append(np.fromiter((numbers.setdefault(s, len(numbers)) for s in cut), np.int32, len(cut)))
+                parts.append(np.fromiter(map(numbers.__getitem__, cut), np.int32, len(cut)))
                 held += len(text) + 64
                 if held > size:
                     yield out(batch)
@@ -214,53 +234,37 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: b
 
 
 def aligned_segments(units: DataFrame, byte_level: str, pieces: str, at_once: int = 4000) -> DataFrame:
-    """``(chunk, code, blob)`` of ``(chunk, code, segment)``: the alignment of each segment, made once and given to all its places.
+    """``(chunk, code, blob, wide)`` of ``(chunk, code, segment)``: the alignment of each segment, made once and given to all its places.
 
     Places are dealt out and sorted by segment, so equal ones follow each other. ``Aligned`` reads the blobs; a
     segment whose bytes the tokens don't spell has an empty one.
     """
-    schema = pa.schema([("chunk", pa.int64()), ("code", pa.int32()), ("blob", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("code", pa.int32()), ("blob", pa.binary()), ("wide", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(byte_level, pieces)
-        last, blob = None, b""
+        last, kept, kept_wide = None, pa.array([b""], pa.binary()), False
         for batch in slices(batches, "segment", 1 << 20):
             for start in range(0, batch.num_rows, at_once):
                 part = batch.slice(start, at_once)
                 runs = part.column(2).to_pylist()
-                new, before = [], last
-                for s in runs:
-                    if s != before:
-                        new.append(s)
-                        before = s
-                made = iter(pair.aligned(new)) if new else iter(())
-                blobs = []
-                for s in runs:
-                    if s != last:
-                        last, blob = s, next(made)
-                    blobs.append(blob)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())], schema=schema)
+                fresh = np.fromiter((s != t for s, t in zip(runs, [last, *runs])), bool, len(runs))
+                new = [s for s, f in zip(runs, fresh.tolist()) if f]
+                made, wide = pair.aligned(new) if new else (pa.array([], pa.binary()), False)
+                at = np.cumsum(fresh)  # 0: as the last of the batch before
+                blobs = pa.concat_arrays([kept, made]).take(pa.array(at))
+                wides = np.concatenate([[kept_wide], np.full(len(made), wide)])[at]
+                last, kept, kept_wide = runs[-1], pa.array([blobs[-1].as_py()], pa.binary()), bool(wides[-1])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), blobs, pa.array(wides)], schema=schema)
 
     dealt = units.select("chunk", "code", "segment").repartition("segment").sortWithinPartitions("segment")
-    return dealt.mapInArrow(run, "chunk bigint, code int, blob binary")
+    return dealt.mapInArrow(run, "chunk bigint, code int, blob binary, wide boolean")
 
 
 def _row(table: pa.Table | pa.RecordBatch, name: str, row: int = 0):
     return table.column(name)[row].as_py()
 
 
-def _documents(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of documents of about ``BLOCK`` places, or of a single document."""
-    first, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if i > first and held + n > BLOCK:
-            yield first, i
-            first, held = i, 0
-        held += n
-    if first < len(sizes):
-        yield first, len(sizes)
-
-
 def _usable(codes: np.ndarray, sizes: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """Whether each document of a chunk has tokens."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -269,21 +273,26 @@ def _usable(codes: np.ndarray, sizes: np.ndarray, ok: np.ndarray) -> np.ndarray:
 
 def _document_counts(codes: np.ndarray, sizes: np.ndarray, found: Aligned) -> np.ndarray:
     """How many documents of a chunk hold each of its linked pairs."""
-    good = _usable(codes, sizes, found.ok)
-    counts, end = np.zeros(len(found.pairs), np.int64), np.cumsum(sizes)
-    at, wide, tall = np.cumsum(found.n_held) - found.n_held, max(len(found.n_held), 1), max(len(found.pairs), 1)
-    for first, last in _documents(sizes):
-        doc = np.repeat(np.arange(first, last), np.where(good[first:last], sizes[first:last], 0))
-        own = codes[(end[first] - sizes[first]) : end[last - 1]][np.repeat(good[first:last], sizes[first:last])]
-        held = np.unique(doc * wide + own)  # a document's distinct segments
-        n = found.n_held[held % wide]
-        numbers = found.held[np.repeat(at[held % wide] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        seen = np.unique(np.repeat(held // wide, n) * tall + numbers)
-        counts += np.bincount(seen % tall, minlength=len(counts))[: len(counts)]
+    good = _usable(codes, sizes, found.ok).tolist()
+    counts, at = np.zeros(len(found.pairs), np.int64), np.cumsum(found.n_held) - found.n_held
+    # an entry that still has its own place after all were written is the last of its kind
+    segment, pair, end = np.zeros(len(found.n_held), np.int32), np.zeros(len(found.pairs), np.int32), 0
+    for n, fine in zip(sizes.tolist(), good):
+        end += n
+        if not fine:
+            continue
+        own = codes[end - n : end]
+        place = np.arange(n, dtype=np.int32)
+        segment[own] = place
+        own = own[segment[own] == place]
+        numbers = found.held[_spread(at[own], found.n_held[own])]
+        place = np.arange(len(numbers), dtype=np.int32)
+        pair[numbers] = place
+        counts[numbers[pair[numbers] == place]] += 1
     return counts
 
 
-_CHUNKED = "chunk bigint, ids array<{}>, sizes array<int>, codes binary, blobs array<binary>, pairs array<bigint>, docs array<bigint>"
+_CHUNKED = "chunk bigint, ids array<{}>, sizes array<int>, codes binary, blobs array<binary>, wide boolean, pairs array<bigint>, docs array<bigint>"
 
 
 def _rated(codes: np.ndarray, sizes: np.ndarray, found: Aligned, count: np.ndarray, best: np.ndarray) -> list[np.ndarray]:
@@ -327,18 +336,23 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
     kind, id_type = field.simpleString(), to_arrow_type(field)
     held = stored(_chunks(docs, id_col, text_col, chunk, _pair(byte_level, pieces).separable))
     placed = aligned_segments(held.select("chunk", F.posexplode("segments").alias("code", "segment")), byte_level, pieces)
-    chunked = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("blobs", pa.list_(pa.binary())), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+    chunked = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("blobs", pa.list_(pa.binary())), ("wide", pa.bool_()), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
     result = pa.schema([("id", id_type), *((n, pa.int64()) for n in _COLUMNS), ("groups_sha256", pa.string())])
 
     def composed(sequence: pa.Table, alignment: pa.Table) -> pa.Table:
         if not sequence.num_rows:
             return chunked.empty_table()
-        order = np.argsort(alignment.column("code").to_numpy()) if alignment.num_rows else np.zeros(0, np.int64)
-        blobs = alignment.column("blob").combine_chunks().take(pa.array(order, pa.int64())) if alignment.num_rows else pa.array([], pa.binary())
-        found = Aligned(blobs.to_pylist())
+        blobs, wide = pa.array([], pa.binary()), np.zeros(0, bool)
+        if alignment.num_rows:
+            order = pa.array(np.argsort(alignment.column("code").to_numpy()))
+            blobs = pa.concat_arrays(alignment.column("blob").take(order).chunks)
+            wide = alignment.column("wide").take(order).to_numpy()
+        if wide.any():
+            blobs = _widened(blobs, wide)
+        found = Aligned(blobs, bool(wide.any()))
         counts = _document_counts(unpacked(_row(sequence, "codes")), np.array(_row(sequence, "sizes"), np.int64), found)
         columns = [sequence.column(n).combine_chunks() for n in ("chunk", "ids", "sizes", "codes")]
-        columns += [pa.ListArray.from_arrays(pa.array([0, len(blobs)], pa.int32()), blobs), pa.array([found.pairs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
+        columns += [pa.ListArray.from_arrays(pa.array([0, len(blobs)], pa.int32()), blobs), pa.array([bool(wide.any())]), pa.array([found.pairs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
         return pa.Table.from_arrays(columns, schema=chunked)
 
     sequences = held.select("chunk", "ids", "sizes", "codes").groupBy("chunk")
@@ -351,7 +365,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
     rated = counts.withColumn("a", F.shiftright("pair", 32)).join(best, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
     def rows(batch: pa.RecordBatch | pa.Table, row: int, pairs: np.ndarray, count: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-        found = Aligned(_row(batch, "blobs", row))
+        found = Aligned(pa.concat_arrays([batch.column("blobs")[row].values]), _row(batch, "wide", row))
         codes, sizes = unpacked(_row(batch, "codes", row)), np.array(_row(batch, "sizes", row), np.int64)
         at = np.minimum(np.searchsorted(pairs, found.pairs), max(len(pairs) - 1, 0))
         known = pairs[at] == found.pairs if len(pairs) else np.zeros(len(found.pairs), bool)  # others are only in texts without tokens
@@ -370,7 +384,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
                     yield rows(batch, row, *shared.value)
             release()
 
-        found = whole.select("ids", "sizes", "codes", "blobs").mapInArrow(run, schema)
+        found = whole.select("ids", "sizes", "codes", "blobs", "wide").mapInArrow(run, schema)
     else:
 
         def beside(sequence: pa.Table, known: pa.Table) -> pa.Table:
@@ -380,5 +394,5 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
             return pa.Table.from_batches([rows(sequence, 0, *(known.column(n).to_numpy()[order] for n in ("pair", "count", "best")))])
 
         own = each.join(rated, "pair").select(F.col("chunk").alias("of"), "pair", "count", "best")
-        found = whole.select("chunk", "ids", "sizes", "codes", "blobs").groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(beside, schema)
+        found = whole.select("chunk", "ids", "sizes", "codes", "blobs", "wide").groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(beside, schema)
     return found.withColumnRenamed("id", id_col)

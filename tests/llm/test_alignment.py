@@ -77,6 +77,17 @@ def test_against_whole_texts(spark, sf, chunk, most_pairs, separable, monkeypatc
     assert got == want and sum(w[-1] != "" for w in want.values()) > 20
 
 
+def test_segments_of_many_tokens(spark):
+    """Over 65,535 tokens in a segment: numbers of four bytes, beside others of two."""
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("qxzjkvw") for _ in range(220_000)), "a few words, and more words.", "words, and a few words."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in alignment.alignments(docs, A, B).collect()}
+    assert got == dict(enumerate(brute(texts))) and got[0][0] > 65_535
+
+
 def test_odd_rows(spark):
     schema = "id string, body string, chunk int, segment string, a string, pair string"
     rows = [(None, "x y", 1, "s", "t", "u"), ("k", None, 1, "", "", ""), ("k", "x y", None, None, None, None), ("k", "x y", 2, "", "", "")]
