@@ -51,10 +51,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
     """Numbers, compressed: their bytes by place, as the higher ones hardly change."""
-    planes = np.ascontiguousarray(numbers.astype(kind)).view(np.uint8).reshape(len(numbers), -1).T
+    planes = np.ascontiguousarray(numbers.astype(kind)).view(np.uint8).reshape(len(numbers), np.dtype(kind).itemsize).T
     return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    planes = planes.reshape(np.dtype(kind).itemsize, len(planes) // np.dtype(kind).itemsize)
     return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
