@@ -92,6 +92,37 @@ def _chunks(docs: DataFrame, text_col: str, lang_col: str, size: int) -> DataFra
     return found.withColumn("chunk", F.monotonically_increasing_id())  # for good once it is written
 
 
+def _places(units: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``(chunk, code, id)`` as ``(chunk, placed)``: codes and ids of a chunk packed together, where they are."""
+    schema = pa.schema([("chunk", pa.int64()), ("placed", pa.list_(pa.binary()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            chunk, code, name = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((code, chunk))
+            chunk, code, name = chunk[order], code[order], name[order]
+            ends = np.flatnonzero(np.diff(chunk, append=-1)) + 1
+            bounds = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+            rows = [[packed(code[a:b]), packed(name[a:b], "<i8")] for a, b in bounds]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[ends - 1]), pa.array(rows, pa.list_(pa.binary()))], schema=schema)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy() for c in batch.columns])
+                n += batch.num_rows
+            if n >= most:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+        held.clear()
+        release()
+
+    return units.select("chunk", "code", "id").mapInArrow(run, "chunk bigint, placed array<binary>")
+
+
 _PAIRED = pa.schema([("chunk", pa.int64()), ("codes", pa.binary()), ("bucket", pa.int64()), ("units", pa.list_(pa.binary()))])
 _KINDS = ("<u4", "<i8", "<i8", "<i8")  # of codes, left ids, right ids and counts
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)  # odd numbers that spread ids over buckets
@@ -101,7 +132,7 @@ def _paired(chunks: DataFrame, placed: DataFrame, buckets: int) -> DataFrame:
     """Sequences of the next level: ids of ``placed`` side by side, numbered in each chunk.
 
     Of each chunk a row with the ``codes`` of the sequence, and one for each of its buckets with ``units``: codes, left ids, right
-    ids and counts of its pairs. ``placed`` is ``(chunk, code, id)`` or, packed, ``(chunk, placed)``.
+    ids and counts of its pairs. ``placed`` has codes and ids, packed, in any number of rows of a chunk.
     """
 
     def run(sequence: pa.Table, names: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -109,11 +140,8 @@ def _paired(chunks: DataFrame, placed: DataFrame, buckets: int) -> DataFrame:
             return
         chunk = sequence.column("chunk")[0].as_py()
         codes = unpacked(sequence.column("codes")[0].as_py()) - 1  # the end of a piece is -1
-        if "placed" in names.column_names:
-            found = [(unpacked(x[0]), unpacked(x[1], "<i8")) for x in names.column("placed").to_pylist()]
-            code, name = (np.concatenate(x) for x in zip(*found))
-        else:
-            code, name = names.column("code").to_numpy(), names.column("id").to_numpy()
+        found = [(unpacked(x[0]), unpacked(x[1], "<i8")) for x in names.column("placed").to_pylist()]
+        code, name = (np.concatenate(x) for x in zip(*found))
         ids = np.full(max(int(codes.max(initial=-1)), int(code.max())) + 2, -1, np.int64)  # the last one stands for -1
         ids[code] = name
         known = ids[codes] >= 0
@@ -191,7 +219,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", one.alias("firsts"), one.alias("lasts"), F.lit(None).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("right"))]
     names = words.select("lang", "word", "id")
     few = names.limit(MOST_NAMES + 1).count() <= MOST_NAMES
-    placed = units.join(F.broadcast(names) if few else names, ["lang", "word"]).select("chunk", "code", "id")
+    placed = _places(units.join(F.broadcast(names) if few else names, ["lang", "word"]))
     buckets = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET
     for k in range(2, most_words + 1):
         paired = _paired(held, placed, buckets)
