@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatgraph.functions import graph
-from heatgraph.operators.connected import connected_components
+from heatgraph.operators.connected import connected_components, strong_components
+from heatgraph.plans.lineage import cut
+
+#: Edges of a graph that one task takes in memory.
+MOST_EDGES = 2_000_000
 
 
 def similarity(kernel: DataFrame, heat: DataFrame, directed: bool = True, delta: float | None = None) -> DataFrame:
@@ -37,18 +41,30 @@ def edges_at(sim: DataFrame, delta: float) -> DataFrame:
     return sim.where(F.col("w") >= delta).select("src", "dst", "w")
 
 
-def component_members(edges: DataFrame, keys: list[str] | None = None, directed: bool = True) -> DataFrame:
+def component_members(edges: DataFrame, keys: list[str] | None = None, directed: bool = True, most: int = MOST_EDGES) -> DataFrame:
     """``(keys, component, node)``: (strongly) connected components, named by their smallest node.
 
-    With keys each group's graph is one task. Without, an undirected graph of any size is contracted
-    as DataFrames; a directed one is the graph of one network at one threshold, and one task.
+    Without keys the graph may have any size and is worked on as DataFrames. With keys each group of at most
+    ``most`` edges, which is counted first, is one task beside the others; larger ones are worked on like those without keys, all at once.
     """
-    if not keys and not directed:
-        return connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).select("component", "node")
-    named = keys or ["_all"]
-    table = edges if keys else edges.withColumn("_all", F.lit(0))
+    if not keys:
+        ends = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+        return (strong_components if directed else connected_components)(ends).select("component", "node")
+    table = cut(edges.select(*keys, "src", "dst"))
+    large = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*keys)
+    if large.isEmpty():
+        return _members_by_task(table, keys, directed)
+    large = cut(large)
+    within = table.join(F.broadcast(large), keys, "left_semi")  # each of them has over ``most`` edges, so they are few
+    ends = within.select(F.struct(*keys, F.col("src").alias("node")).alias("u"), F.struct(*keys, F.col("dst").alias("node")).alias("v"))
+    found = (strong_components if directed else connected_components)(ends)
+    named = found.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("component.node").alias("component"), F.col("node.node").alias("node"))
+    return _members_by_task(table.join(F.broadcast(large), keys, "left_anti"), keys, directed).unionByName(named)
+
+
+def _members_by_task(edges: DataFrame, keys: list[str], directed: bool) -> DataFrame:
     kind = edges.schema["src"].dataType.simpleString()
-    schema = "".join(f"{k} {table.schema[k].dataType.simpleString()}, " for k in named) + f"component {kind}, node {kind}"
+    schema = "".join(f"{k} {edges.schema[k].dataType.simpleString()}, " for k in keys) + f"component {kind}, node {kind}"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names = np.array(sorted(set(rows["src"]) | set(rows["dst"])), object)
@@ -59,12 +75,11 @@ def component_members(edges: DataFrame, keys: list[str] | None = None, directed:
         for i, x in enumerate(label.tolist()):  # names ascend, so the first seen is the smallest
             first.setdefault(x, names[i])
         out = pd.DataFrame({"component": [first[x] for x in label.tolist()], "node": names})
-        for k in named:
+        for k in keys:
             out[k] = rows[k].iloc[0]
-        return out[[*named, "component", "node"]]
+        return out[[*keys, "component", "node"]]
 
-    found = table.groupBy(*named).applyInPandas(run, schema)
-    return found if keys else found.drop("_all")
+    return edges.groupBy(*keys).applyInPandas(run, schema)
 
 
 def listing(members: DataFrame, min_size: int = 1, keys: list[str] | None = None) -> DataFrame:
