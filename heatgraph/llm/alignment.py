@@ -6,8 +6,8 @@ vocabularies are loaded, and the first one's pre-tokenizer ends a piece there an
 are those of its segments one after the other, and both kinds of tokens end together at every cut.
 
 Texts are held as chunks: numbers beside a dictionary of distinct segments. Only dictionaries are shuffled, never
-occurrences: all places of a segment in dictionaries meet, where it is tokenised and aligned once, and
-the alignment goes back to each of the chunks, which compose their documents from it.
+occurrences: all chunks' segments meet in buckets by hash, where each is tokenised and aligned once, and
+the alignments are joined back to the chunks, which compose their documents from them.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,6 +35,8 @@ CHUNK = 24 << 20
 MOST_PAIRS = 2_000_000
 #: Segments that are tokenised together, and those that are spelled together.
 TOGETHER, BLOCK = 64, 1 << 15
+#: Entries of dictionaries for each bucket.
+BUCKET = 500_000
 #: White space in any of the definitions in use (this module's is the widest) never comes before a cut.
 _SEGMENT = re.compile(r"(?<=\S)(?= .)", re.S)
 _SPACE = "▁"
@@ -198,8 +202,22 @@ def _widened(blobs: pa.Array, wide: np.ndarray) -> pa.Array:
     return pa.array([b if w else np.frombuffer(b, "<u2").astype("<u4").tobytes() for b, w in zip(blobs.to_pylist(), wide.tolist())], pa.binary())
 
 
+def _pack(values: pa.Array) -> list[bytes]:
+    """Strings or blobs as compressed lengths and bytes."""
+    n = len(values)
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    data = memoryview(values.buffers()[2] or b"")[offsets[0] : offsets[-1]]
+    return [packed(np.diff(offsets)), zstandard.compress(data, 1)]
+
+
+def _unpack(lengths: bytes, data: bytes, kind: pa.DataType) -> pa.Array:
+    size = unpacked(lengths)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(data))])
+
+
 def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: bool) -> DataFrame:
-    """``(chunk, ids, sizes, codes, segments)``: all documents as numbers of distinct segments, without a shuffle."""
+    """``(chunk, ids, sizes, codes, entries, segments)``: all documents as numbers of distinct segments, without a shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +226,11 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: b
         numbers.default_factory = numbers.__len__
 
         def out(batch: pa.RecordBatch) -> pa.RecordBatch:
-            codes = np.concatenate(parts)
-            columns = [pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([sizes], pa.list_(pa.int32())), pa.array([packed(codes)], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string()))]
+            codes, names = np.concatenate(parts), pa.array(list(numbers), pa.string())
+            columns = [pa.array([ids], pa.list_(batch.schema.field(0).type)), pa.array([sizes], pa.list_(pa.int32())), pa.array([packed(codes)], pa.binary()), pa.array([len(names)], pa.int64()), pa.array([_pack(names)], pa.list_(pa.binary()))]
             for x in (ids, sizes, parts, numbers):
                 x.clear()
-            return pa.RecordBatch.from_arrays(columns, ["ids", "sizes", "codes", "segments"])
+            return pa.RecordBatch.from_arrays(columns, ["ids", "sizes", "codes", "entries", "segments"])
 
         batch = None
         for batch in slices(batches, "text"):
@@ -229,36 +247,61 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: b
             yield out(batch)
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = source.mapInArrow(run, f"ids array<{kind}>, sizes array<int>, codes binary, segments array<string>")
+    found = source.mapInArrow(run, f"ids array<{kind}>, sizes array<int>, codes binary, entries bigint, segments array<binary>")
     return found.withColumn("chunk", F.monotonically_increasing_id())  # for good once it is written
 
 
-def aligned_segments(units: DataFrame, byte_level: str, pieces: str, at_once: int = 4000) -> DataFrame:
-    """``(chunk, code, blob, wide)`` of ``(chunk, code, segment)``: the alignment of each segment, made once and given to all its places.
+def _dealt(chunks: DataFrame, buckets: int) -> DataFrame:
+    """``(bucket, chunk, codes, segments)``: the dictionaries' entries, packed, by a hash of the segment."""
+    schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("codes", pa.binary()), ("segments", pa.list_(pa.binary()))])
 
-    Places are dealt out and sorted by segment, so equal ones follow each other. ``Aligned`` reads the blobs; a
-    segment whose bytes the tokens don't spell has an empty one.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                names = _unpack(*_row(batch, "segments", row), pa.string())
+                if not len(names):
+                    continue
+                bucket = np.fromiter((xxhash.xxh3_64_intdigest(x) % buckets for x in names.to_pylist()), np.int64, len(names))
+                order = np.argsort(bucket, kind="stable")
+                ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+                for first, last in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                    own = order[first:last]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])]), pa.array([_row(batch, "chunk", row)]), pa.array([packed(own)], pa.binary()), pa.array([_pack(names.take(pa.array(own)))], pa.list_(pa.binary()))], schema=schema)
+        release()
+
+    return chunks.select("chunk", "segments").mapInArrow(run, "bucket bigint, chunk bigint, codes binary, segments array<binary>")
+
+
+def aligned_segments(dealt: DataFrame, byte_level: str, pieces: str, at_once: int = 4000) -> DataFrame:
+    """``(chunk, codes, blobs, wide)`` of ``(bucket, chunk, codes, segments)``: each distinct segment of a bucket is aligned once,
+    and its alignment joined back to every dictionary that has it. Packed; ``Aligned`` reads the blobs, which are
+    empty for a segment whose bytes the tokens don't spell.
     """
-    schema = pa.schema([("chunk", pa.int64()), ("code", pa.int32()), ("blob", pa.binary()), ("wide", pa.bool_())])
+    schema = pa.schema([("chunk", pa.int64()), ("codes", pa.binary()), ("blobs", pa.list_(pa.binary())), ("wide", pa.bool_())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         pair = _pair(byte_level, pieces)
-        last, kept, kept_wide = None, pa.array([b""], pa.binary()), False
-        for batch in slices(batches, "segment", 1 << 20):
-            for start in range(0, batch.num_rows, at_once):
-                part = batch.slice(start, at_once)
-                runs = part.column(2).to_pylist()
-                fresh = np.fromiter((s != t for s, t in zip(runs, [last, *runs])), bool, len(runs))
-                new = [s for s, f in zip(runs, fresh.tolist()) if f]
-                made, wide = pair.aligned(new) if new else (pa.array([], pa.binary()), False)
-                at = np.cumsum(fresh)  # 0: as the last of the batch before
-                blobs = pa.concat_arrays([kept, made]).take(pa.array(at))
-                wides = np.concatenate([[kept_wide], np.full(len(made), wide)])[at]
-                last, kept, kept_wide = runs[-1], pa.array([blobs[-1].as_py()], pa.binary()), bool(wides[-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), blobs, pa.array(wides)], schema=schema)
-
-    dealt = units.select("chunk", "code", "segment").repartition("segment").sortWithinPartitions("segment")
-    return dealt.mapInArrow(run, "chunk bigint, code int, blob binary, wide boolean")
+        numbers: defaultdict[str, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        places = []
+        for x in table.column("segments").to_pylist():
+            names = _unpack(*x, pa.string()).to_pylist()
+            places.append(np.fromiter(map(numbers.__getitem__, names), np.int64, len(names)))
+        numbers.default_factory = None
+        distinct, made, wides = list(numbers), [], []
+        for start in range(0, len(distinct), at_once):
+            blobs, wide = pair.aligned(distinct[start : start + at_once])
+            made.append(blobs)
+            wides.append(np.full(len(blobs), wide))
+        blobs, wides = pa.concat_arrays(made), np.concatenate(wides)
+        if wides.any():
+            blobs = _widened(blobs, wides)
+        packs = [_pack(blobs.take(pa.array(at))) for at in places]
+        out = pa.Table.from_arrays([table.column("chunk"), table.column("codes"), pa.array(packs, pa.list_(pa.binary())), pa.array([bool(wides.any())] * len(packs), pa.bool_())], schema=schema)
+        release()
+        return out
+
+    return dealt.groupBy("bucket").applyInArrow(run, "chunk bigint, codes binary, blobs array<binary>, wide boolean")
 
 
 def _row(table: pa.Table | pa.RecordBatch, name: str, row: int = 0):
@@ -335,24 +378,27 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
     spark, field = docs.sparkSession, docs.schema[id_col].dataType
     kind, id_type = field.simpleString(), to_arrow_type(field)
     held = stored(_chunks(docs, id_col, text_col, chunk, _pair(byte_level, pieces).separable))
-    placed = aligned_segments(held.select("chunk", F.posexplode("segments").alias("code", "segment")), byte_level, pieces)
+    buckets = 1 + (held.agg(F.sum("entries")).first()[0] or 0) // BUCKET
+    placed = aligned_segments(_dealt(held, buckets), byte_level, pieces)
     chunked = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("blobs", pa.list_(pa.binary())), ("wide", pa.bool_()), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
     result = pa.schema([("id", id_type), *((n, pa.int64()) for n in _COLUMNS), ("groups_sha256", pa.string())])
 
     def composed(sequence: pa.Table, alignment: pa.Table) -> pa.Table:
         if not sequence.num_rows:
             return chunked.empty_table()
-        blobs, wide = pa.array([], pa.binary()), np.zeros(0, bool)
+        blobs, wide = pa.array([], pa.binary()), False
         if alignment.num_rows:
-            order = pa.array(np.argsort(alignment.column("code").to_numpy()))
-            blobs = pa.concat_arrays(alignment.column("blob").take(order).chunks)
-            wide = alignment.column("wide").take(order).to_numpy()
-        if wide.any():
-            blobs = _widened(blobs, wide)
-        found = Aligned(blobs, bool(wide.any()))
+            own = [_unpack(*x, pa.binary()) for x in alignment.column("blobs").to_pylist()]
+            wides = alignment.column("wide").to_pylist()
+            wide = any(wides)
+            if wide:
+                own = [x if w else _widened(x, np.zeros(len(x), bool)) for x, w in zip(own, wides)]
+            order = np.argsort(np.concatenate([unpacked(x) for x in alignment.column("codes").to_pylist()]))
+            blobs = pa.concat_arrays(own).take(pa.array(order))
+        found = Aligned(blobs, wide)
         counts = _document_counts(unpacked(_row(sequence, "codes")), np.array(_row(sequence, "sizes"), np.int64), found)
         columns = [sequence.column(n).combine_chunks() for n in ("chunk", "ids", "sizes", "codes")]
-        columns += [pa.ListArray.from_arrays(pa.array([0, len(blobs)], pa.int32()), blobs), pa.array([bool(wide.any())]), pa.array([found.pairs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
+        columns += [pa.array([_pack(blobs)], pa.list_(pa.binary())), pa.array([wide]), pa.array([found.pairs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
         return pa.Table.from_arrays(columns, schema=chunked)
 
     sequences = held.select("chunk", "ids", "sizes", "codes").groupBy("chunk")
@@ -365,7 +411,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
     rated = counts.withColumn("a", F.shiftright("pair", 32)).join(best, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
     def rows(batch: pa.RecordBatch | pa.Table, row: int, pairs: np.ndarray, count: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-        found = Aligned(pa.concat_arrays([batch.column("blobs")[row].values]), _row(batch, "wide", row))
+        found = Aligned(_unpack(*_row(batch, "blobs", row), pa.binary()), _row(batch, "wide", row))
         codes, sizes = unpacked(_row(batch, "codes", row)), np.array(_row(batch, "sizes", row), np.int64)
         at = np.minimum(np.searchsorted(pairs, found.pairs), max(len(pairs) - 1, 0))
         known = pairs[at] == found.pairs if len(pairs) else np.zeros(len(found.pairs), bool)  # others are only in texts without tokens
