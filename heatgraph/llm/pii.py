@@ -21,12 +21,11 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from heatgraph.llm.tables import slices, texts
-from heatgraph.plans.bounded import join_checked
 from heatgraph.plans.lineage import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -189,43 +188,82 @@ def _document_counts(docs: DataFrame, text_col: str, flush: int = 400_000) -> Da
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def _estimated(pairs: DataFrame, entities: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """``(entity, term, disclosure)`` of ``pairs`` in ``both`` and of ``entities`` in ``of_entity`` documents."""
-    known = cut(pairs.join(entities, "entity"))
-    total = F.lit(max(1, docs.count())).cast("double")
-    counted = known.join(_document_counts(docs, text_col), "term")
-    pmi = F.log(total * F.least("both", "of_entity", "df") / (F.col("df") * F.col("of_entity")))
-    content = F.log(total / F.col("of_entity"))
-    return counted.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure"))
+def _doc_keys(found: DataFrame) -> DataFrame:
+    """``found`` with ``d1, d2``, 128 bits that stand for a document (id and text), instead of both."""
+    keys = [F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull(), "digest", F.lit(i)).alias(f"d{i}") for i in (1, 2)]
+    return found.select(*keys, *[c for c in found.columns if c not in ("id", "digest")])
+
 
+def most_documents(k: Column, total: float, generalise: float) -> Column:
+    """In how many of ``total`` documents a term may be at most if it is to disclose an entity of ``k`` documents.
+
+    With ``b <= min(k, df)`` documents in common, ``log(N b / (df k)) >= g log(N / k)`` needs ``df <= k (N / k) ** (1 - g)`` where ``df``
+    is over ``k``; a thousandth more keeps rounding from mattering.
+    """
+    return F.greatest(k.cast("double"), k * F.pow(total / k, F.lit(1 - generalise))) * 1.001
 
-def document_disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
-    """``(entity, term, disclosure)`` of the pairs in the same documents, however far apart, with enough support.
+
+def document_disclosures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, window: int = WINDOW, generalise: float = 0.0) -> DataFrame:
+    """``(entity, term, disclosure)`` of the pairs in the same documents, however far apart, with enough support; those below ``generalise`` may be missing.
 
     A document is an id with a text: null ids count like any other, repeated rows once for an entity and
-    as often as given for the frequency of terms. Only entities with enough surroundings at all are paired with the terms of their documents.
+    as often as given for the frequency of terms. All pairs are listed here, which are many where documents list many entities;
+    ``disclosing`` works on one of each kind.
+    """
+    told, entities, terms = _disclosures(docs, id_col, text_col, support, window, generalise)
+    named = told.withColumnRenamed("entity", "like_entity").withColumnRenamed("term", "like")
+    return named.join(entities, "like_entity").join(terms.select("term", "like"), "like").select("entity", "term", "disclosure")
+
+
+def _disclosures(docs: DataFrame, id_col: str, text_col: str, support: int, window: int, generalise: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The disclosures ``(entity, term, disclosure)`` of representatives, and ``(entity, like_entity)`` and ``(term, df, like)``.
+
+    No document pairs all its entities with all its words: entities whose surroundings are spread over the same documents, and terms of
+    the same documents and frequency, are equal in every count, so one of each stands for all; and terms that are too
+    frequent to reach ``generalise`` for any entity of a document go before.
     """
-    found = cut(_evidence(docs, id_col, text_col, window, support))
-    seen = found.select("id", "digest", F.explode("places").alias("x")).select("id", "digest", "x.entity", "x.arounds").dropDuplicates(["id", "digest", "entity"])
-    enough = seen.select("entity", F.explode("arounds").alias("around")).groupBy("entity").agg(F.countDistinct("around").alias("n")).where(F.col("n") >= support)
-    placed = cut(seen.join(enough.select("entity"), "entity"))
-    entities = placed.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    words = found.select("id", "digest", "words").alias("w")
-    held = placed.select("id", "digest").distinct().alias("h")
-    same = lambda x: F.col("w.id").eqNullSafe(F.col(f"{x}.id")) & (F.col("w.digest") == F.col(f"{x}.digest"))
-    words = words.join(held, same("h"), "left_semi").dropDuplicates(["id", "digest"]).alias("w")
-    both = join_checked(words, cut(placed).alias("p"), same("p"), "inner").select("p.entity", "p.arounds", F.explode("w.words").alias("term"))
+    total = float(max(1, docs.count()))
+    doc = ["d1", "d2"]
+    found = cut(_doc_keys(_evidence(docs, id_col, text_col, window, support)).dropDuplicates(doc))
+    seen = found.select(*doc, F.explode("places").alias("x")).select(*doc, "x.entity", "x.arounds")
+    around = seen.select(*doc, "entity", F.explode("arounds").alias("around")).groupBy("entity", "around").agg(*[F.bit_xor(d).alias(d) for d in doc])
+    label = [F.sum(F.xxhash64(*doc, F.lit(i)).cast("decimal(38,0)")).alias(f"e{i}") for i in (1, 2)]
+    spread = around.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), *label).where(F.col("n") >= support)
+    kinds = ["e1", "e2", "n"]
+    spread = cut(spread)
+    alike = cut(spread.join(spread.groupBy(*kinds).agg(F.min("entity").alias("like_entity")), kinds).select("entity", "like_entity"))
+    placed = cut(seen.join(alike.where(F.col("entity") == F.col("like_entity")).select("entity"), "entity"))
+    of = placed.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity")).withColumn("most", most_documents(F.col("of_entity"), total, generalise))
+    placed = cut(placed.join(of, "entity"))
+    reach = placed.groupBy(*doc).agg(F.max("most").alias("reach"))
+    words = found.join(reach, doc).select(*doc, "reach", F.explode("words").alias("term"))
+    terms = words.groupBy("term").agg(*[F.bit_xor(d).alias(d) for d in doc], F.max("reach").alias("reach"))
+    known = terms.join(_document_counts(docs, text_col), "term").where(F.col("df") <= F.col("reach")).select("term", "df", *doc)
+    like = cut(known.join(known.groupBy(*doc, "df").agg(F.min("term").alias("like")), [*doc, "df"]).select("term", "df", "like"))
+    chosen = like.where(F.col("term") == F.col("like")).select("term", "df")
+    held = words.join(chosen, "term").where(F.col("df") <= F.col("reach")).select(*doc, "term", "df")
+    both = placed.join(held, doc).where(F.col("df") <= F.col("most"))
     # a document counts at the first of its surroundings
-    spread = both.select("entity", "term", F.posexplode("arounds").alias("at", "around"))
-    places = spread.groupBy("entity", "term", "around").agg(F.count_if(F.col("at") == 0).alias("n"))
-    pairs = places.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("both")).where(F.col("support") >= support)
-    return _estimated(pairs, entities, docs, text_col)
+    counted = both.select("entity", "term", "df", "of_entity", F.posexplode("arounds").alias("at", "around"))
+    places = counted.groupBy("entity", "term", "df", "of_entity", "around").agg(F.count_if(F.col("at") == 0).alias("n"))
+    pairs = places.groupBy("entity", "term", "df", "of_entity").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("both")).where(F.col("support") >= support)
+    pmi = F.log(total * F.least("both", "of_entity", "df") / (F.col("df") * F.col("of_entity")))
+    content = F.log(total / F.col("of_entity"))
+    return pairs.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure")), alike, like
+
+
+def estimated_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
+    """``(entities, estimated)``: how many entities there are, and how many have the surroundings that an estimate asks for."""
+    seen = _evidence(docs, id_col, text_col, window, support).select(F.explode("places").alias("x")).select("x.entity", F.explode("x.arounds").alias("around"))
+    each = seen.groupBy("entity").agg(F.countDistinct("around").alias("n"))
+    return each.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("n") >= support).alias("estimated"))
 
 
 def disclosing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, support: int = SUPPORT, window: int = WINDOW) -> DataFrame:
     """``(term, disclosure)``: the terms that disclose any entity, with the most that they disclose."""
-    told = document_disclosures(docs, id_col, text_col, support, window).where(F.col("disclosure") >= generalise)
-    return cut(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    told, _, like = _disclosures(docs, id_col, text_col, support, window, generalise)
+    most = told.where(F.col("disclosure") >= generalise).groupBy(F.col("term").alias("like")).agg(F.max("disclosure").alias("disclosure"))
+    return cut(like.join(most, "like").select("term", "disclosure"))
 
 
 class Told:
@@ -273,29 +311,45 @@ def _blocks(told: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarra
 _TERMS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("disclosure", pa.float64())]))
 
 
-def _marked(docs: DataFrame, text_col: str, told: DataFrame, block: int) -> DataFrame:
-    """``docs`` with ``_terms``: the places of all disclosing terms, by start. Block after block, in one pass of tasks."""
+def _free(name: str, columns: list[str]) -> str:
+    """``name``, longer while a column is called so."""
+    while name in columns:
+        name += "_"
+    return name
+
+
+def _marked(docs: DataFrame, text_col: str, told: DataFrame, block: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with the base spans and the places of all disclosing terms, by start, and what these columns are called.
+
+    Texts are searched block after block in one pass of tasks, for the base spans once.
+    """
     sc, names = docs.sparkSession.sparkContext, docs.columns
+    base, terms = _free("_base", names), _free("_terms", names)
 
     def scan(shared, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = Told(*shared.value)
             for batch in slices(batches, text_col):
-                own = list(batch.columns[: len(names)])
-                before = [[]] * batch.num_rows if first else batch.column(len(names)).to_pylist()
-                found = [[*b, *({"start": x, "end": y, "disclosure": d} for x, y, d in find(t, base_spans(t)))] for t, b in zip(texts(batch, text_col), before)]
-                if not first:
-                    found = [sorted(f, key=lambda x: x["start"]) for f in found]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(found, _TERMS)], [*names, "_terms"])
+                own, found = list(batch.columns[: len(names)]), texts(batch, text_col)
+                if first:
+                    spans = [base_spans(t) for t in found]
+                    spelled = pa.array([[{"kind": k, "start": x, "end": y} for k, x, y in s] for s in spans], _SPANS)
+                    before = [[]] * len(found)
+                else:
+                    spelled = batch.column(len(names))
+                    spans = [[(x["kind"], x["start"], x["end"]) for x in s] for s in spelled.to_pylist()]
+                    before = batch.column(len(names) + 1).to_pylist()
+                marks = [sorted([*b, *({"start": x, "end": y, "disclosure": d} for x, y, d in find(t, s))], key=lambda x: x["start"]) for t, s, b in zip(found, spans, before)]
+                yield pa.RecordBatch.from_arrays([*own, spelled, pa.array(marks, _TERMS)], [*names, base, terms])
 
         return run
 
-    kind = StructType.fromDDL("_terms array<struct<start:bigint,end:bigint,disclosure:double>>")
-    schema = StructType([*docs.schema.fields, *kind.fields])
+    added = StructType.fromDDL(f"{base} array<struct<kind:string,start:bigint,end:bigint>>, {terms} array<struct<start:bigint,end:bigint,disclosure:double>>")
+    schema = StructType([*docs.schema.fields, *added.fields])
     out = None
     for part in _blocks(told, block):
         out = (docs if out is None else out).mapInArrow(scan(sc.broadcast(part), out is None), schema)
-    return out
+    return out, base, terms
 
 
 def personal_data(
@@ -316,15 +370,13 @@ def personal_data(
     other columns are not read. Terms go out in broadcast blocks of ``most``.
     """
     told = disclosing(docs, id_col, text_col, generalise, support, window)
-    marked = _marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", told, most)
+    marked, base, terms = _marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", told, most)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = texts(batch)
-            base = [[{"kind": k, "start": a, "end": b} for k, a, b in base_spans(t)] for t in found]
-            digest = [_hash(t) for t in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), pa.array(base, _SPANS), batch.column(2)], ["id", "digest", "base", "terms"])
+            digest = [_hash(t) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), batch.column(2), batch.column(3)], ["id", "digest", "base", "terms"])
 
     schema = f"id {kind}, digest bigint, base array<struct<kind:string,start:bigint,end:bigint>>, terms array<struct<start:bigint,end:bigint,disclosure:double>>"
     return marked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -384,12 +436,13 @@ def sanitise(
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            kept, terms = list(batch.columns[:-1]), batch.column(len(columns)).to_pylist()
-            new = [None if t is None else sanitised(t, base_spans(t), [(x["start"], x["end"], x["disclosure"]) for x in own]) for t, own in zip(kept[at].to_pylist(), terms)]
+            kept = list(batch.columns[: len(columns)])
+            base, terms = (batch.column(len(columns) + i).to_pylist() for i in (0, 1))
+            new = [None if t is None else sanitised(t, [(x["kind"], x["start"], x["end"]) for x in b], [(x["start"], x["end"], x["disclosure"]) for x in own]) for t, b, own in zip(kept[at].to_pylist(), base, terms)]
             kept[at] = pa.array(new, pa.string())
             if "n_chars" in columns:
                 i = columns.index("n_chars")
                 kept[i] = pa.array([o if t is None else len(t) for t, o in zip(new, kept[i].to_pylist())], pa.int64()).cast(kept[i].type)
             yield pa.RecordBatch.from_arrays(kept, columns)
 
-    return _marked(docs, text_col, told, most).mapInArrow(rewrite, schema)
+    return _marked(docs, text_col, told, most)[0].mapInArrow(rewrite, schema)

@@ -164,3 +164,35 @@ def test_words_of_any_length_stay_whole(spark):
     rows = [(i, f"{noise()} {long[0]} bob@x.org {noise()}") for i in range(8)] + [(i, f"{noise()} {long[0][:-1]} {noise()}") for i in range(8, 16)] + [(i, noise()) for i in range(16, 300)]
     clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert all(long[0][:300] not in clean[i] for i in range(8)) and all(clean[i] == dict(rows)[i] for i in range(8, 300))
+
+
+def test_many_entities_in_a_document(spark):
+    """5,000 addresses beside 5,000 names in 4 documents: pairs of kinds are few, where all pairs would be 25 million."""
+    rng = random.Random(8)
+    order = list(range(5000))
+    rows = []
+    for i in range(4):
+        rng.shuffle(order)
+        rows.append((i, " ".join(f"name{k} is at p{k}@x.org now" for k in order)))
+    rows += [(i, " ".join(f"w{rng.randrange(90)} is now" for _ in range(9))) for i in range(4, 400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs, entities, terms = pii._disclosures(docs, "doc_id", "text", pii.SUPPORT, pii.WINDOW, pii.GENERALISE)
+    assert entities.count() == 5000 and terms.count() >= 5000
+    assert 1 <= pairs.count() < 1000
+    told = {r.term for r in pii.disclosing(docs).collect()}
+    assert {pii._hash(f"name{k}") for k in range(5000)} <= told and not {pii._hash(w) for w in ("is", "now")} & told
+    share = pii.estimated_share(docs).first()
+    assert (share.entities, share.estimated) == (5000, 5000)
+
+
+def test_bound_loses_no_disclosing_pair(spark):
+    docs = far_apart(spark).unionByName(revealing(spark).selectExpr("doc_id + 1000 as doc_id", "text"))
+    want = {(pii._hash(f"{k}|{e}"), pii._hash(w)) for (k, e, w), d in told_plainly([tuple(r) for r in docs.collect()]).items() if d >= pii.GENERALISE}
+    found = pii.document_disclosures(docs, generalise=pii.GENERALISE).where(F.col("disclosure") >= pii.GENERALISE)
+    assert want and {(r.entity, r.term) for r in found.collect()} == want
+
+
+def test_columns_of_any_name(spark):
+    docs = revealing(spark).withColumns({"_terms": F.lit(1), "_base": F.lit("b"), "_terms_": F.lit(2), "d1": F.lit(0), "term": F.lit("t"), "entity": F.lit(3)})
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns and all("@" not in r.text and (r._terms, r._base, r._terms_) == (1, "b", 2) for r in clean.collect())
