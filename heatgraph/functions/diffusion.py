@@ -36,6 +36,71 @@ def restart_columns(n: int, src: np.ndarray, dst: np.ndarray, beta: float, seeds
     return heat
 
 
+def neighbours(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(begin, to)``: where the neighbours of each vertex begin in ``to``."""
+    u, v = np.concatenate([src, dst]), np.concatenate([dst, src])
+    order = np.argsort(u, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(u, minlength=n))]), v[order]
+
+
+def pushed_columns(begin: np.ndarray, to: np.ndarray, beta: float, seeds: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(vertex, seed, p)``: columns of the restart kernel for some seeds by forward push, each entry at most ``within`` below the kernel's.
+
+    Heat that hasn't moved yet stays as a residual and is pushed on while it is over ``within / most * degree`` of its vertex. As walks of an
+    undirected network are reversible, what is left can add at most that share of its own degree to a vertex. Work and memory
+    follow the entries that are reached, not the network's size.
+    """
+    degree = np.diff(begin)
+    n = len(degree)
+    limit = within / max(int(degree.max(initial=1)), 1)
+    place = np.arange(len(seeds), dtype=np.int64) * n
+    keys, rest = place + seeds, np.ones(len(seeds))  # residuals, by seed and vertex
+    done_keys, done = [np.zeros(0, np.int64)], [np.zeros(0)]
+    while True:
+        over = rest > limit * degree[keys % n]
+        if not over.any():
+            break
+        moving, heat = keys[over], rest[over]
+        done_keys.append(moving)
+        done.append(beta * heat)
+        v, count = moving % n, degree[moving % n]
+        at = np.repeat(begin[v] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        arrived = np.repeat(moving - v, count) + to[at]
+        share = np.repeat((1 - beta) * heat / np.maximum(count, 1), count)
+        keys, where = np.unique(np.concatenate([keys[~over], arrived]), return_inverse=True)
+        rest = np.bincount(where, np.concatenate([rest[~over], share]), len(keys))
+        if len(done) > 16:
+            held, where = np.unique(np.concatenate(done_keys), return_inverse=True)
+            done_keys, done = [held], [np.bincount(where, np.concatenate(done), len(held))]
+    held, where = np.unique(np.concatenate(done_keys), return_inverse=True)
+    return held % n, seeds[held // n], np.bincount(where, np.concatenate(done), len(held))
+
+
+def heat_columns(begin: np.ndarray, to: np.ndarray, time: float, seeds: np.ndarray, tolerance: float = 1e-13) -> np.ndarray:
+    """Columns of ``exp(-time L)`` for some seeds, by the action of its Taylor series in steps; memory is vertices times seeds.
+
+    ``exp(-time L) = exp(-c) exp(c I - time L)`` for a step with ``c = time * 2 * largest degree`` at most 8: all terms are positive, so nothing cancels.
+    """
+    degree = np.diff(begin)
+    n, most = len(degree), 2.0 * max(int(degree.max(initial=0)), 1)
+    steps = max(1, int(np.ceil(time * most / 8)))
+    c = time * most / steps
+    found = np.zeros((n, len(seeds)))
+    found[seeds, np.arange(len(seeds))] = 1.0
+    u = np.repeat(np.arange(n), degree)
+    first, empty = np.minimum(begin[:-1], max(len(u) - 1, 0)), degree == 0
+    for _ in range(steps):
+        term, total, k = found, found.copy(), 0
+        while term.max(initial=0.0) > tolerance:
+            k += 1
+            moved = np.add.reduceat(term[to], first, axis=0) if len(to) else np.zeros_like(term)
+            moved[empty] = 0
+            term = (c / k) * ((1 - degree / most)[:, None] * term + moved / most)
+            total += term
+        found = np.exp(-c) * total
+    return found
+
+
 def heat_kernel(a: np.ndarray, time: float) -> np.ndarray:
     """``exp(-time L)`` of the combinatorial Laplacian."""
     return symmetric_exp(-time * (np.diag(a.sum(axis=0)) - a))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatgraph.operators.connected import connected_components
+from heatgraph.plans.lineage import cut
 
 SIZES = tuple(range(2, 11))
 
@@ -28,6 +29,30 @@ def consensus_edges(members: DataFrame) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.countDistinct("network").alias("w"))
 
 
+def node_classes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, like)`` and ``(like, runs, n)``: nodes that are together in every run are one class, named by its smallest node.
+
+    ``runs`` has the ``(network, heat, component)`` of the class, one for each run at most; all of a class's pairs and all its pairs with
+    another class weigh the same, so the consensus graph follows from pairs of classes.
+    """
+    own = members.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("network", "heat", "component"))).alias("runs"))
+    classes = cut(own.groupBy("runs").agg(F.min("node").alias("like"), F.count(F.lit(1)).alias("n")))
+    return own.join(classes.select("runs", "like"), "runs").select("node", "like"), classes.select("like", "runs", "n")
+
+
+def class_edges(classes: DataFrame) -> DataFrame:
+    """``(u, v, w)`` as in ``consensus_edges`` between classes, and from a class of several nodes to itself."""
+    each = classes.select("like", F.explode("runs").alias("run")).select("like", "run.network", "run.heat", "run.component")
+    between = consensus_edges(each.withColumnRenamed("like", "node"))
+    within = classes.where(F.col("n") > 1).select(F.col("like").alias("u"), F.col("like").alias("v"), F.size(F.array_distinct("runs.network")).cast("bigint").alias("w"))
+    return between.unionByName(within)
+
+
+def of_nodes(found: DataFrame, like: DataFrame) -> DataFrame:
+    """Rows of classes, in ``node``, as rows of their nodes."""
+    return found.withColumnRenamed("node", "like").join(like, "like").select(*found.columns)
+
+
 def cores(edges: DataFrame, networks: int) -> DataFrame:
     """``(node, component)``: components of the edges found in every network."""
     return connected_components(edges.where(F.col("w") >= networks).select("u", "v"))
@@ -56,9 +81,10 @@ def size_counts(found: DataFrame, sizes=SIZES) -> DataFrame:
 def identified(members: DataFrame, statistics: DataFrame, pval: float = 0.01, min_size: int = 2) -> tuple[DataFrame, DataFrame]:
     """(roles, chosen thresholds) of runs ``(network, heat, delta, component, node)``."""
     deltas = chosen_deltas(statistics, pval, min_size)
-    edges = consensus_edges(members.join(deltas, ["network", "heat", "delta"], "left_semi"))
+    like, classes = node_classes(members.join(deltas, ["network", "heat", "delta"], "left_semi"))
+    edges = cut(class_edges(classes))
     networks = deltas.select("network").distinct().count()
-    return roles(edges, cores(edges, networks)), deltas
+    return of_nodes(roles(edges, cores(edges, networks)), like), deltas
 
 
 def consensus_statistics(real: DataFrame, permuted: DataFrame | None, n: int) -> DataFrame:

@@ -71,11 +71,15 @@ def _arrays(edges: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
     return names, src[order], dst[order]
 
 
-def restart_kernel(edges: DataFrame, beta: float, block: int = 256, places: int | None = None) -> DataFrame:
+def restart_kernel(edges: DataFrame, beta: float, block: int = 256, places: int | None = None, least: float | None = None, within: float = 0.0) -> DataFrame:
     """``(dst, src, p)``: heat that ends at ``dst`` from seed ``src``, of random walks with restart.
 
     One task for a block of seeds: the network is broadcast, its columns are power iterations over
     edges, so memory is edges and nodes times seeds, never nodes squared. ``places`` rounds.
+
+    With ``least`` only entries of at least that come out, so rows follow the entries that matter, not the nodes squared. With ``within`` as well
+    each may be so much too small, and those so much below ``least`` are there too: columns then come from pushes that reach no
+    further than they must, so time and memory follow the entries as well.
     """
     spark = edges.sparkSession
     names, src, dst = _arrays(edges)
@@ -85,11 +89,18 @@ def restart_kernel(edges: DataFrame, beta: float, block: int = 256, places: int
     def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, src, dst = shared.value
         values = np.array(names, object)
+        begin, to = diffusion.neighbours(len(names), src, dst)
         for ids in blocks:
             for first in ids["id"]:
                 seeds = np.arange(first * block, min((first + 1) * block, len(names)))
-                p = diffusion.restart_columns(len(names), src, dst, beta, seeds)
-                yield pd.DataFrame({"dst": np.repeat(values, len(seeds)), "src": np.tile(values[seeds], len(names)), "p": p.ravel()})
+                if least is not None and within > 0:
+                    at, seed, p = diffusion.pushed_columns(begin, to, beta, seeds, within)
+                else:
+                    p = diffusion.restart_columns(len(names), src, dst, beta, seeds)
+                    at, own = (x.ravel() for x in np.indices(p.shape)) if least is None else np.nonzero(p >= least)
+                    seed, p = seeds[own], p[at, own]
+                kept = slice(None) if least is None else p >= least - within
+                yield pd.DataFrame({"dst": values[at[kept]], "src": values[seed[kept]], "p": p[kept]})
 
     blocks = -(-len(names) // block)
     found = spark.range(blocks).repartition(max(1, blocks)).mapInPandas(run, f"dst {kind}, src {kind}, p double")
@@ -111,20 +122,25 @@ def restart_iteration(edges: DataFrame, seeds: DataFrame, beta: float, rounds: i
     return heat
 
 
-def heat_kernel(edges: DataFrame, time: float) -> DataFrame:
-    """``(dst, src, p)`` of the heat equation, dense, for networks of some thousand nodes."""
+def heat_kernel(edges: DataFrame, time: float, block: int = 256) -> DataFrame:
+    """``(dst, src, p)`` of the heat equation, a task for each block of seeds, by the action of the exponential on them."""
     spark = edges.sparkSession
     names, src, dst = _arrays(edges)
     kind = edges.schema["src"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((names, src, dst))
 
-    def run(_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _frame in _:
-            if len(_frame):
-                p = diffusion.heat_kernel(diffusion.adjacency(len(names), src, dst), time)
-                values = np.array(names, object)
-                yield pd.DataFrame({"dst": np.repeat(values, len(names)), "src": np.tile(values, len(names)), "p": p.ravel()})
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, src, dst = shared.value
+        values = np.array(names, object)
+        begin, to = diffusion.neighbours(len(names), src, dst)
+        for ids in blocks:
+            for first in ids["id"]:
+                seeds = np.arange(first * block, min((first + 1) * block, len(names)))
+                p = diffusion.heat_columns(begin, to, time, seeds)
+                yield pd.DataFrame({"dst": np.repeat(values, len(seeds)), "src": np.tile(values[seeds], len(names)), "p": p.ravel()})
 
-    return spark.range(1).mapInPandas(run, f"dst {kind}, src {kind}, p double")
+    blocks = -(-len(names) // block)
+    return spark.range(blocks).repartition(max(1, blocks)).mapInPandas(run, f"dst {kind}, src {kind}, p double")
 
 
 def stored_kernel(kind: str, edges: DataFrame, parameter: float, path: str) -> str:

@@ -176,18 +176,52 @@ def counts_by_permutation(kernel: DataFrame, heats: DataFrame, delta: float, siz
     return counts_at_levels(kernel, heats, [delta], sizes, directed).drop("delta")
 
 
-def counts_by_network(networks: DataFrame, heat: DataFrame, beta: float, delta: float, sizes: list[int], directed: bool = True) -> DataFrame:
-    """The same for permuted networks ``(perm_id, src, dst)`` with one heat; kernels live in the tasks only."""
+def counts_by_network(networks: DataFrame, heat: DataFrame, beta: float, delta: float, sizes: list[int], directed: bool = True, block: int = 256) -> DataFrame:
+    """The same for permuted networks ``(perm_id, src, dst)`` with one heat.
+
+    A task diffuses its network by blocks of seeds and keeps the few entries that can reach ``delta`` (over 0), so no kernel is
+    held: memory is edges and nodes times ``block``. Heat goes to the tasks as joined rows.
+    """
     from heatgraph.functions import diffusion
 
-    scores = {r["node"]: r["score"] for r in heat.collect()}  # as many as the network has nodes
+    if delta <= 0:
+        raise ValueError("the threshold must be over 0")
+    ways = networks.select("perm_id", "src", "dst")
+    scored = heat.select(F.col("node").alias("src"), F.col("score").alias("a")), heat.select(F.col("node").alias("dst"), F.col("score").alias("b"))
+    joined = ways.join(scored[0], "src", "left").join(scored[1], "dst", "left").select("perm_id", "src", "dst", "a", "b")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, w = network_weights(rows, scores, beta, directed, diffusion)
-        found = graph.sizes_at(w, delta, directed)
+        names = np.array(sorted(set(rows["src"]) | set(rows["dst"])), object)
+        place = {x: i for i, x in enumerate(names)}
+        src, dst = rows["src"].map(place).to_numpy(np.int64), rows["dst"].map(place).to_numpy(np.int64)
+        h = np.full(len(names), np.nan)
+        h[src], h[dst] = rows["a"].to_numpy(float), rows["b"].to_numpy(float)
+        hot = np.flatnonzero(~np.isnan(h))
+        least = delta / h[hot].max() * (1 - 1e-6) if len(hot) and h[hot].max() > 0 else np.inf
+        held = []
+        for first in range(0, len(hot), block):
+            seeds = hot[first : first + block]
+            p = diffusion.restart_columns(len(names), src, dst, beta, seeds)
+            i, j = np.nonzero(p >= least)
+            held.append((i, seeds[j], p[i, j]))
+        i, j, p = (np.concatenate([x[k] for x in held]) if held else np.zeros(0) for k in range(3))
+        i, j = i.astype(np.int64), j.astype(np.int64)
+        p = p.astype(np.float32).astype(float)
+        if directed:
+            keep = ~np.isnan(h[i]) & (p * h[j] >= delta)
+        else:  # the smaller of both ways; one that isn't kept is too small
+            key, back = i * len(names) + j, j * len(names) + i
+            order = np.argsort(key)
+            at = order[np.minimum(np.searchsorted(key[order], back), max(len(key) - 1, 0))] if len(key) else order
+            q = np.where(key[at] == back, p[at], 0.0) if len(key) else p
+            keep = ~np.isnan(h[i]) & (np.minimum(p, q) * np.maximum(h[i], h[j]) >= delta)
+        i, j = i[keep], j[keep]
+        label = (graph.strong_components if directed else graph.components)(len(names), j, i)
+        touched = np.unique(np.concatenate([i, j]))
+        found = np.unique(label[touched], return_counts=True)[1]
         return pd.DataFrame({"perm_id": rows["perm_id"].iloc[0], "size": sizes, "n": [int((found >= k).sum()) for k in sizes]})
 
-    return networks.groupBy("perm_id").applyInPandas(run, "perm_id bigint, size int, n bigint")
+    return joined.groupBy("perm_id").applyInPandas(run, "perm_id bigint, size int, n bigint")
 
 
 def network_weights(rows: pd.DataFrame, scores: dict, beta: float, directed: bool, diffusion) -> tuple[list, np.ndarray]:

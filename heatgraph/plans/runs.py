@@ -52,13 +52,15 @@ def single_run(edges: DataFrame, heat: DataFrame, settings: Settings, network_na
     scores = heat_ops.in_network(heat, nodes)
     positive = cut(heat_ops.filter_heat(scores, None, False))
     others = heat_ops.filtered_nodes(scores, positive)
-    kernel = cut(network.restart_kernel(edges, settings.beta).withColumn("p", F.col("p").cast("float")))
     deltas = list(settings.deltas)
     if not deltas:
         networks = permuted if permuted is not None else network.permuted(edges, settings.network_permutations, settings.swaps_per_edge, settings.seed)
         found = delta.by_networks(networks, positive, settings.beta, list(settings.max_sizes))
         deltas = [r["delta"] for r in delta.medians(found).orderBy("size").collect()]
     deltas = sorted(set(deltas))
+    most = positive.agg(F.max("score")).first()[0] or 0.0
+    least = min(deltas) / most * (1 - 1e-5) if most > 0 else None  # no other entry can reach a threshold, however the heat is dealt
+    kernel = cut(network.restart_kernel(edges, settings.beta, least=least).withColumn("p", F.col("p").cast("float")))
     sim = cut(similarity.similarity(kernel, positive, delta=min(deltas)))
     levels = edges.sparkSession.createDataFrame([(d,) for d in deltas], "delta double")
     graphs = sim.crossJoin(F.broadcast(levels)).where(F.col("w") >= F.col("delta"))

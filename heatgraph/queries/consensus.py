@@ -64,7 +64,9 @@ def consensus_edges(spark, sf_dir):
 
 @query(f"with recursive {CORES} select node, component from core")
 def consensus_cores(spark, sf_dir):
-    return c.cores(_edges(spark, sf_dir), 3)
+    runs, chosen = _chosen(spark, sf_dir)
+    like, classes = c.node_classes(runs.join(chosen, ["network", "heat", "delta"], "left_semi"))
+    return c.of_nodes(c.cores(c.class_edges(classes), 3), like)
 
 
 @query(f"with recursive {ROLES} select component, node, role from roles")

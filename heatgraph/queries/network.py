@@ -72,6 +72,12 @@ def ppr_iterated(spark, sf_dir):
     return network.restart_iteration(edges, seeds, BETA).select("dst", "src", F.round("p", 6).alias("p"))
 
 
+@query(f"with {net_sql(3)}, {kernel_sql()} select dst, src, p from kernel where p >= 0.01")
+def ppr_at_least(spark, sf_dir):
+    found = network.restart_kernel(data.net(spark, sf_dir), BETA, places=6, least=0.0099, within=1e-10)
+    return found.where(F.col("p") >= 0.01)
+
+
 def _taylor(time: float, terms: int) -> str:
     steps = "".join(
         f", h{i} as materialized (select dst, src, sum(p) as p from (select l.dst, h.src, -{time} / {i} * l.x * h.p as p from h{i - 1} h join lap l on l.src = h.dst) group by dst, src)"
