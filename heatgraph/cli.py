@@ -8,9 +8,8 @@ import shlex
 
 from pyspark.sql import SparkSession
 
-from heatgraph.functions import hierarchy
 from heatgraph.operators import heat as heat_ops
-from heatgraph.operators import network
+from heatgraph.operators import network, permute
 from heatgraph.plans import runs
 from heatgraph.plans.lineage import cut
 from heatgraph.sources import sinks, text
@@ -47,10 +46,17 @@ def parser() -> Parser:
     command("network", "edges", "index", "output", kind="restart", parameter=0.4, permutations=0, swaps=115.0, seed=0)
     command("create-network", "edges", "output", separator="\t")
     command("beta", "edges", "output", digits=2)
-    run = command("run", "output", beta=0.4, network_permutations=20, heat_permutations=100, consensus_permutations=0, seed=0)
+    run = command("run", "output", beta=0.4, network_permutations=20, heat_permutations=100, consensus_permutations=0, seed=0, min_cc_size=2, display_scores=None, display_names=None, output_hierarchy=False)
     run.add_argument("--network", nargs=3, action="append", metavar=("NAME", "INDEX", "EDGES"), required=True)
     run.add_argument("--heat", nargs=2, action="append", metavar=("NAME", "FILE"), required=True)
-    command("consensus", "directory", "output", pval=0.01)
+    run.add_argument("--permuted", nargs=2, action="append", metavar=("NAME", "PATH"), default=[], help="permuted networks as the command network stores them")
+    run.add_argument("--deltas", nargs="*", type=float, default=[])
+    deltas = command("deltas", "index", "edges", "heat", "output", beta=0.4, permutations=100, seed=0, statistic="max_cc_size", gene_lengths=None, gene_order=None, bmr=1e-6, sizes="5,10,15,20")
+    deltas.add_argument("--kind", choices=("network", "heat", "mutations"), default="network")
+    stored = command("consensus", "output", pval=0.01)
+    given = stored.add_mutually_exclusive_group(required=True)
+    given.add_argument("--directory", nargs="+")
+    given.add_argument("--files", nargs="+")
     command("dendrogram", "index", "edges", "heat", "output", beta=0.4)
     return top
 
@@ -66,6 +72,17 @@ def _write_heat(spark: SparkSession, found, args, listed: bool = True) -> None:
     sinks.write_json(args.output, sinks.heat_document(found, parameters))
 
 
+def _mutation_tables(spark: SparkSession, args) -> dict:
+    """What mutation permutations need, from the files that the heat document was made from, gene lengths and gene order."""
+    found = text.heat_mutations(spark, args.heat)
+    if found is None or not (args.gene_lengths and args.gene_order):
+        raise ValueError("mutations are permuted for heat made from mutations, with gene lengths and gene order")
+    every, types = found
+    order = cut(text.gene_order(text.lines(spark, args.gene_order)))
+    blocks = permute.cna_blocks(every.where("mut_type <> 'snv'"), order)
+    return {"samples": types.select("sample"), "genes": text.gene_lengths(text.lines(spark, args.gene_lengths)), "blocks": blocks, "order": order, "bmr": args.bmr}
+
+
 def run(spark: SparkSession, argv: list[str]) -> None:
     args = parser().parse_args(argv)
     lines = lambda path: text.lines(spark, path)
@@ -101,27 +118,35 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         edges = network.canonical(text.edge_ids(lines(args.edges)).toDF("src", "dst"))
         sinks.write_beta(args.output, network.balanced_beta(edges, args.digits).first()["beta"], args.digits)
     elif args.command == "run":
-        settings = runs.Settings(beta=args.beta, network_permutations=args.network_permutations, heat_permutations=args.heat_permutations, seed=args.seed)
+        settings = runs.Settings(beta=args.beta, network_permutations=args.network_permutations, heat_permutations=args.heat_permutations, seed=args.seed, min_size=args.min_cc_size, deltas=tuple(args.deltas))
         networks = {n: _named_network(spark, i, e) for n, i, e in args.network}
         heats = {n: text.heat_file(spark, f, f.endswith(".json"))[0] for n, f in args.heat}
-        found, roles, chosen = runs.all_runs(networks, heats, settings)
+        permuted_networks = {n: spark.read.parquet(path) for n, path in args.permuted}
+        found, roles, chosen = runs.all_runs(networks, heats, settings, permuted=permuted_networks)
         parameters = {k: v for k, v in vars(args).items() if k != "command"}
+        labels = text.display_names(lines(args.display_names)) if args.display_names else None
+        display = text.node_scores(lines(args.display_scores)) if args.display_scores else None
         for r in found:
-            runs.write_run(r, args.output, parameters, heats[r.heat], networks[r.network])
+            path = dict(args.heat)[r.heat]
+            mutations = text.heat_mutations(spark, path) if path.endswith(".json") else None
+            folder = runs.write_run(r, args.output, parameters, heats[r.heat], networks[r.network], runs.Shown(labels, display, *(mutations or ())))
+            if args.output_hierarchy:
+                runs.write_hierarchy(networks[r.network], heats[r.heat], args.beta, os.path.join(folder, "hierarchy"))
         counts = runs.consensus.size_counts(roles)
         permuted = runs.permuted_consensus(networks, heats, settings, args.consensus_permutations) if args.consensus_permutations else None
         runs.write_consensus(roles, chosen, runs.consensus.consensus_statistics(counts, permuted, args.consensus_permutations), os.path.join(args.output, "consensus"), parameters)
+    elif args.command == "deltas":
+        sizes = tuple(int(k) for k in args.sizes.split(","))
+        settings = runs.Settings(beta=args.beta, network_permutations=args.permutations, heat_permutations=args.permutations, seed=args.seed, max_sizes=sizes)
+        mutations = _mutation_tables(spark, args) if args.kind == "mutations" else None
+        scores = text.heat_file(spark, args.heat, args.heat.endswith(".json"))[0]
+        found = runs.selected_deltas(_named_network(spark, args.index, args.edges), scores, settings, args.kind, args.statistic, mutations)
+        sinks.write_json(args.output, {str(k): d for k, d in found.items()})
     elif args.command == "consensus":
-        runs.stored_consensus(spark, args.directory, args.output, args.pval)
+        runs.stored_consensus(spark, args.directory or args.files, args.output, args.pval)
     elif args.command == "dendrogram":
-        from heatgraph.operators.similarity import Problem
-
-        edges = network.largest_component(_named_network(spark, args.index, args.edges))
-        scores = {r["node"]: r["score"] for r in text.heat_file(spark, args.heat, args.heat.endswith(".json"))[0].collect()}
-        names, weights = Problem(network.restart_kernel(edges, args.beta)).weights(scores)
-        made = hierarchy.decompose(names, weights.T)
-        rows, labels = hierarchy.linkage(made)
-        sinks.write_hierarchy(args.output, rows, labels, hierarchy.newick(made), {"beta": args.beta})
+        scores = text.heat_file(spark, args.heat, args.heat.endswith(".json"))[0]
+        runs.write_hierarchy(_named_network(spark, args.index, args.edges), scores, args.beta, args.output)
 
 
 def main() -> None:

@@ -107,7 +107,7 @@ def at_least(members: DataFrame, sizes: list[int], keys: list[str] | None = None
 
 
 class Problem:
-    """A kernel with its nodes, dense in single precision, for threshold searches over all its cells.
+    """A kernel with its nodes, dense in single precision, for the drawing of its hierarchy.
 
     For networks of at most ``most`` nodes, which is checked before any cell is read.
     """

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heatgraph.functions import hierarchy
 from heatgraph.operators import consensus, delta, heat as heat_ops, network, permute, similarity, view
 from heatgraph.plans.lineage import cut
 from heatgraph.sources import sinks, text
@@ -82,10 +83,13 @@ def single_run(edges: DataFrame, heat: DataFrame, settings: Settings, network_na
     return Run(network_name, heat_name, listed.withColumns(names), cut(statistics.withColumns(names)), deltas)
 
 
-def all_runs(networks: dict[str, DataFrame], heats: dict[str, DataFrame], settings: Settings, own: dict[tuple[str, str], DataFrame] | None = None) -> tuple[list[Run], DataFrame, DataFrame]:
-    """Every network with every heat, their consensus roles, and the chosen thresholds; ``own`` has heats by (network, heat)."""
+def all_runs(networks: dict[str, DataFrame], heats: dict[str, DataFrame], settings: Settings, own: dict[tuple[str, str], DataFrame] | None = None, permuted: dict[str, DataFrame] | None = None) -> tuple[list[Run], DataFrame, DataFrame]:
+    """Every network with every heat, their consensus roles, and the chosen thresholds.
+
+    ``own`` has heats by (network, heat), ``permuted`` networks ``(perm_id, src, dst)`` by network, where they needn't be made.
+    """
     with ThreadPoolExecutor(max(1, settings.at_once)) as pool:
-        waiting = [pool.submit(single_run, e, own[n, k] if own else h, settings, n, k) for n, e in networks.items() for k, h in heats.items()]
+        waiting = [pool.submit(single_run, e, own[n, k] if own else h, settings, n, k, (permuted or {}).get(n)) for n, e in networks.items() for k, h in heats.items()]
         runs = [w.result() for w in waiting]
     members, statistics = runs[0].members, runs[0].statistics
     for r in runs[1:]:
@@ -118,8 +122,8 @@ def permuted_consensus(networks: dict[str, DataFrame], heats: dict[str, DataFram
     return found
 
 
-def stored_runs(spark, root: str) -> tuple[DataFrame, DataFrame]:
-    """``(network, heat, delta, component, node)`` and ``(network, heat, delta, size, observed, expected, pval)`` of the runs below ``root``."""
+def stored_runs(spark, root: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(network, heat, delta, component, node)`` and ``(network, heat, delta, size, observed, expected, pval)`` of the runs below the roots, or of the files given."""
     named = lambda name, part: F.coalesce(F.col("parameters")[name], F.split("run", "-")[part])
     found = text.run_results(spark, root).select(named("network_name", 0).alias("network"), named("heat_name", 1).alias("heat"), "delta", "components", "statistics")
     listed = found.select("network", "heat", "delta", F.posexplode("components").alias("component", "nodes"))
@@ -128,7 +132,7 @@ def stored_runs(spark, root: str) -> tuple[DataFrame, DataFrame]:
     return cut(members), cut(statistics.select("network", "heat", "delta", F.col("size").cast("int").alias("size"), "s.observed", "s.expected", "s.pval"))
 
 
-def stored_consensus(spark, root: str, output: str, pval: float = 0.01, min_size: int = 2) -> None:
+def stored_consensus(spark, root: str | list[str], output: str, pval: float = 0.01, min_size: int = 2) -> None:
     """Consensus of stored runs as one file: a JSON document, or lines joined by commas, by the file's ending."""
     members, statistics = stored_runs(spark, root)
     roles, chosen = consensus.identified(members, statistics, pval, min_size)
@@ -139,8 +143,20 @@ def stored_consensus(spark, root: str, output: str, pval: float = 0.01, min_size
         sinks.write_text(output, f"# Linkers: {', '.join(linkers)}\n" + sinks.consensus_lines(linkers, listed, ", "))
 
 
-def write_run(run: Run, root: str, parameters: dict, heat: DataFrame | None = None, edges: DataFrame | None = None) -> str:
-    """A folder for each threshold, and the payload and index of the result pages."""
+@dataclass
+class Shown:
+    """What result pages show besides nodes, edges and heat."""
+
+    labels: DataFrame | None = None  # node, label
+    display: DataFrame | None = None  # node, score
+    mutations: DataFrame | None = None  # sample, gene, mut_type, valid
+    types: DataFrame | None = None  # sample, type
+
+
+def write_run(run: Run, root: str, parameters: dict, heat: DataFrame | None = None, edges: DataFrame | None = None, shown: Shown | None = None) -> str:
+    """A folder for each threshold, and the payload and index of the result pages; with mutations their matrix and each component's coverage."""
+    shown = shown or Shown()
+    samples = shown.types.select("sample").distinct().count() if shown.mutations is not None else 0
     folder = os.path.join(root, f"{run.network}-{run.heat}".lower())
     for d in run.deltas:
         own = run.members.where(F.col("delta") == d)
@@ -149,8 +165,11 @@ def write_run(run: Run, root: str, parameters: dict, heat: DataFrame | None = No
         named = parameters | {"network_name": run.network, "heat_name": run.heat, "delta": d}
         sinks.write_run(folder, d, named, listed, table, sinks.heat_document(heat, parameters) if heat is not None else None)
         if heat is not None and edges is not None:
-            pages = view.document(own.select("component", "node"), heat, edges).orderBy("component").collect()
+            members = own.select("component", "node")
+            pages = view.document(members, heat, edges, shown.labels, shown.display, shown.mutations, samples).orderBy("component").collect()
             sinks.write_text(os.path.join(folder, "viz", f"delta_{d:g}.json"), "[" + ",\n".join(r["json"] for r in pages) + "]\n")
+            if shown.mutations is not None:
+                sinks.write_text(os.path.join(folder, "viz", f"mutations_{d:g}.json"), view.mutation_document(shown.mutations, members, shown.types) + "\n")
     sinks.write_text(os.path.join(folder, "viz", "index.html"), view.index_page(run.deltas))
     return folder
 
@@ -171,3 +190,35 @@ def write_consensus(roles: DataFrame, chosen: DataFrame, statistics: DataFrame,
     linkers, listed, deltas = consensus_lists(roles, chosen)
     table = {r["size"]: {"observed": r["observed"], "expected": r["expected"], "pval": r["pval"]} for r in statistics.collect()}
     sinks.write_consensus(root, linkers, listed, deltas, table, parameters)
+
+
+def write_hierarchy(edges: DataFrame, heat: DataFrame, beta: float, folder: str) -> None:
+    """The dendrogram of a network's similarity matrix, of a size that ``similarity.Problem`` checks."""
+    edges = network.largest_component(network.canonical(edges))
+    names, weights = similarity.Problem(network.restart_kernel(edges, beta)).weights({r["node"]: r["score"] for r in heat.collect()})
+    made = hierarchy.decompose(names, weights.T)
+    rows, labels = hierarchy.linkage(made)
+    sinks.write_hierarchy(folder, rows, labels, hierarchy.newick(made), {"beta": beta})
+
+
+def selected_deltas(edges: DataFrame, heat: DataFrame, settings: Settings, kind: str = "network", statistic: str = delta.LARGEST, mutations: dict | None = None) -> dict[int, float]:
+    """The median threshold for each size, from permuted networks, permuted heats or permuted mutations.
+
+    ``mutations`` has ``samples, genes, blocks, order`` and ``bmr`` of ``delta.by_mutations``.
+    """
+    edges = cut(network.largest_component(network.canonical(edges)))
+    nodes = network.both_ways(edges).select(F.col("src").alias("node")).distinct()
+    scores = heat_ops.in_network(heat, nodes)
+    positive = cut(heat_ops.filter_heat(scores, None, False))
+    sizes = list(settings.max_sizes)
+    if kind == "network":
+        networks = network.permuted(edges, settings.network_permutations, settings.swaps_per_edge, settings.seed)
+        found = delta.by_networks(networks, positive, settings.beta, sizes, statistic)
+    else:
+        kernel = cut(network.restart_kernel(edges, settings.beta).withColumn("p", F.col("p").cast("float")))
+        if kind == "heat":
+            heats = permute.permuted_heat(positive, nodes, settings.heat_permutations, heat_ops.filtered_nodes(scores, positive), settings.seed)
+            found = delta.by_heats(kernel, cut(heats), sizes, statistic)
+        else:
+            found = delta.by_mutations(kernel, "mutation", **mutations, sizes=sizes, statistic=statistic, perms=settings.heat_permutations, seed=settings.seed)
+    return {r["size"]: r["delta"] for r in delta.medians(found).collect()}

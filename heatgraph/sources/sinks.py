@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,15 +59,34 @@ def save_permuted(edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("perm_id").parquet(path)
 
 
+def _file(path: str):
+    """The path in its file system, of any scheme, as the session's configuration names it."""
+    spark = SparkSession.active()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system.setWriteChecksum(False)
+    return target, system
+
+
 def output_folder(path: str) -> str:
-    os.makedirs(path, exist_ok=True)
+    target, system = _file(path)
+    system.mkdirs(target)
     return path
 
 
 def write_text(path: str, text: str) -> None:
-    output_folder(os.path.dirname(path) or ".")
-    with open(path, "w") as file:
-        file.write(text)
+    """A small document, whole or not at all: written under another name beside its place, then renamed."""
+    target, system = _file(path)
+    draft = target.suffix(f".{uuid.uuid4().hex}.draft")
+    out = system.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    system.delete(target, False)
+    if not system.rename(draft, target):
+        system.delete(draft, False)
+        raise OSError(f"{path} could not be written")
 
 
 def write_json(path: str, value) -> None:

@@ -221,10 +221,11 @@ def test_rates(rows: DataFrame) -> DataFrame:
     return last_wins(found, "gene", "FDR_FCPT", "FDR_LRT", "FDR_CT")
 
 
-def run_results(spark: SparkSession, root: str) -> DataFrame:
-    """``(run, delta, components, statistics)`` of every ``<run>/delta_<d>/results.json`` below ``root``."""
+def run_results(spark: SparkSession, roots: str | list[str]) -> DataFrame:
+    """``(run, delta, components, statistics, parameters)`` of every ``<run>/delta_<d>/results.json`` below the roots, or of such files themselves."""
     schema = "components array<array<string>>, statistics map<string,struct<observed:bigint,expected:double,pval:double>>, parameters map<string,string>"
-    found = spark.read.schema(schema).json(f"{root}/*/delta*/results.json", multiLine=True)
+    paths = [r if r.endswith(".json") else f"{r}/*/delta*/results.json" for r in ([roots] if isinstance(roots, str) else roots)]
+    found = spark.read.schema(schema).json(paths, multiLine=True)
     path = F.split(F.col("_metadata.file_path"), "/")
     delta = F.regexp_extract(F.element_at(path, -2), r"delta_?(.+)", 1).cast("double")
     return found.select(F.element_at(path, -3).alias("run"), delta.alias("delta"), "components", "statistics", "parameters")

@@ -3,12 +3,14 @@
 import json
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from heatgraph import cli
-from heatgraph.functions import graph
-from heatgraph.operators import delta, network, permute, similarity, view
+from heatgraph.functions import diffusion, graph
+from heatgraph.operators import consensus, delta, network, permute, similarity, view
 from heatgraph.plans import runs
 from heatgraph.sources import text
 
@@ -151,3 +153,96 @@ def test_permuted_networks_do_not_depend_on_partitions(spark):
     edges = network.canonical(spark.createDataFrame(pairs, "src int, dst int")).cache()
     seen = {tuple(sorted(tuple(r) for r in network.permuted(e, 2, 5, seed=3).collect())) for e in (edges, edges.orderBy("dst").coalesce(1), edges.repartition(7, "dst"))}
     assert len(seen) == 1
+
+
+def test_consensus_of_several_directories_and_of_files(spark, tmp_path):
+    files = []
+    for place, name, groups in (("one", "n1", [["a", "b", "c"]]), ("two", "n2", [["a", "b", "d"]])):
+        folder = tmp_path / place / f"{name}-h" / "delta_0.5"
+        folder.mkdir(parents=True)
+        files.append(str(folder / "results.json"))
+        (folder / "results.json").write_text(json.dumps({"components": groups, "statistics": {"2": {"observed": 2, "expected": 0.1, "pval": 0.0}}, "parameters": {"network_name": name, "heat_name": "h"}}))
+    for i, given in enumerate((["--directory", str(tmp_path / "one"), str(tmp_path / "two")], ["--files", *files])):
+        cli.run(spark, ["consensus", *given, "--output", f"file:{tmp_path}/out{i}.json"])
+        assert json.loads((tmp_path / f"out{i}.json").read_text())["consensus"] == [{"core": ["a", "b"], "expansion": ["c", "d"]}]
+    assert not [f for f in tmp_path.iterdir() if "draft" in f.name or f.name.endswith(".crc")]
+
+
+def test_consensus_of_classes_is_that_of_pairs(spark):
+    import random
+
+    rng = random.Random(9)
+    for seed in range(4):
+        rows = [(f"n{k}", h, rng.randrange(4), f"g{i:02}") for k in range(3) for h in ("a", "b") for i in range(22) if rng.random() < 0.8]
+        members = spark.createDataFrame(rows, "network string, heat string, component int, node string")
+        edges = consensus.consensus_edges(members)
+        want = sorted(map(str, consensus.roles(edges, consensus.cores(edges, 3)).collect()))
+        like, classes = consensus.node_classes(members)
+        between = consensus.class_edges(classes)
+        got = consensus.of_nodes(consensus.roles(between, consensus.cores(between, 3)), like).collect()
+        assert sorted(map(str, got)) == want
+        pairs = sum(1 for _ in classes.collect())
+        assert pairs <= 22
+
+
+def test_kernels_of_entries_that_matter(spark):
+    rng = np.random.default_rng(5)
+    pairs = sorted({tuple(sorted(p)) for p in rng.integers(0, 60, (110, 2)).tolist() if p[0] != p[1]} | {(i, i + 1) for i in range(59)})
+    edges = spark.createDataFrame(pairs, "src int, dst int")
+    full = {(r.dst, r.src): r.p for r in network.restart_kernel(edges, 0.4).collect()}
+    some = {(r.dst, r.src): r.p for r in network.restart_kernel(edges, 0.4, block=7, least=0.01).collect()}
+    assert some.keys() == {k for k, p in full.items() if p >= 0.01} and all(abs(full[k] - p) < 1e-12 for k, p in some.items())
+    pushed = {(r.dst, r.src): r.p for r in network.restart_kernel(edges, 0.4, block=7, least=0.01, within=1e-6).collect()}
+    assert some.keys() <= pushed.keys() and all(-1e-12 <= full[k] - p <= 1e-6 for k, p in pushed.items()) and all(full[k] >= 0.01 - 1e-6 for k in pushed)
+    hot = {(r.dst, r.src): r.p for r in network.heat_kernel(edges, 0.3, block=9).collect()}
+    n, (a, b) = 60, np.array(pairs).T
+    dense = diffusion.heat_kernel(diffusion.adjacency(n, a, b), 0.3)
+    assert len(hot) == n * n and all(abs(dense[k] - p) < 1e-12 for k, p in hot.items())
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_counts_of_networks_without_kernels(spark, directed):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    heat = {i: float(x) for i, x in enumerate(rng.random(30)) if i % 5}
+    for perm in (1, 2, 3):
+        pairs = sorted({tuple(sorted(p)) for p in rng.integers(0, 30, (50, 2)).tolist() if p[0] != p[1]})
+        rows += [(perm, a, b) for a, b in pairs]
+        frame = pd.DataFrame(pairs, columns=["src", "dst"])
+        _, w = similarity.network_weights(frame, heat, 0.4, directed, diffusion)
+        sizes = graph.sizes_at(w, 0.02, directed)
+        want |= {(perm, k): int((sizes >= k).sum()) for k in (1, 2, 3, 5)}
+    networks = spark.createDataFrame(rows, "perm_id bigint, src int, dst int")
+    scores = spark.createDataFrame(list(heat.items()), "node int, score double")
+    got = similarity.counts_by_network(networks, scores, 0.4, 0.02, [1, 2, 3, 5], directed, block=4).collect()
+    assert {(r.perm_id, r["size"]): r.n for r in got} == want and any(want.values())
+
+
+def test_run_options(spark, tmp_path):
+    """Thresholds, labels, scores, mutations, permuted networks and the hierarchy of a run."""
+    names = [f"n{i:02}" for i in range(12)]
+    pairs = [(i, i + 1) for i in range(11)] + [(i, i + 3) for i in range(9)]
+    write = lambda name, body: (tmp_path / name).write_text(body) and str(tmp_path / name)
+    index, edges = write("index.txt", "".join(f"{i + 1} {n}\n" for i, n in enumerate(names))), write("edges.txt", "".join(f"{a + 1} {b + 1}\n" for a, b in pairs))
+    snv = write("snv.txt", "".join(f"s{i}\t{n}\t{names[0]}\n" for i, n in enumerate(names)))
+    cna = write("cna.txt", "s0\tn02(A)\tn03(A)\ns1\tn05(D)\n")
+    labels, display = write("labels.txt", "n00\tFirst Gene\n"), write("display.txt", "n00 7.5\n")
+    lengths, order = write("lengths.txt", "".join(f"{n} 1000\n" for n in names)), write("order.txt", " ".join(names) + "\n")
+    out = str(tmp_path / "out")
+    cli.run(spark, ["heat-mutation", "--snvs", snv, "--cnas", cna, "--output", f"{out}/heat.json"])
+    cli.run(spark, ["network", "--index", index, "--edges", edges, "--output", f"{out}/kernel", "--permutations", "2", "--swaps", "3"])
+    common = ["run", "--output", out, "--network", "Net", index, edges, "--heat", "Heat", f"{out}/heat.json", "--heat_permutations", "2"]
+    cli.run(spark, [*common, "--deltas", "0.01", "0.02", "--min_cc_size", "3", "--display_names", labels, "--display_scores", display, "--output_hierarchy"])
+    folder = tmp_path / "out" / "net-heat"
+    assert {"delta_0.01", "delta_0.02", "viz", "hierarchy"} <= {f.name for f in folder.iterdir()}
+    assert all(len(c) >= 3 for c in json.loads((folder / "delta_0.02" / "results.json").read_text())["components"])
+    page = json.loads((folder / "viz" / "delta_0.01.json").read_text())
+    shown = {n["name"]: n["value"] for c in page for n in c["nodes"]}
+    assert shown["First Gene"] == 7.5 and all("coverage" in c for c in page)
+    mutations = json.loads((folder / "viz" / "mutations_0.01.json").read_text())
+    assert mutations["geneToMutations"]["n00"]["s3"] == ["snv"] and mutations["sampleToType"]["s3"] == "Cancer"
+    cli.run(spark, [*common[:2], str(tmp_path / "again"), *common[3:], "--permuted", "Net", f"{out}/kernel/permuted"])
+    assert any(f.name.startswith("delta_") for f in (tmp_path / "again" / "net-heat").iterdir())
+    for kind, more in (("network", []), ("heat", []), ("mutations", ["--gene_lengths", lengths, "--gene_order", order, "--bmr", "0.0001"])):
+        cli.run(spark, ["deltas", "--index", index, "--edges", edges, "--heat", f"{out}/heat.json", "--output", f"{out}/by-{kind}.json", "--kind", kind, "--permutations", "2", "--sizes", "3,5", *more])
+        assert set(json.loads((tmp_path / "out" / f"by-{kind}.json").read_text())) == {"3", "5"}
