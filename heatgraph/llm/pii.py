@@ -318,38 +318,48 @@ def _free(name: str, columns: list[str]) -> str:
     return name
 
 
-def _marked(docs: DataFrame, text_col: str, told: DataFrame, block: int) -> tuple[DataFrame, str, str]:
-    """``docs`` with the base spans and the places of all disclosing terms, by start, and what these columns are called.
+Finish = Callable[[list[pa.Array], list[str], list[list[Span]], list[list[dict]]], pa.RecordBatch]
 
-    Texts are searched block after block in one pass of tasks, for the base spans once.
+
+def _marked(docs: DataFrame, text_col: str, told: DataFrame, block: int, finish: Finish, schema: StructType | str) -> DataFrame:
+    """What ``finish`` makes of each batch: of the columns of ``docs``, the texts, their base spans, and the places of all disclosing terms, by start.
+
+    Texts are searched block after block of terms in one pass of tasks; base spans are found once, by the first.
     """
     sc, names = docs.sparkSession.sparkContext, docs.columns
     base, terms = _free("_base", names), _free("_terms", names)
+    added = StructType.fromDDL(f"{base} array<struct<kind:string,start:bigint,end:bigint>>, {terms} array<struct<start:bigint,end:bigint,disclosure:double>>")
+    carried = StructType([*docs.schema.fields, *added.fields])
 
-    def scan(shared, first: bool):
+    def scan(shared, first: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = Told(*shared.value)
             for batch in slices(batches, text_col):
                 own, found = list(batch.columns[: len(names)]), texts(batch, text_col)
                 if first:
-                    spans = [base_spans(t) for t in found]
-                    spelled = pa.array([[{"kind": k, "start": x, "end": y} for k, x, y in s] for s in spans], _SPANS)
-                    before = [[]] * len(found)
+                    spans, before = [base_spans(t) for t in found], [[]] * len(found)
                 else:
-                    spelled = batch.column(len(names))
-                    spans = [[(x["kind"], x["start"], x["end"]) for x in s] for s in spelled.to_pylist()]
+                    spans = [[(x["kind"], x["start"], x["end"]) for x in s] for s in batch.column(len(names)).to_pylist()]
                     before = batch.column(len(names) + 1).to_pylist()
                 marks = [sorted([*b, *({"start": x, "end": y, "disclosure": d} for x, y, d in find(t, s))], key=lambda x: x["start"]) for t, s, b in zip(found, spans, before)]
-                yield pa.RecordBatch.from_arrays([*own, spelled, pa.array(marks, _TERMS)], [*names, base, terms])
+                if last:
+                    yield finish(own, found, spans, marks)
+                else:
+                    yield pa.RecordBatch.from_arrays([*own, _spelled(spans), pa.array(marks, _TERMS)], [*names, base, terms])
 
         return run
 
-    added = StructType.fromDDL(f"{base} array<struct<kind:string,start:bigint,end:bigint>>, {terms} array<struct<start:bigint,end:bigint,disclosure:double>>")
-    schema = StructType([*docs.schema.fields, *added.fields])
-    out = None
-    for part in _blocks(told, block):
-        out = (docs if out is None else out).mapInArrow(scan(sc.broadcast(part), out is None), schema)
-    return out, base, terms
+    out, parts = docs, _blocks(told, block)
+    part, first = next(parts), True
+    while part is not None:
+        following = next(parts, None)
+        out = out.mapInArrow(scan(sc.broadcast(part), first, following is None), carried if following is not None else schema)
+        part, first = following, False
+    return out
+
+
+def _spelled(spans: list[list[Span]]) -> pa.Array:
+    return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], _SPANS)
 
 
 def personal_data(
@@ -370,16 +380,14 @@ def personal_data(
     other columns are not read. Terms go out in broadcast blocks of ``most``.
     """
     told = disclosing(docs, id_col, text_col, generalise, support, window)
-    marked, base, terms = _marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", told, most)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            digest = [_hash(t) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), batch.column(2), batch.column(3)], ["id", "digest", "base", "terms"])
+    def finish(own: list[pa.Array], found: list[str], spans: list[list[Span]], marks: list[list[dict]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([own[0], pa.array([_hash(t) for t in found], pa.int64()), _spelled(spans), pa.array(marks, _TERMS)], ["id", "digest", "base", "terms"])
 
     schema = f"id {kind}, digest bigint, base array<struct<kind:string,start:bigint,end:bigint>>, terms array<struct<start:bigint,end:bigint,disclosure:double>>"
-    return marked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _marked(source, "text", told, most, finish, schema).withColumnRenamed("id", id_col)
 
 
 def span_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -431,18 +439,16 @@ def sanitise(
     blocks of ``most``. Null and empty texts stay as they are.
     """
     told = disclosing(docs, id_col, text_col, generalise, support, window)
-    columns, schema = docs.columns, docs.schema
+    columns = docs.columns
     at = columns.index(text_col)
 
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            kept = list(batch.columns[: len(columns)])
-            base, terms = (batch.column(len(columns) + i).to_pylist() for i in (0, 1))
-            new = [None if t is None else sanitised(t, [(x["kind"], x["start"], x["end"]) for x in b], [(x["start"], x["end"], x["disclosure"]) for x in own]) for t, b, own in zip(kept[at].to_pylist(), base, terms)]
-            kept[at] = pa.array(new, pa.string())
-            if "n_chars" in columns:
-                i = columns.index("n_chars")
-                kept[i] = pa.array([o if t is None else len(t) for t, o in zip(new, kept[i].to_pylist())], pa.int64()).cast(kept[i].type)
-            yield pa.RecordBatch.from_arrays(kept, columns)
-
-    return _marked(docs, text_col, told, most)[0].mapInArrow(rewrite, schema)
+    def finish(kept: list[pa.Array], found: list[str], spans: list[list[Span]], marks: list[list[dict]]) -> pa.RecordBatch:
+        there = kept[at].is_valid().to_pylist()
+        new = [sanitised(t, s, [(x["start"], x["end"], x["disclosure"]) for x in m]) if own else None for t, s, m, own in zip(found, spans, marks, there)]
+        kept[at] = pa.array(new, pa.string())
+        if "n_chars" in columns:
+            i = columns.index("n_chars")
+            kept[i] = pa.array([o if t is None else len(t) for t, o in zip(new, kept[i].to_pylist())], pa.int64()).cast(kept[i].type)
+        return pa.RecordBatch.from_arrays(kept, columns)
+
+    return _marked(docs, text_col, told, most, finish, docs.schema)
