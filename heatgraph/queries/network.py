@@ -185,6 +185,15 @@ def significance_network(spark, sf_dir):
     return permute.statistics(similarity.at_least(_members(spark, sf_dir), _SIZES), counts, 3)
 
 
+@query(f"""with recursive {SCC}, sizes as (select unnest({_SIZES}) as size)
+  select s.size, count(n) as observed, true as fits from sizes s left join (select count(*) as n from scc group by component) c on c.n >= s.size group by s.size""")
+def significance_network_invariants(spark, sf_dir):
+    found = significance_network(spark, sf_dir)
+    shares = F.abs(F.col("pval") * 3 - F.round(F.col("pval") * 3)) < 1e-9
+    whole = F.abs(F.col("expected") * 3 - F.round(F.col("expected") * 3)) < 1e-9
+    return found.select("size", "observed", (F.col("pval").between(0, 1) & shares & whole & (F.col("expected") >= F.col("observed") * F.col("pval") - 1e-9)).alias("fits"))
+
+
 @query(f"with {net_sql(3)}, w as (select src from net union all select dst from net), d as (select src as node, count(*) as degree from w group by src) select perm_id::bigint as perm_id, node, degree, 0 as loops from d cross join (select unnest([1, 2, 3]) as perm_id)")
 def net_permuted_invariants(spark, sf_dir):
     ways = _swapped(spark, sf_dir)
@@ -208,7 +217,7 @@ def snv_permutation(spark, sf_dir):
 
 
 _BLOCKS = """ord as (select p_partkey as gene, p_brand as chromo, row_number() over (partition by p_brand order by p_partkey) as pos from part),
-  cna as (select distinct l_suppkey as sample, l_partkey as gene, case l_returnflag when 'A' then 'amp' else 'del' end as mut_type from lineitem where l_returnflag in ('A', 'R') and l_quantity > 30),
+  cna as (select distinct l_suppkey as sample, l_partkey as gene, case l_returnflag when 'A' then 'amp' else 'del' end as mut_type from lineitem where l_returnflag in ('A', 'R')),
   x as (select sample, chromo, pos, mut_type, lag(pos) over w as lp, lag(mut_type) over w as lm from cna join ord using (gene) window w as (partition by sample, chromo order by pos, mut_type)),
   y as (select *, sum(case when lp is not null and pos = lp + 1 and mut_type = lm then 0 else 1 end) over (partition by sample, chromo order by pos, mut_type rows unbounded preceding) as block from x),
   blocks as (select sample, chromo, cast(block as bigint) as block, min(mut_type) as mut_type, cast(min(pos) as integer) as start, count(*) as n from y group by sample, chromo, block)"""
@@ -224,7 +233,7 @@ def _order(spark, sf_dir):
 
 def _blocks(spark, sf_dir, order=None):
     kind = F.when(F.col("l_returnflag") == "A", "amp").otherwise("del")
-    rows = table(spark, sf_dir, "lineitem").where(f"l_returnflag in ('A', 'R') and l_quantity > 30")
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag in ('A', 'R')")
     return permute.cna_blocks(rows.select(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("gene"), kind.alias("mut_type")), _order(spark, sf_dir) if order is None else order)
 
 
@@ -263,6 +272,14 @@ def mutation_permutation_heat(spark, sf_dir):
     return permute.permuted_mutation_heat(people, genes, _blocks(spark, sf_dir), _order(spark, sf_dir), 0.001, perms=2, crowded=True)
 
 
+@query("""select perm_id::bigint as perm_id, (select count(*) from part) as genes, 0::bigint as outside, 0::bigint as uneven from (select unnest([1, 2]) as perm_id)""")
+def mutation_permutation_invariants(spark, sf_dir):
+    n = table(spark, sf_dir, "supplier").count()
+    found = mutation_permutation_heat(spark, sf_dir)
+    uneven = F.abs(F.col("score") * n - F.round(F.col("score") * n)) > 1e-6
+    return found.groupBy("perm_id").agg(F.count(F.lit(1)).alias("genes"), F.count_if(~F.col("score").between(0, 1)).alias("outside"), F.count_if(uneven).alias("uneven"))
+
+
 @query(f"with {SIM} select src, dst, round(w, 9) as w from (select *, row_number() over (order by w desc, src, dst) as r, count(*) over () as n from sim) where r <= floor(0.05 * n)")
 def delta_top_edges(spark, sf_dir):
     return delta.top_edges(data.sim(spark, sf_dir)).withColumn("w", F.round("w", 9))

@@ -99,15 +99,15 @@ def parse_cna_tokens(spark, sf_dir):
     return text.cnas(lines, *_lists(spark, sf_dir)).groupBy("sample", "gene", "mut_type", "valid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select l_orderkey::varchar as sample, l_suppkey::varchar as gene, 'inactive_snv' as mut_type, true as valid from lineitem where l_quantity = 50")
+@query("select l_orderkey::varchar as sample, l_suppkey::varchar as gene, 'inactive_snv' as mut_type, true as valid from lineitem")
 def scan_inactivating_snvs(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity = 50")
+    rows = table(spark, sf_dir, "lineitem")
     return text.inactivating_snvs(_lines(rows, "l_suppkey", "l_orderkey", order=["l_orderkey"], sep=" "))
 
 
-@query("select l_orderkey::varchar as sample, (l_suppkey % 50)::varchar as gene1, (l_suppkey % 50 + 2)::varchar as gene2 from lineitem where l_quantity = 49 and l_suppkey % 2 = 0")
+@query("select l_orderkey::varchar as sample, (l_suppkey % 50)::varchar as gene1, (l_suppkey % 50 + 2)::varchar as gene2 from lineitem where l_suppkey % 2 = 0")
 def fusion_whitelist(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity = 49").withColumn("g", F.col("l_suppkey") % 50)
+    rows = table(spark, sf_dir, "lineitem").withColumn("g", F.col("l_suppkey") % 50)
     listed = spark.range(0, 60, 2).select(F.col("id").cast("string").alias("gene"))
     return text.fusions(_lines(rows, "l_orderkey", "g", F.col("g") + 2, order=["l_orderkey"], sep=" "), listed)
 

@@ -8,11 +8,11 @@ from heatgraph.operators import view
 from heatgraph.queries import consensus, data, query
 from heatgraph.queries.data import HEAT, MUT, net_sql, table
 
-MEMBERS = "members as (select s_suppkey // 5 as component, s_suppkey as node from supplier where s_suppkey % 7 > 0)"
+MEMBERS = "members as (select s_suppkey // 5 as component, s_suppkey as node from supplier)"
 
 
 def _members(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").where("s_suppkey % 7 > 0").select(F.expr("s_suppkey div 5").alias("component"), F.col("s_suppkey").alias("node"))
+    return table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 5").alias("component"), F.col("s_suppkey").alias("node"))
 
 
 def _labels(spark, sf_dir):
