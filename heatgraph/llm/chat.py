@@ -41,7 +41,7 @@ def negative_pairs(talks: DataFrame) -> DataFrame:
     """``(pair_id, rejected_id, chosen, rejected)`` of every conversation with an id and an assistant turn.
 
     Next is by id, after the last the first; so a single conversation is paired with itself. Ids are
-    ranked in ranges, of which only the first ids meet in one task.
+    ranked in ranges, of which only the first ids meet in one task. Ids are numbers, as ranges are cut by value.
     """
     spark = talks.sparkSession
     answers = F.transform("turns", lambda t: t["role"] == LEARNED)

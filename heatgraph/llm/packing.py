@@ -76,7 +76,7 @@ def length_buckets(
     ``length`` is any positive column (by default the units of ``text``); null lengths count 0.
     ``bucket`` counts from 0 by boundary, ``padded`` is the boundary; rows over the budget are in
     bucket ``buckets``, padded to themselves. ``batch`` and ``slot`` count from 0 in a bucket in the
-    order of (length, id), null ids last. Rows of one id and length are interchangeable. An empty
+    order of (length, id), null ids last; ids are numbers, as ranges are cut by value. Rows of one id and length are interchangeable. An empty
     table gives an empty result; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()

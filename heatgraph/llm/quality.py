@@ -184,7 +184,8 @@ def scores(docs: DataFrame, net: Net, threshold: float = THRESHOLD, id_col: str
     """``(id_col, held_out, score, predicted)`` of every row, whole texts, without a shuffle.
 
     Null and empty texts get the score of an empty text. Repeated rows and null ids come back as
-    given; an empty table gives an empty result; only the text goes into a score.
+    given; an empty table gives an empty result; only the text goes into a score. A model that was fitted without
+    trusted positives says 0.5 of every text, which is over the threshold: nothing speaks against any.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -111,7 +111,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has its last ``floor(n_chars / 2)`` code points replaced by the first as many (or
     all) of the next row's, in order of descending id (rows of one id by text; null ids last), after
     the last row that of the first. Null texts are empty. A single row is its own next. An empty
-    table gives an empty result; columns other than the two named are not read.
+    table gives an empty result; columns other than the two named are not read. Ids are numbers, as ranges are cut
+    by value; ids of any other kind that can't be cast to one are an error of the cast.
 
     Texts are dealt once, by ranges of the id. A range's first row also goes to the range before it,
     as context for that one's last row, so no row needs another task and the extra rows are as many
