@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heatgraph.llm import decontamination, packing, pii, simhash, toxicity
 from heatgraph.llm.tables import read
-from heatgraph.plans.lineage import stored
+from heatgraph.plans.lineage import dropped, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stored(docs)
+            if i:
+                dropped(before)
     return docs
