@@ -38,17 +38,34 @@ def write_edges(edges: DataFrame, index: DataFrame, prefix: str) -> None:
     write_lines(index.select("node_id", F.concat_ws("\t", "node_id", "node").alias("value")), f"{prefix}_index_gene", "node_id")
 
 
-def save_bundle(kernel: DataFrame, edges: DataFrame, parameters: dict, path: str) -> None:
-    """A network's kernel, edges and parameters as Parquet below one folder; a table is overwritten whole."""
-    kernel.write.mode("overwrite").parquet(f"{path}/kernel")
+def save_bundle(kernel: DataFrame, edges: DataFrame, parameters: dict, path: str, buckets: int = 16) -> None:
+    """A network's kernel, edges and parameters as Parquet below one folder; a table is overwritten whole.
+
+    The kernel lies in ``buckets`` by ``src``, one sorted file each, so joins of it with heat by seed need no shuffle of the kernel.
+    """
+    spark, name = kernel.sparkSession, f"bundle_{uuid.uuid4().hex}"
+    dealt = kernel.select("src", *[c for c in kernel.columns if c != "src"]).repartition(buckets, "src")
+    dealt.write.mode("overwrite").bucketBy(buckets, "src").sortBy("src").option("path", f"{path}/kernel").saveAsTable(name)
+    spark.sql(f"drop table {name}")  # its files stay
+    layout = [(f.name, f.dataType.simpleString(), buckets) for f in dealt.schema.fields]
+    spark.createDataFrame(layout, "name string, type string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
     rows = [(k, json.dumps(v)) for k, v in parameters.items()]
-    kernel.sparkSession.createDataFrame(rows, "name string, value string").write.mode("overwrite").parquet(f"{path}/parameters")
+    spark.createDataFrame(rows, "name string, value string").write.mode("overwrite").parquet(f"{path}/parameters")
+
+
+def _bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """The kernel of a bundle, with its buckets known to this session."""
+    layout = spark.read.parquet(f"{path}/layout").collect()
+    columns, name = ", ".join(f"`{r['name']}` {r['type']}" for r in layout), f"bundle_{uuid.uuid4().hex}"
+    place = f"{path}/kernel".replace("'", "\\'")
+    spark.sql(f"create table {name} ({columns}) using parquet clustered by (src) sorted by (src) into {layout[0]['buckets']} buckets location '{place}'")
+    return spark.table(name)
 
 
 def load_bundle(spark: SparkSession, path: str, keys: tuple[str, ...] = ("kernel", "edges", "parameters")) -> dict:
-    """The tables asked for; parameters as a dict."""
-    found = {k: spark.read.parquet(f"{path}/{k}") for k in keys}
+    """The tables asked for, a kernel in its buckets; parameters as a dict."""
+    found = {k: _bucketed(spark, path) if k == "kernel" else spark.read.parquet(f"{path}/{k}") for k in keys}
     if "parameters" in found:
         found["parameters"] = {r["name"]: json.loads(r["value"]) for r in found["parameters"].collect()}
     return found

@@ -12,7 +12,7 @@ from heatgraph import cli
 from heatgraph.functions import diffusion, graph
 from heatgraph.operators import consensus, delta, network, permute, similarity, view
 from heatgraph.plans import runs
-from heatgraph.sources import text
+from heatgraph.sources import sinks, text
 
 
 def lines(spark, *rows):
@@ -246,3 +246,24 @@ def test_run_options(spark, tmp_path):
     for kind, more in (("network", []), ("heat", []), ("mutations", ["--gene_lengths", lengths, "--gene_order", order, "--bmr", "0.0001"])):
         cli.run(spark, ["deltas", "--index", index, "--edges", edges, "--heat", f"{out}/heat.json", "--output", f"{out}/by-{kind}.json", "--kind", kind, "--permutations", "2", "--sizes", "3,5", *more])
         assert set(json.loads((tmp_path / "out" / f"by-{kind}.json").read_text())) == {"3", "5"}
+
+
+def test_stored_kernels_join_without_a_shuffle(spark, tmp_path):
+    """The kernel of a bundle meets heat by seed where it lies; only the heat moves."""
+    edges = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(12) for j in range(i + 1, 12) if (i * j) % 3 == 1], "src string, dst string")
+    path = network.stored_kernel("restart", edges, 0.4, str(tmp_path / "it's here"))
+    bundle = sinks.load_bundle(spark, path)
+    kernel, direct = bundle["kernel"], network.restart_kernel(network.largest_component(edges), 0.4)
+    assert {(r.dst, r.src): round(r.p, 5) for r in kernel.collect()} == {(r.dst, r.src): round(r.p, 5) for r in direct.collect()}
+    heat = kernel.select("src").distinct().selectExpr("src as node", "double(length(src)) as score")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = kernel.join(heat.select(F.col("node").alias("src"), "score"), "src")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        scan = plan.index("Bucketed: true")
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(src") <= 1, plan  # that of the heat
+        assert "Exchange" not in plan[plan.index("SortMergeJoin") : scan], plan
+        assert joined.count() == kernel.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
