@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatgraph.functions import diffusion, graph
 from heatgraph.operators.connected import connected_components
+from heatgraph.plans.ranks import numbered
 
 #: Edges that are broadcast to the tasks of a kernel; larger networks iterate as DataFrames.
 MOST_EDGES = 2_000_000
@@ -47,7 +48,7 @@ def largest_component(edges: DataFrame) -> DataFrame:
 def indexed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(node_id, node)`` from 1 in the order of names, and edges of ids."""
     nodes = both_ways(edges).select(F.col("src").alias("node")).distinct()
-    index = nodes.select(F.row_number().over(Window.orderBy("node")).alias("node_id"), "node")
+    index = numbered(nodes, "node_id", "node").withColumn("node_id", F.col("node_id").cast("int"))
     a = index.select(F.col("node").alias("src"), F.col("node_id").alias("src_id"))
     b = index.select(F.col("node").alias("dst"), F.col("node_id").alias("dst_id"))
     return index, edges.join(a, "src").join(b, "dst").select("src_id", "dst_id")

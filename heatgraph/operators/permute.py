@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heatgraph.plans.lineage import cut
+from heatgraph.plans.ranks import numbered
+
+#: Classes of mutation probabilities, each half of the one before.
+MOST_CLASSES = 64
+
 
 def order_key(seed: int, *parts) -> Column:
     """A hash that orders, or with :func:`uniform` draws, independent of partitions and engines."""
@@ -27,7 +34,7 @@ def permuted_heat(heat: DataFrame, network: DataFrame, n: int, additional: DataF
     """
     nodes = heat.select("node") if additional is None else heat.select("node").union(additional.select("node"))
     eligible = nodes.distinct().join(network.select("node"), "node", "left_semi")
-    scores = heat.join(network.select("node"), "node", "left_semi").select("score", F.row_number().over(Window.orderBy("node")).alias("r"))
+    scores = numbered(heat.join(network.select("node"), "node", "left_semi").select("node", "score"), "r", "node").select("score", F.col("r").cast("int").alias("r"))
     perms = heat.sparkSession.range(1, n + 1).withColumnRenamed("id", "perm_id")
     dealt = eligible.crossJoin(F.broadcast(perms))
     rank = F.row_number().over(Window.partitionBy("perm_id").orderBy(order_key(seed, "perm_id", "node")))
@@ -44,6 +51,37 @@ def permuted_snvs(samples: DataFrame, genes: DataFrame, bmr: float, rates: DataF
     return pairs.where(uniform(seed, "perm_id", "sample", "gene") <= F.col("p")).select("perm_id", "sample", "gene")
 
 
+def sampled_snvs(samples: DataFrame, genes: DataFrame, bmr: float, rates: DataFrame | None = None, perms: int = 1, seed: int = 42) -> DataFrame:
+    """``(perm_id, sample, gene)`` of the same distribution as ``permuted_snvs``, with work in proportion to what comes out.
+
+    Genes are ranked inside classes of mutation probabilities within a factor of two. Each sample draws from each class how many of its genes
+    would mutate at the class's largest probability, and which; a gene so drawn stays with its own share of that. No pair of
+    sample and gene that isn't drawn is ever made; every draw depends on seed, permutation, sample and class only.
+    """
+    table = genes if rates is None else genes.join(rates, "gene", "left")
+    rate = F.lit(bmr) if rates is None else F.coalesce("bmr", F.lit(bmr))
+    table = table.select("gene", (1 - F.pow(1 - rate, F.col("length"))).alias("p")).where("p > 0")
+    table = table.withColumn("class", F.least(F.floor(-F.log2("p")), F.lit(MOST_CLASSES - 1)).cast("int"))
+    ranked = cut(table.withColumn("at", F.row_number().over(Window.partitionBy("class").orderBy("gene"))))
+    classes = ranked.groupBy("class").agg(F.count(F.lit(1)).alias("n"))  # at most MOST_CLASSES
+    ids = genes.sparkSession.range(1, perms + 1).withColumnRenamed("id", "perm_id")
+    kind = samples.schema["sample"].dataType.simpleString()
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            out = []
+            for perm, sample, name, k, n in rows[["perm_id", "sample", "name", "class", "n"]].itertuples(index=False):
+                rng = np.random.default_rng([seed, perm, zlib.crc32(name.encode()), k])
+                at = rng.choice(n, rng.binomial(n, 2.0**-k), replace=False, shuffle=False) + 1
+                out.append(pd.DataFrame({"perm_id": perm, "sample": sample, "class": k, "at": at, "u": rng.random(len(at))}))
+            if out:
+                yield pd.concat(out)
+
+    wanted = samples.select("sample").distinct().crossJoin(F.broadcast(ids)).crossJoin(F.broadcast(classes)).withColumn("name", F.coalesce(F.col("sample").cast("string"), F.lit("")))
+    drawn = wanted.mapInPandas(draw, f"perm_id bigint, sample {kind}, class int, at int, u double")
+    return drawn.join(ranked, ["class", "at"]).where(F.col("u") * F.pow(F.lit(2.0), -F.col("class")) < F.col("p")).select("perm_id", "sample", "gene")
+
+
 def cna_blocks(cnas: DataFrame, order: DataFrame) -> DataFrame:
     """``(sample, chromo, block, mut_type, start, n)``: runs of neighbouring genes with one kind of change.
 
@@ -156,7 +194,7 @@ def permuted_mutation_heat(
     """
     if network is not None:
         genes = genes.join(network.select(F.col("node").alias("gene")).distinct(), "gene", "left_semi")
-    points = permuted_snvs(samples, genes, bmr, rates, perms, seed).withColumn("mut_type", F.lit("snv"))
+    points = sampled_snvs(samples, genes, bmr, rates, perms, seed).withColumn("mut_type", F.lit("snv"))
     changes = block_genes(permuted_blocks(blocks, order, perms, seed, crowded=crowded), order)
     if cna_threshold:
         changes = prevailing(changes, cna_threshold)

@@ -186,9 +186,6 @@ def counts_by_network(networks: DataFrame, heat: DataFrame, beta: float, delta:
 
     if delta <= 0:
         raise ValueError("the threshold must be over 0")
-    ways = networks.select("perm_id", "src", "dst")
-    scored = heat.select(F.col("node").alias("src"), F.col("score").alias("a")), heat.select(F.col("node").alias("dst"), F.col("score").alias("b"))
-    joined = ways.join(scored[0], "src", "left").join(scored[1], "dst", "left").select("perm_id", "src", "dst", "a", "b")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names = np.array(sorted(set(rows["src"]) | set(rows["dst"])), object)
@@ -221,7 +218,13 @@ def counts_by_network(networks: DataFrame, heat: DataFrame, beta: float, delta:
         found = np.unique(label[touched], return_counts=True)[1]
         return pd.DataFrame({"perm_id": rows["perm_id"].iloc[0], "size": sizes, "n": [int((found >= k).sum()) for k in sizes]})
 
-    return joined.groupBy("perm_id").applyInPandas(run, "perm_id bigint, size int, n bigint")
+    return scored_networks(networks, heat).groupBy("perm_id").applyInPandas(run, "perm_id bigint, size int, n bigint")
+
+
+def scored_networks(networks: DataFrame, heat: DataFrame) -> DataFrame:
+    """``(perm_id, src, dst, a, b)``: edges with the scores of both ends, null where there is none."""
+    one, other = (heat.select(F.col("node").alias(c), F.col("score").alias(k)) for c, k in (("src", "a"), ("dst", "b")))
+    return networks.select("perm_id", "src", "dst").join(one, "src", "left").join(other, "dst", "left").select("perm_id", "src", "dst", "a", "b")
 
 
 def network_weights(rows: pd.DataFrame, scores: dict, beta: float, directed: bool, diffusion) -> tuple[list, np.ndarray]:

@@ -216,6 +216,18 @@ def snv_permutation(spark, sf_dir):
     return permute.permuted_snvs(people, genes, 0.001, perms=2)
 
 
+@query("select distinct s_suppkey % 40 + 1 as length, true as fits from supplier")
+def snv_sampling_invariants(spark, sf_dir):
+    genes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gene"), (F.col("s_suppkey") % 40 + 1).alias("length"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample"))
+    n = people.count()
+    found = permute.sampled_snvs(people, genes, 0.001, perms=4).groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
+    counts = genes.join(found, "gene", "left").groupBy("length").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("genes"))
+    p = 1 - F.pow(F.lit(0.999), F.col("length"))
+    mean = 4 * n * F.col("genes") * p
+    return counts.select("length", (F.abs(F.col("n") - mean) <= 6 * F.sqrt(mean * (1 - p)) + 3).alias("fits"))
+
+
 _BLOCKS = """ord as (select p_partkey as gene, p_brand as chromo, row_number() over (partition by p_brand order by p_partkey) as pos from part),
   cna as (select distinct l_suppkey as sample, l_partkey as gene, case l_returnflag when 'A' then 'amp' else 'del' end as mut_type from lineitem where l_returnflag in ('A', 'R')),
   x as (select sample, chromo, pos, mut_type, lag(pos) over w as lp, lag(mut_type) over w as lm from cna join ord using (gene) window w as (partition by sample, chromo order by pos, mut_type)),

@@ -6,6 +6,7 @@ import pytest
 from heatgraph.functions import graph, thresholds
 from heatgraph.operators import delta, levels, similarity
 from heatgraph.operators.connected import strong_components
+from heatgraph.plans.ranks import Ranked, numbered
 
 
 def plain_strong(n, edges):
@@ -78,12 +79,19 @@ def test_spanning_forest(spark):
 
 def test_rows_by_rank(spark):
     rows = [(p, float(x)) for p in (1, 2, 7) for x in np.random.default_rng(p).permutation(50 * p)]
-    ranked = levels.Ranked(spark.createDataFrame(rows, "perm_id bigint, w double").repartition(5), "w")
+    ranked = Ranked(spark.createDataFrame(rows, "perm_id bigint, w double").repartition(5), "w")
     assert ranked.counts == {1: 50, 2: 100, 7: 350}
     assert {(r.perm_id, r.w): r["rank"] for r in ranked.ranked().collect()} == {(p, x): int(x) for p, x in rows}
     assert ranked.at({(1, 0), (2, 99), (7, 123)}, "w") == {(1, 0): 0.0, (2, 99): 99.0, (7, 123): 123.0}
 
 
+def test_rows_numbered_over_all_tasks(spark):
+    names = [f"n{i:04}" for i in np.random.default_rng(1).permutation(3000)]
+    got = {r.name: r.at for r in numbered(spark.createDataFrame([(x,) for x in names], "name string").repartition(7), "at", "name").collect()}
+    assert got == {x: i + 1 for i, x in enumerate(sorted(names))}
+    assert numbered(spark.createDataFrame([], "name string"), "at", "name").collect() == []
+
+
 def matrices(spark, n, digits, holes, seed=3):
     """A kernel and two heats, and the dense matrices of both."""
     rng = np.random.default_rng(seed)

@@ -267,3 +267,19 @@ def test_stored_kernels_join_without_a_shuffle(spark, tmp_path):
         assert joined.count() == kernel.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_mutations_sampled_in_proportion(spark):
+    """Counts of each gene as a binomial has them, no pair twice, the same whatever the partitions, all and none at rates of 1 and 0."""
+    genes = spark.createDataFrame([(f"g{i:02}", 1 + i * i) for i in range(20)] + [("sure", 1), ("never", 1)], "gene string, length int")
+    rates = spark.createDataFrame([("sure", 1.0), ("never", 0.0)], "gene string, bmr double")
+    people = spark.range(400).selectExpr("concat('s', id) as sample")
+    drawn = [sorted(map(tuple, permute.sampled_snvs(frame, genes, 0.002, rates, perms=5, seed=3).collect())) for frame in (people.repartition(5), people.repartition(2))]
+    assert drawn[0] == drawn[1] and len(set(drawn[0])) == len(drawn[0])
+    counts = {g: sum(x[2] == g for x in drawn[0]) for g in [f"g{i:02}" for i in range(20)] + ["sure", "never"]}
+    assert counts["sure"] == 2000 and counts["never"] == 0
+    for i in range(20):
+        p = 1 - 0.998 ** (1 + i * i)
+        assert abs(counts[f"g{i:02}"] - 2000 * p) <= 5 * (2000 * p * (1 - p)) ** 0.5 + 2
+    samples = [sum(x[1] == f"s{i}" for x in drawn[0]) for i in range(400)]
+    assert len(set(samples)) > 5 and {x[0] for x in drawn[0]} == {1, 2, 3, 4, 5}
