@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from heatgraph.functions import diffusion, graph
 from heatgraph.operators.connected import connected_components
+from heatgraph.operators.swaps import permuted_in_rounds
 from heatgraph.plans.ranks import numbered
 
 #: Edges that are broadcast to the tasks of a kernel; larger networks iterate as DataFrames.
@@ -60,11 +61,21 @@ def walk_matrix(edges: DataFrame) -> DataFrame:
     return both_ways(edges).join(out, "src").select("dst", "src", (1 / F.col("degree")).alias("w"))
 
 
+def _few(edges: DataFrame) -> pd.DataFrame | None:
+    """The edges, where a task can hold them."""
+    rows = edges.select("src", "dst").limit(MOST_EDGES + 1).toPandas()
+    return rows if len(rows) <= MOST_EDGES else None
+
+
 def _arrays(edges: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
     """Node names and the edges by place, both in order whatever the partitions, of a network small enough."""
-    rows = edges.select("src", "dst").limit(MOST_EDGES + 1).toPandas()
-    if len(rows) > MOST_EDGES:
+    rows = _few(edges)
+    if rows is None:
         raise ValueError(f"more than {MOST_EDGES} edges: use restart_iteration")
+    return _places(rows)
+
+
+def _places(rows: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
     names = sorted(set(rows["src"]) | set(rows["dst"]))
     place = {x: i for i, x in enumerate(names)}
     src, dst = rows["src"].map(place).to_numpy(np.int64), rows["dst"].map(place).to_numpy(np.int64)
@@ -169,12 +180,16 @@ def balanced_beta(edges: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def permuted(edges: DataFrame, n: int, swaps_per_edge: float = 115, seed: int = 0, first: int = 1, report: bool = False) -> DataFrame:
-    """``(perm_id, src, dst)``: ``n`` networks of the same degrees, connected and simple, a task for each.
+    """``(perm_id, src, dst)``: ``n`` networks of the same degrees, connected and simple.
 
-    With ``report`` each row also has ``swaps``, the number made, to be held against the number asked for.
+    A task for each while the network has at most ``MOST_EDGES`` edges; larger ones are swapped in rounds by all
+    tasks. With ``report`` each row also has ``swaps``, the number made, to be held against the number asked for.
     """
     spark = edges.sparkSession
-    names, src, dst = _arrays(edges)
+    rows = _few(edges)
+    if rows is None:
+        return permuted_in_rounds(edges, n, swaps_per_edge, seed, first, report)
+    names, src, dst = _places(rows)
     kind = edges.schema["src"].dataType.simpleString()
     shared = spark.sparkContext.broadcast((names, np.stack([src, dst], axis=1)))
 

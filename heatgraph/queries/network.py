@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heatgraph.operators import delta, network, permute, similarity, tree
+from heatgraph.operators.swaps import permuted_in_rounds
 from heatgraph.queries import data, query
 from heatgraph.queries.data import BETA, DELTA, HEAT, PARTS, SCC, SIM, closure_sql, kernel_sql, net_sql, table
 
@@ -207,6 +208,16 @@ def net_permuted_connected(spark, sf_dir):
     return members.groupBy("perm_id").agg(F.countDistinct("component").alias("components"), F.count(F.lit(1)).alias("nodes"))
 
 
+@query(f"""with {net_sql(3)}, w as (select src from net union all select dst from net), d as (select src as node, count(*) as degree from w group by src)
+  select perm_id::bigint as perm_id, node, degree, (select min(node) from d) as component, true as enough from d cross join (select unnest([1, 2]) as perm_id)""")
+def net_permuted_in_rounds(spark, sf_dir):
+    made = permuted_in_rounds(data.net(spark, sf_dir), 2, swaps_per_edge=1, seed=1, report=True)
+    labels = similarity.component_members(made, ["perm_id"], directed=False)
+    least = made.groupBy("perm_id").agg((F.max("swaps") >= F.count(F.lit(1))).alias("enough"))
+    ways = made.select("perm_id", F.explode(F.array("src", "dst")).alias("node"), F.struct("src", "dst").alias("edge")).groupBy("perm_id", "node").agg(F.countDistinct("edge").alias("degree"))
+    return ways.join(labels.select("perm_id", "node", "component"), ["perm_id", "node"]).join(least, "perm_id").select("perm_id", "node", "degree", "component", "enough")
+
+
 @query("""with g as (select s_suppkey as gene, 1 - pow(1 - 0.001, s_suppkey % 40 + 1) as p from supplier)
   select perm_id::bigint as perm_id, c_custkey as sample, gene from customer cross join g cross join (select unnest([1, 2]) as perm_id)
   where ('0x' || substr(md5('42|' || perm_id || '|' || c_custkey || '|' || gene), 1, 8))::bigint / 4294967296.0::double <= p""")
