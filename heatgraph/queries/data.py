@@ -115,3 +115,17 @@ def sim(spark: SparkSession, sf_dir: str, delta: float | None = None) -> DataFra
 
 
 SCC = f"{SIM}, e as materialized (select src, dst from sim where w >= {DELTA}), {closure_sql('e', 'r')}, scc as materialized (select x.a as node, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by x.a)"
+
+
+def levels_sql(rounds: int = 10) -> str:
+    """``m(a, b, w)``: the highest threshold at which two vertices are in one strong component; paths of up to ``2 ** rounds`` edges.
+
+    The best way from a to b is the one whose weakest edge is heaviest; ways are joined to ways, so their length doubles each round.
+    """
+    steps = "".join(
+        f", way{i} as materialized (select a, b, max(w) as w from (select a, b, w from way{i - 1} union all select x.a, y.b, least(x.w, y.w) from way{i - 1} x join way{i - 1} y on x.b = y.a) where a <> b group by a, b)"
+        for i in range(1, rounds + 1)
+    )
+    return f"""way0 as materialized (select src as a, dst as b, max(w) as w from sim where src <> dst group by src, dst){steps},
+      m as materialized (select x.a, x.b, least(x.w, y.w) as w from way{rounds} x join way{rounds} y on x.a = y.b and x.b = y.a), vertex as (select src as node from sim union select dst from sim),
+      level as (select distinct w as delta from m), grouped as materialized (select delta, node, coalesce(min(b), node) as top from (select delta, node, case when b < node then b end as b from level cross join vertex left join m on a = node and w >= delta) group by delta, node)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heatgraph.operators import delta, network, permute, similarity, tree
 from heatgraph.operators.swaps import permuted_in_rounds
 from heatgraph.queries import data, query
-from heatgraph.queries.data import BETA, DELTA, HEAT, PARTS, SCC, SIM, closure_sql, kernel_sql, net_sql, table
+from heatgraph.queries.data import BETA, DELTA, HEAT, PARTS, SCC, SIM, closure_sql, kernel_sql, levels_sql, net_sql, table
 
 
 @query(f"with {net_sql(3)} select src, dst from net")
@@ -349,7 +349,15 @@ def hierarchy_tree(spark, sf_dir):
     return tree.tree(_keyed(spark, sf_dir)).select("network", "child_id", "parent_id", "weight", _joined("members").alias("members"))
 
 
-@query()
+@query(f"""with {SIM}, {levels_sql()}, lists as (select distinct l.delta, string_agg(g.node::varchar, ',' order by g.node::varchar) as members from level l join grouped g using (delta) group by l.delta, g.top having count(*) > 1)
+  select 'net3' as network, round(max(delta), 9) as weight, members from lists group by members""")
+def hierarchy_nodes(spark, sf_dir):
+    """Every cluster of more than one vertex that there ever is, and the threshold at which it forms."""
+    nodes = tree.tree(_keyed(spark, sf_dir)).where(F.size("members") > 1)
+    return nodes.select("network", F.round("weight", 9).alias("weight"), F.array_join(F.sort_array("members"), ",").alias("members"))
+
+
+@query(f"with {SIM}, {levels_sql()} select 'net3' as network, delta, count(distinct top) as clusters from grouped group by delta")
 def hierarchy_clusters(spark, sf_dir):
     return tree.all_clusters(tree.tree(_keyed(spark, sf_dir))).groupBy("network", "delta").agg(F.count(F.lit(1)).alias("clusters"))
 
@@ -361,7 +369,8 @@ def hierarchy_cut(spark, sf_dir):
     return tree.clusters_at(tree.tree(_keyed(spark, sf_dir)), deltas).select("network", "delta", _joined("members").alias("members"))
 
 
-@query()
+@query(f"""with {SIM}, {levels_sql()}, large as (select delta, top from grouped group by delta, top having count(*) >= 3), enough as (select delta from large group by delta having count(*) >= 3)
+  select 'net3' as network, max(delta) as delta from enough having count(*) > 0""")
 def hierarchy_cutoffs(spark, sf_dir):
     return tree.cutoffs(tree.tree(_keyed(spark, sf_dir)), 3, 3)
 

@@ -52,6 +52,22 @@ def viz_subnetwork_table(spark, sf_dir):
     return view.subnetwork_table(_members(spark, sf_dir), data.heat(spark, sf_dir))
 
 
+@query(f"""with {MEMBERS}, {HEAT}, {net_sql(3)}, own as (select component, coalesce(case when node % 2 = 0 then s_name end, node::varchar) as name, score from members join supplier on s_suppkey = node left join heat using (node)),
+  shown as (select component, count(*) as nodes, string_agg(name, ',' order by name) as names, round(sum(score), 6) as total from own group by component),
+  links as (select a.component, count(*) as edges, string_agg(src || '-' || dst, ',' order by src || '-' || dst) as pairs from net join members a on a.node = src join members b on b.node = dst and a.component = b.component group by a.component)
+  select s.component, nodes, names, total, coalesce(edges, 0) as edges, coalesce(pairs, '') as pairs from shown s left join links using (component)""")
+def viz_document_parts(spark, sf_dir):
+    """What is read back from the JSON of ``viz_document``."""
+    kind = "nodes array<struct<name string, value double>>, edges array<struct<source string, target string>>"
+    read = viz_document(spark, sf_dir).select("component", F.from_json("json", kind).alias("d"))
+    links = F.array_sort(F.transform("d.edges", lambda e: F.concat_ws("-", e["source"], e["target"])))
+    total = F.round(F.aggregate("d.nodes", F.lit(0.0), lambda s, n: s + n["value"]), 6)
+    return read.select(
+        "component", F.size("d.nodes").cast("bigint").alias("nodes"), F.array_join(F.array_sort(F.transform("d.nodes", lambda n: n["name"])), ",").alias("names"),
+        total.alias("total"), F.size("d.edges").cast("bigint").alias("edges"), F.array_join(links, ",").alias("pairs"),
+    )
+
+
 @query()
 def viz_document(spark, sf_dir):
     return view.document(_members(spark, sf_dir), data.heat(spark, sf_dir), data.net(spark, sf_dir), _labels(spark, sf_dir))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from heatgraph.functions import graph
-from heatgraph.operators import network
+from heatgraph.operators import network, swaps
 from heatgraph.operators.swaps import _cut_off, _dealt, _edges, _made, _undone, permuted_in_rounds
 
 
@@ -39,14 +39,14 @@ def by_network(frame):
     return found
 
 
-@pytest.mark.parametrize("more", [4, 150])
-def test_degrees_connection_and_swaps(spark, more):
+@pytest.mark.parametrize("more,share", [(4, 0.1), (150, 0.5)])
+def test_degrees_connection_and_swaps(spark, more, share):
     edges = made_edges(90, more, more)
     frame = spark.createDataFrame(edges, "src int, dst int")
-    out = permuted_in_rounds(frame, 3, 0.5, seed=5, report=True)
-    swaps = {r.perm_id: r.swaps for r in out.collect()}
+    out = permuted_in_rounds(frame, 3, share, seed=5, report=True)
+    counts = {r.perm_id: r.swaps for r in out.collect()}
     found = by_network(out)
-    assert sorted(found) == [1, 2, 3] and min(swaps.values()) >= 0.5 * len(edges)
+    assert sorted(found) == [1, 2, 3] and min(counts.values()) >= share * len(edges)
     for rows in found.values():
         assert degrees(rows) == degrees(edges) and len(set(rows)) == len(edges) and whole(rows)
         assert all(a < b for a, b in rows) and len(set(rows) & set(edges)) < len(edges)
@@ -85,7 +85,8 @@ def test_any_swaps_of_a_round_can_be_undone(spark):
     assert degrees(after) == degrees(edges) and len(set(after)) == len(edges)
 
 
-def test_odd_networks(spark):
+def test_odd_networks(spark, monkeypatch):
+    monkeypatch.setattr(swaps, "IDLE", 3)
     make = lambda rows: spark.createDataFrame(rows, "src int, dst int")
     assert permuted_in_rounds(make([]), 2, 3).count() == 0
     assert by_network(permuted_in_rounds(make([(2, 1)]), 2, 3)) == {1: [(1, 2)], 2: [(1, 2)]}
