@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heatgraph.operators import delta, network, permute, similarity, tree
+from heatgraph.operators import delta, nested, network, permute, similarity, tree
 from heatgraph.operators.swaps import permuted_in_rounds
 from heatgraph.queries import data, query
 from heatgraph.queries.data import BETA, DELTA, HEAT, PARTS, SCC, SIM, closure_sql, kernel_sql, levels_sql, net_sql, table
@@ -357,6 +357,13 @@ def hierarchy_nodes(spark, sf_dir):
     return nodes.select("network", F.round("weight", 9).alias("weight"), F.array_join(F.sort_array("members"), ",").alias("members"))
 
 
+@query(f"""with {SIM}, {levels_sql()}, ends as (select a as part, max(w) as weight from m where b < a group by a)
+  select 'net3' as network, part, min(b) as whole, round(weight, 9) as weight from ends join m on a = part and w >= weight group by part, weight""")
+def hierarchy_merges(spark, sf_dir):
+    found = nested.merges(_keyed(spark, sf_dir), small=2_000)  # so that some of these small tables go through rounds
+    return found.withColumn("weight", F.round("weight", 9))
+
+
 @query(f"with {SIM}, {levels_sql()} select 'net3' as network, delta, count(distinct top) as clusters from grouped group by delta")
 def hierarchy_clusters(spark, sf_dir):
     return tree.all_clusters(tree.tree(_keyed(spark, sf_dir))).groupBy("network", "delta").agg(F.count(F.lit(1)).alias("clusters"))
