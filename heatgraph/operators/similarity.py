@@ -106,34 +106,6 @@ def at_least(members: DataFrame, sizes: list[int], keys: list[str] | None = None
     return table.groupBy(*(keys or []), F.col("k").alias("size")).agg(F.sum(F.when(F.col("s") >= F.col("k"), F.col("n")).otherwise(0)).alias("n"))
 
 
-class Problem:
-    """A kernel with its nodes, dense in single precision, for the drawing of its hierarchy.
-
-    For networks of at most ``most`` nodes, which is checked before any cell is read.
-    """
-
-    def __init__(self, kernel: DataFrame, most: int = 16_000):
-        rows = kernel.select("src").distinct().limit(most + 1).collect()
-        if len(rows) > most:
-            raise ValueError(f"more than {most} nodes")
-        self.names = sorted(r["src"] for r in rows)
-        self.place = {x: i for i, x in enumerate(self.names)}
-        index = kernel.sparkSession.createDataFrame([(x, i) for x, i in self.place.items()], f"node {kernel.schema['src'].dataType.simpleString()}, at int")
-        to, seed = index.toDF("dst", "i"), index.toDF("src", "j")
-        cells = kernel.select("dst", "src", F.col("p").cast("double").alias("p")).join(F.broadcast(to), "dst").join(F.broadcast(seed), "src")
-        self.p = np.zeros((len(self.names), len(self.names)), kernel.schema["p"].dataType.typeName() == "float" and np.float32 or float)
-        for batch in cells.select("i", "j", "p").toArrow().to_batches():
-            i, j, p = (c.to_numpy() for c in batch.columns)
-            self.p[i, j] = p
-
-    def weights(self, heat: dict, directed: bool = True) -> tuple[list, np.ndarray]:
-        names = [x for x in self.names if x in heat]
-        at = [self.place[x] for x in names]
-        h = np.array([heat[x] for x in names])
-        p = self.p[np.ix_(at, at)]
-        return names, p * h if directed else np.minimum(p, p.T) * np.maximum(h[:, None], h)
-
-
 def permuted_similarity(kernel: DataFrame, heats: DataFrame, delta: float, directed: bool = True) -> DataFrame:
     """``(perm_id, src, dst, w)`` of at least ``delta`` (above 0), for heats ``(perm_id, node, score)``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatgraph.functions import hierarchy
-from heatgraph.operators import consensus, delta, heat as heat_ops, network, permute, similarity, view
+from heatgraph.operators import consensus, delta, heat as heat_ops, network, permute, similarity, tree, view
 from heatgraph.plans.lineage import cut
 from heatgraph.sources import sinks, text
 
@@ -193,10 +193,9 @@ def write_consensus(roles: DataFrame, chosen: DataFrame, statistics: DataFrame,
 
 
 def write_hierarchy(edges: DataFrame, heat: DataFrame, beta: float, folder: str) -> None:
-    """The dendrogram of a network's similarity matrix, of a size that ``similarity.Problem`` checks."""
-    edges = network.largest_component(network.canonical(edges))
-    names, weights = similarity.Problem(network.restart_kernel(edges, beta)).weights({r["node"]: r["score"] for r in heat.collect()})
-    made = hierarchy.decompose(names, weights.T)
+    """The dendrogram of the similarities in a network; neither they nor the kernel reach the driver."""
+    edges = cut(network.largest_component(network.canonical(edges)))
+    made = tree.largest_tree(cut(similarity.similarity(network.restart_kernel(edges, beta), heat)))
     rows, labels = hierarchy.linkage(made)
     sinks.write_hierarchy(folder, rows, labels, hierarchy.newick(made), {"beta": beta})
 

@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from heatgraph.functions import graph
-from heatgraph.operators import nested
+from heatgraph.functions import graph, hierarchy
+from heatgraph.operators import nested, tree
 
 
 def plain(edges, increasing=False):
@@ -55,3 +55,26 @@ def test_increasing_names_and_odd_rows(spark):
     assert at == {x: names[label.index(label[i])] for i, x in enumerate(names) if label.count(label[i]) > 1}
     none = nested.merges(frame.limit(0))
     assert none.count() == 0 and none.columns == ["network", "part", "whole", "weight"]
+
+
+def shape(made):
+    """Inner nodes by weight, members and the members of their parts."""
+    return sorted((made.weight[x], made.members(x), sorted(made.members(c) for c in made.children[x])) for x in made.inner())
+
+
+@pytest.mark.parametrize("n,m", [(12, 45), (20, 24)])
+def test_dendrogram_like_the_dense_form(spark, n, m):
+    edges = digraph(n, m, 7, m) + [(3, 3, 11.0)]
+    dense = np.zeros((n, n))
+    for u, v, w in edges:
+        dense[u, v] = w
+    made = tree.largest_tree(spark.createDataFrame(edges, "src int, dst int, w double"))
+    want = hierarchy.decompose(list(range(n)), dense)
+    assert made.names == want.names and made.weight[: len(made.names)] == want.weight[: len(want.names)]
+    assert shape(made) == shape(want) and hierarchy.linkage(made) == hierarchy.linkage(want)
+    assert sorted(hierarchy.newick(made)) == sorted(hierarchy.newick(want))
+
+
+def test_dendrograms_without_merges(spark):
+    make = lambda rows: tree.largest_tree(spark.createDataFrame(rows, "src int, dst int, w double"))
+    assert hierarchy.newick(make([(2, 1, 1.0)])) == "1;" and make([]).names == []
