@@ -247,3 +247,28 @@ def test_random_weights():
     w = simulate.random_weights(60, 0.5, 4, seed=3)
     assert (np.diag(w) == 0).all() and set(np.unique(w).tolist()) == {0.0, 0.25, 0.5, 0.75, 1.0} and 0.4 < (w == 0).mean() < 0.6
     assert np.array_equal(w, simulate.random_weights(60, 0.5, 4, seed=3))
+
+
+def test_kernels_are_not_taken_for_small(spark):
+    """A kernel's size is unknown to the planner, so that it is never broadcast beside heat."""
+    from heatgraph.operators import network, similarity
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src bigint, dst bigint")
+    heat = spark.createDataFrame([(i, 0.1 * i) for i in range(10)], "node bigint, score double")
+    kernel = network.restart_kernel(edges, 0.4)
+    for table in (kernel, network.heat_kernel(edges, 0.05)):
+        assert int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > 1 << 40
+    assert similarity.similarity(kernel, heat).count() == 100
+
+
+def test_top_edges_beyond_a_limit(spark):
+    """Ranks, ties and null weights, whatever the share; no single task holds the share."""
+    from heatgraph.operators import delta
+
+    rows = [(i, j, None if i == j else float((i * j) % 5)) for i in range(12) for j in range(12)]
+    sim = spark.createDataFrame(rows, "src int, dst int, w double")
+    order = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0.0), r[0], r[1]))
+    for share in (0.0, 0.05, 0.5, 1.0):
+        found = delta.top_edges(sim, share)
+        assert sorted(map(tuple, found.select("src", "dst").collect())) == sorted(r[:2] for r in order[: int(share * len(rows))])
+        assert "TakeOrdered" not in found._jdf.queryExecution().executedPlan().toString()
