@@ -30,13 +30,13 @@ from heatgraph.llm.tables import packed, release, slices, texts, unpacked
 from heatgraph.plans.lineage import dropped, stored
 
 #: Characters of a chunk (more only if one document has more).
-CHUNK = 24 << 20
+CHUNK = 18 << 20
 #: Linked id pairs up to this number are sent to the tasks as a sorted list; more of them are shuffled to the chunks.
 MOST_PAIRS = 2_000_000
 #: Segments that are tokenised together, and those that are spelled together.
 TOGETHER, BLOCK = 64, 1 << 15
 #: Entries of dictionaries for each bucket.
-BUCKET = 500_000
+BUCKET = 250_000
 #: White space in any of the definitions in use (this module's is the widest) never comes before a cut.
 _SEGMENT = re.compile(r"(?<=\S)(?= .)", re.S)
 _SPACE = "▁"
@@ -169,11 +169,14 @@ class Aligned:
         self.b = numbers[_spread(begin + 1 + 2 * self.n_groups + self.n_a, self.n_b)]
         times = self.in_a.astype(np.int64) * self.in_b
         self.n_links = np.bincount(of, times, n).astype(np.int64)
+        del numbers, begin
         # links: every first id of a group with every second one
         n_second = np.repeat(self.in_b, self.in_a)
         begin_b = np.repeat((np.cumsum(self.in_b) - self.in_b).astype(np.int64), self.in_a)
         key = np.repeat(self.a.astype(np.int64), n_second) << 32 | self.b[_spread(begin_b, n_second)]
+        del n_second, begin_b
         self.pairs, number = np.unique(key, return_inverse=True)
+        number = number.astype(np.int32)
         tall = max(len(self.pairs), 1)
         key, self.times = np.unique(np.repeat(of.astype(np.int64), times) * tall + number, return_counts=True)
         self.held = (key % tall).astype(np.int32)  # distinct pairs of each segment, as numbers of ``pairs``
@@ -298,6 +301,7 @@ def aligned_segments(dealt: DataFrame, byte_level: str, pieces: str, at_once: in
             blobs = _widened(blobs, wides)
         packs = [_pack(blobs.take(pa.array(at))) for at in places]
         out = pa.Table.from_arrays([table.column("chunk"), table.column("codes"), pa.array(packs, pa.list_(pa.binary())), pa.array([bool(wides.any())] * len(packs), pa.bool_())], schema=schema)
+        del numbers, places, distinct, made, blobs, wides, packs, table
         release()
         return out
 
@@ -310,6 +314,8 @@ def _row(table: pa.Table | pa.RecordBatch, name: str, row: int = 0):
 
 def _usable(codes: np.ndarray, sizes: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """Whether each document of a chunk has tokens."""
+    if ok.all():
+        return sizes > 0
     doc = np.repeat(np.arange(len(sizes)), sizes)
     return (np.bincount(doc[~ok[codes]], minlength=len(sizes)) == 0) & (sizes > 0)
 
@@ -335,12 +341,18 @@ def _document_counts(codes: np.ndarray, sizes: np.ndarray, found: Aligned) -> np
     return counts
 
 
+def _one_list(numbers: np.ndarray) -> pa.Array:
+    """One row that holds the numbers, without a Python object for each."""
+    return pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()), pa.array(numbers, pa.int64()))
+
+
 _CHUNKED = "chunk bigint, ids array<{}>, sizes array<int>, codes binary, blobs array<binary>, wide boolean, pairs array<bigint>, docs array<bigint>"
 
 
 def _rated(codes: np.ndarray, sizes: np.ndarray, found: Aligned, count: np.ndarray, best: np.ndarray) -> list[np.ndarray]:
     """Per document of a chunk: n_a, n_b, n_groups, n_links, n_best and count_sum, from counts of the chunk's pairs."""
-    good, end = _usable(codes, sizes, found.ok), np.cumsum(sizes)
+    good, full = _usable(codes, sizes, found.ok), sizes > 0
+    begin = (np.cumsum(sizes) - sizes)[full]
     last = np.cumsum(found.n_held)
 
     def of_segments(values: np.ndarray) -> np.ndarray:
@@ -350,8 +362,10 @@ def _rated(codes: np.ndarray, sizes: np.ndarray, found: Aligned, count: np.ndarr
     n_best, count_sum = of_segments(found.times * best[found.held]), of_segments(found.times * count[found.held])
     out = []
     for each in (found.n_a, found.n_b, found.n_groups, found.n_links, n_best, count_sum):
-        total = np.concatenate([[0], np.cumsum(each[codes])])
-        out.append(np.where(good, total[end] - total[end - sizes], 0))
+        total = np.zeros(len(sizes), np.int64)
+        if full.any():
+            total[full] = np.add.reduceat(each[codes], begin)
+        out.append(np.where(good, total, 0))
     return out
 
 
@@ -398,7 +412,10 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
         found = Aligned(blobs, wide)
         counts = _document_counts(unpacked(_row(sequence, "codes")), np.array(_row(sequence, "sizes"), np.int64), found)
         columns = [sequence.column(n).combine_chunks() for n in ("chunk", "ids", "sizes", "codes")]
-        columns += [pa.array([_pack(blobs)], pa.list_(pa.binary())), pa.array([wide]), pa.array([found.pairs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
+        columns += [pa.array([_pack(blobs)], pa.list_(pa.binary())), pa.array([wide]), _one_list(found.pairs), _one_list(counts)]
+        del found, blobs, counts
+        _pair.cache_clear()  # all segments are aligned, and the worker may live on beside others
+        release()
         return pa.Table.from_arrays(columns, schema=chunked)
 
     sequences = held.select("chunk", "ids", "sizes", "codes").groupBy("chunk")
@@ -417,6 +434,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
         known = pairs[at] == found.pairs if len(pairs) else np.zeros(len(found.pairs), bool)  # others are only in texts without tokens
         own = [np.where(known, x[at], 0) if len(pairs) else np.zeros(len(at), np.int64) for x in (count, best.astype(np.int64))]
         totals = _rated(codes, sizes, found, *own)
+        del own, at, known
         return pa.RecordBatch.from_arrays([pa.array(_row(batch, "ids", row), id_type), *(pa.array(t, pa.int64()) for t in totals), pa.array(_digests(codes, sizes, found), pa.string())], schema=result)
 
     schema = f"id {kind}, " + ", ".join(f"{n} bigint" for n in _COLUMNS) + ", groups_sha256 string"
@@ -428,7 +446,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
             for batch in batches:
                 for row in range(batch.num_rows):
                     yield rows(batch, row, *shared.value)
-            release()
+                    release()
 
         found = whole.select("ids", "sizes", "codes", "blobs", "wide").mapInArrow(run, schema)
     else:

@@ -96,3 +96,11 @@ def test_odd_rows(spark):
     assert alignment.alignments(spark.createDataFrame([], schema), A, B, id_col="id", text_col="body").collect() == []
     nothing = alignment.alignments(spark.createDataFrame([("k", None, 1, "", "", "")], schema), A, B, id_col="id", text_col="body").collect()
     assert [tuple(r) for r in nothing] == [("k", 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_lists_of_numbers_without_objects():
+    import numpy as np
+
+    from heatgraph.llm.alignment import _one_list
+
+    assert [_one_list(np.array(x, np.int64)).to_pylist() for x in ([], [3, 1 << 40])] == [[[]], [[3, 1 << 40]]]
