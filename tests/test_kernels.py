@@ -316,3 +316,35 @@ def test_work_is_dealt_by_rows(spark, sf):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src bigint, dst bigint")
     plan = network.restart_iteration(edges, network.both_ways(edges).select(edges["src"].alias("node")).distinct(), 0.4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_balance_by_traces_is_that_of_the_whole_kernel(spark, monkeypatch):
+    from heatgraph.operators import network
+
+    monkeypatch.setattr(network, "CELLS", 40)  # several blocks
+    ends = [(i, i % 20 + 1) for i in range(1, 21)] + [(1, 7), (4, 15), (8, 8), (2, 1), (23, 22)]  # a loop, a repeated edge, an id without edges
+    src, dst = (np.array(x) - 1 for x in zip(*ends))
+    a = diffusion.adjacency(23, src, dst)
+    walk = diffusion.Walk(23, *np.nonzero(np.triu(a)))
+    series = diffusion.balanced_series(walk, *walk.traces(np.arange(23), 1e-3), 3)
+    assert abs(series - diffusion.balanced_beta(23, src, dst, 3)) < 1e-9
+    found = network.balanced_beta(spark.createDataFrame(ends, "src bigint, dst bigint"), 3).first()["beta"]
+    assert abs(found - series) < 1e-9
+    assert not network.restart_kernel(spark.createDataFrame(ends, "src bigint, dst bigint"), 0.4).where("p is null").count()
+
+
+def test_blocks_of_kernel_columns_do_not_grow_with_the_network():
+    from heatgraph.operators import network
+
+    for n in (10, 10_000, 60_000, 5_000_000):
+        assert network._block(n, 256) * n <= max(network.CELLS, n) and 1 <= network._block(n, 256) <= 256
+    assert network._values([1, 2]).dtype == np.int64 and network._values(["a", "b"]).dtype == object
+
+
+def test_sums_over_neighbours_with_hubs_and_vertices_without_any():
+    u, v = np.array([0, 1, 2, 3, 0]), np.array([4, 4, 4, 4, 2])
+    step = diffusion.Steps(7, u, v)
+    x = np.arange(14.0).reshape(7, 2)
+    plain = np.zeros((7, 2))
+    np.add.at(plain, v, x[u])
+    assert np.array_equal(step(x[step.order])[step.place], plain)
