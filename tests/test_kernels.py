@@ -348,3 +348,15 @@ def test_sums_over_neighbours_with_hubs_and_vertices_without_any():
     plain = np.zeros((7, 2))
     np.add.at(plain, v, x[u])
     assert np.array_equal(step(x[step.order])[step.place], plain)
+
+
+def test_thresholded_similarity_takes_only_entries_that_reach(spark, sf):
+    from heatgraph.operators.similarity import similarity
+    from heatgraph.queries import data
+
+    own = data.heat(spark, sf)
+    least = data.reaching(own, data.DELTA)
+    few, every = data.kernel(spark, sf, least), data.kernel(spark, sf)
+    want = {tuple(r) for r in similarity(every, own, delta=data.DELTA).collect()}
+    assert few.where(f"p < {least} - 1e-6").isEmpty() and few.count() < every.count()
+    assert want and {tuple(r) for r in data.sim(spark, sf, data.DELTA).collect()} == want
