@@ -35,6 +35,8 @@ CHUNK = 18 << 20
 MOST_PAIRS = 2_000_000
 #: Segments that are tokenised together, and those that are spelled together.
 TOGETHER, BLOCK = 64, 1 << 15
+#: Segments of a chunk whose links are held at once when they are rated.
+PART = 1 << 16
 #: Entries of dictionaries for each bucket.
 BUCKET = 250_000
 #: White space in any of the definitions in use (this module's is the widest) never comes before a cut.
@@ -349,19 +351,34 @@ def _one_list(numbers: np.ndarray) -> pa.Array:
 _CHUNKED = "chunk bigint, ids array<{}>, sizes array<int>, codes binary, blobs array<binary>, wide boolean, pairs array<bigint>, docs array<bigint>"
 
 
-def _rated(codes: np.ndarray, sizes: np.ndarray, found: Aligned, count: np.ndarray, best: np.ndarray) -> list[np.ndarray]:
-    """Per document of a chunk: n_a, n_b, n_groups, n_links, n_best and count_sum, from counts of the chunk's pairs."""
-    good, full = _usable(codes, sizes, found.ok), sizes > 0
-    begin = (np.cumsum(sizes) - sizes)[full]
-    last = np.cumsum(found.n_held)
-
-    def of_segments(values: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(values)])
-        return total[last] - total[last - found.n_held]
+def _rated(blobs: pa.Array, wide: bool, pairs: np.ndarray, count: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[str]]:
+    """Per segment: whether it has tokens; n_a, n_b, n_groups, n_links, n_best and count_sum, from the counts of sorted pairs; its groups, spelled.
 
-    n_best, count_sum = of_segments(found.times * best[found.held]), of_segments(found.times * count[found.held])
+    A part of the segments after the other, as their links are many times what comes out.
+    """
+    ok, totals, spelled = [np.zeros(0, bool)], [[np.zeros(0, np.int64)] for _ in _COLUMNS], []
+    for first in range(0, len(blobs), PART):
+        found = Aligned(blobs.slice(first, PART), wide)
+        at = np.minimum(np.searchsorted(pairs, found.pairs), max(len(pairs) - 1, 0))
+        known = pairs[at] == found.pairs if len(pairs) else np.zeros(len(found.pairs), bool)  # others are only in texts without tokens
+        last = np.cumsum(found.n_held)
+        ok.append(found.ok)
+        rated = []
+        for x in (best, count):
+            total = np.concatenate([[0], np.cumsum(found.times * np.where(known, x[at], 0)[found.held])]) if len(pairs) else np.zeros(found.n_held.sum() + 1, np.int64)
+            rated.append(total[last] - total[last - found.n_held])
+        for column, x in zip(totals, (found.n_a, found.n_b, found.n_groups, found.n_links, *rated)):
+            column.append(x)
+        spelled += found.spelled()
+    return np.concatenate(ok), [np.concatenate(x) for x in totals], spelled
+
+
+def _of_documents(codes: np.ndarray, sizes: np.ndarray, ok: np.ndarray, totals: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums over the segments of each document of a chunk, 0 for those without tokens."""
+    good, full = _usable(codes, sizes, ok), sizes > 0
+    begin = (np.cumsum(sizes) - sizes)[full]
     out = []
-    for each in (found.n_a, found.n_b, found.n_groups, found.n_links, n_best, count_sum):
+    for each in totals:
         total = np.zeros(len(sizes), np.int64)
         if full.any():
             total[full] = np.add.reduceat(each[codes], begin)
@@ -369,9 +386,9 @@ def _rated(codes: np.ndarray, sizes: np.ndarray, found: Aligned, count: np.ndarr
     return out
 
 
-def _digests(codes: np.ndarray, sizes: np.ndarray, found: Aligned) -> list[str]:
-    spelled, out, at = found.spelled(), [], 0
-    for n, fine in zip(sizes.tolist(), _usable(codes, sizes, found.ok).tolist()):
+def _digests(codes: np.ndarray, sizes: np.ndarray, ok: np.ndarray, spelled: list[str]) -> list[str]:
+    out, at = [], 0
+    for n, fine in zip(sizes.tolist(), _usable(codes, sizes, ok).tolist()):
         out.append(hashlib.sha256(";".join([spelled[c] for c in codes[at : at + n].tolist()]).encode()).hexdigest() if fine else "")
         at += n
     return out
@@ -428,14 +445,10 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
     rated = counts.withColumn("a", F.shiftright("pair", 32)).join(best, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
     def rows(batch: pa.RecordBatch | pa.Table, row: int, pairs: np.ndarray, count: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-        found = Aligned(_unpack(*_row(batch, "blobs", row), pa.binary()), _row(batch, "wide", row))
+        ok, totals, spelled = _rated(_unpack(*_row(batch, "blobs", row), pa.binary()), _row(batch, "wide", row), pairs, count, best.astype(np.int64))
         codes, sizes = unpacked(_row(batch, "codes", row)), np.array(_row(batch, "sizes", row), np.int64)
-        at = np.minimum(np.searchsorted(pairs, found.pairs), max(len(pairs) - 1, 0))
-        known = pairs[at] == found.pairs if len(pairs) else np.zeros(len(found.pairs), bool)  # others are only in texts without tokens
-        own = [np.where(known, x[at], 0) if len(pairs) else np.zeros(len(at), np.int64) for x in (count, best.astype(np.int64))]
-        totals = _rated(codes, sizes, found, *own)
-        del own, at, known
-        return pa.RecordBatch.from_arrays([pa.array(_row(batch, "ids", row), id_type), *(pa.array(t, pa.int64()) for t in totals), pa.array(_digests(codes, sizes, found), pa.string())], schema=result)
+        totals = _of_documents(codes, sizes, ok, totals)
+        return pa.RecordBatch.from_arrays([pa.array(_row(batch, "ids", row), id_type), *(pa.array(t, pa.int64()) for t in totals), pa.array(_digests(codes, sizes, ok, spelled), pa.string())], schema=result)
 
     schema = f"id {kind}, " + ", ".join(f"{n} bigint" for n in _COLUMNS) + ", groups_sha256 string"
     if counts.limit(most_pairs + 1).count() <= most_pairs:

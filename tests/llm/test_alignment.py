@@ -4,6 +4,8 @@ import bisect
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -104,3 +106,18 @@ def test_lists_of_numbers_without_objects():
     from heatgraph.llm.alignment import _one_list
 
     assert [_one_list(np.array(x, np.int64)).to_pylist() for x in ([], [3, 1 << 40])] == [[[]], [[3, 1 << 40]]]
+
+
+def test_links_are_rated_in_parts(monkeypatch):
+    blobs = [[2, 1, 1, 1, 2, 7, 8, 9, 5, 6], [1, 1, 1, 7, 9], [], [1, 2, 1, 7, 8, 9], [1, 1, 1, 1, 2]]
+    packed = pa.array([np.array(x, "<u2").tobytes() for x in blobs], pa.binary())
+    pairs = np.array([7 << 32 | 9, 8 << 32 | 9], np.int64)
+    given = pairs, np.array([3, 2], np.int64), np.array([1, 0], np.int64)
+    whole = alignment._rated(packed, False, *given)
+    sizes, made = [], alignment.Aligned
+    monkeypatch.setattr(alignment, "PART", 2)
+    monkeypatch.setattr(alignment, "Aligned", lambda x, wide: sizes.append(len(x)) or made(x, wide))
+    parts = alignment._rated(packed, False, *given)
+    assert sizes == [2, 2, 1] and parts[2] == whole[2] and np.array_equal(parts[0], whole[0])
+    assert all(np.array_equal(a, b) for a, b in zip(parts[1], whole[1])) and whole[1][5].tolist()[1] == 3
+    assert [x.tolist() for x in alignment._rated(packed, False, *(x[:0] for x in given))[1]][4:] == [[0] * 5, [0] * 5]
