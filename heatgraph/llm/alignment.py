@@ -17,6 +17,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -314,6 +315,26 @@ def _row(table: pa.Table | pa.RecordBatch, name: str, row: int = 0):
     return table.column(name)[row].as_py()
 
 
+class Linked(NamedTuple):
+    """Which segments of a chunk have tokens, and the distinct pairs of each, as numbers of ``pairs``."""
+
+    ok: np.ndarray
+    pairs: np.ndarray
+    n_held: np.ndarray
+    held: np.ndarray
+
+
+def _linked(blobs: pa.Array, wide: bool) -> Linked:
+    """A part of the segments after the other, as their links are many times what comes out."""
+    parts = []
+    for first in range(0, max(len(blobs), 1), PART):
+        found = Aligned(blobs.slice(first, PART), wide)
+        parts.append(Linked(found.ok, found.pairs, found.n_held, found.held))
+    pairs = np.unique(np.concatenate([x.pairs for x in parts]))
+    held = [np.searchsorted(pairs, x.pairs).astype(np.int32)[x.held] for x in parts]
+    return Linked(np.concatenate([x.ok for x in parts]), pairs, np.concatenate([x.n_held for x in parts]), np.concatenate(held))
+
+
 def _usable(codes: np.ndarray, sizes: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """Whether each document of a chunk has tokens."""
     if ok.all():
@@ -322,7 +343,7 @@ def _usable(codes: np.ndarray, sizes: np.ndarray, ok: np.ndarray) -> np.ndarray:
     return (np.bincount(doc[~ok[codes]], minlength=len(sizes)) == 0) & (sizes > 0)
 
 
-def _document_counts(codes: np.ndarray, sizes: np.ndarray, found: Aligned) -> np.ndarray:
+def _document_counts(codes: np.ndarray, sizes: np.ndarray, found: Linked) -> np.ndarray:
     """How many documents of a chunk hold each of its linked pairs."""
     good = _usable(codes, sizes, found.ok).tolist()
     counts, at = np.zeros(len(found.pairs), np.int64), np.cumsum(found.n_held) - found.n_held
@@ -415,6 +436,7 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
     result = pa.schema([("id", id_type), *((n, pa.int64()) for n in _COLUMNS), ("groups_sha256", pa.string())])
 
     def composed(sequence: pa.Table, alignment: pa.Table) -> pa.Table:
+        _pair.cache_clear()  # all segments are aligned, and the worker may live on beside others
         if not sequence.num_rows:
             return chunked.empty_table()
         blobs, wide = pa.array([], pa.binary()), False
@@ -426,12 +448,13 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc
                 own = [x if w else _widened(x, np.zeros(len(x), bool)) for x, w in zip(own, wides)]
             order = np.argsort(np.concatenate([unpacked(x) for x in alignment.column("codes").to_pylist()]))
             blobs = pa.concat_arrays(own).take(pa.array(order))
-        found = Aligned(blobs, wide)
+            del own, order
+        release()  # vocabularies and packs, before arrays take their place
+        found = _linked(blobs, wide)
         counts = _document_counts(unpacked(_row(sequence, "codes")), np.array(_row(sequence, "sizes"), np.int64), found)
         columns = [sequence.column(n).combine_chunks() for n in ("chunk", "ids", "sizes", "codes")]
         columns += [pa.array([_pack(blobs)], pa.list_(pa.binary())), pa.array([wide]), _one_list(found.pairs), _one_list(counts)]
         del found, blobs, counts
-        _pair.cache_clear()  # all segments are aligned, and the worker may live on beside others
         release()
         return pa.Table.from_arrays(columns, schema=chunked)
 

@@ -121,3 +121,14 @@ def test_links_are_rated_in_parts(monkeypatch):
     assert sizes == [2, 2, 1] and parts[2] == whole[2] and np.array_equal(parts[0], whole[0])
     assert all(np.array_equal(a, b) for a, b in zip(parts[1], whole[1])) and whole[1][5].tolist()[1] == 3
     assert [x.tolist() for x in alignment._rated(packed, False, *(x[:0] for x in given))[1]][4:] == [[0] * 5, [0] * 5]
+
+
+def test_links_are_composed_in_parts(monkeypatch):
+    blobs = [[2, 1, 1, 1, 2, 7, 8, 9, 5, 6], [1, 1, 1, 7, 9], [], [1, 2, 1, 7, 8, 9], [1, 1, 1, 1, 2]]
+    packed = pa.array([np.array(x, "<u2").tobytes() for x in blobs], pa.binary())
+    whole, sizes, made = alignment.Aligned(packed), [], alignment.Aligned
+    monkeypatch.setattr(alignment, "PART", 2)
+    monkeypatch.setattr(alignment, "Aligned", lambda x, wide: sizes.append(len(x)) or made(x, wide))
+    parts = alignment._linked(packed, False)
+    assert sizes == [2, 2, 1] and all(np.array_equal(getattr(parts, k), getattr(whole, k)) for k in ("ok", "pairs", "n_held", "held"))
+    assert [x.tolist() for x in alignment._linked(packed[:0], False)] == [[], [], [], []]
