@@ -120,6 +120,21 @@ def test_searches_like_dense_ones(spark, n, digits, holes, directed):
     assert got == {(k, s): d for k in (1, 2) for s, d in thresholds.by_component_count(dense(k, directed), [2, 3], 0.2).items()}
 
 
+@pytest.mark.parametrize("statistic,directed", [(delta.LARGEST, True), (delta.LARGEST, False), (delta.COUNT, False)])
+def test_large_networks_hold_no_matrix(spark, statistic, directed, monkeypatch):
+    """Kernels of permuted networks searched by all tasks give what a task with the matrix finds."""
+    rng = np.random.default_rng(8)
+    edges = {(k, *sorted(x)) for k in (1, 2) for x in [(i, i + 1) for i in range(23)] + [tuple(map(int, rng.choice(24, 2, replace=False))) for _ in range(30)]}
+    networks = spark.createDataFrame(sorted(edges), "perm_id bigint, src bigint, dst bigint")
+    heat = spark.createDataFrame([(i, float(x)) for i, x in enumerate(rng.random(24)) if i % 5], "node bigint, score double")
+    want, got = ({(r.perm_id, r["size"]): r.delta for r in delta.by_networks(networks, heat, 0.4, [2, 3, 6], statistic, directed, most).collect()} for most in (24, 23))
+    assert len(want) == 6 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
+    made = []
+    monkeypatch.setattr(delta, "by_heats", lambda kernel, heats, *rest: made.append(kernel) or kernel.selectExpr("perm_id", "1 as size", "p + 0D as delta").limit(0))
+    delta.by_networks(networks.where("perm_id = 1 or src < 9 and dst < 9"), heat, 0.4, [2], most=10)
+    assert [r.perm_id for r in made[0].select("perm_id").distinct().collect()] == [1]  # the other is small
+
+
 def test_stretches_without_components():
     assert thresholds.best_stretches([], 2, 5) == [(0, 1), (0, 5)]  # the first weight counts twice
     assert thresholds.best_stretches([(2, "a", "b"), (3, "c", "d"), (6, "a", "c")], 2, 9) == [(3, 6)]
