@@ -78,3 +78,21 @@ def test_dendrogram_like_the_dense_form(spark, n, m):
 def test_dendrograms_without_merges(spark):
     make = lambda rows: tree.largest_tree(spark.createDataFrame(rows, "src int, dst int, w double"))
     assert hierarchy.newick(make([(2, 1, 1.0)])) == "1;" and make([]).names == []
+
+
+@pytest.mark.parametrize("increasing", [False, True])
+def test_cutoffs_count_clusters_without_partitions(spark, increasing):
+    """What is held at each threshold, as in the partitions; but no list of members goes into a join."""
+    rng = np.random.default_rng(4)
+    rows = [(k, i, j, float(rng.integers(1, 12))) for k in ("a", "b") for i in range(14) for j in range(14) if i != j and rng.random() < 0.4]
+    nodes = tree.tree(spark.createDataFrame(rows, "network string, src bigint, dst bigint, w double"), increasing).localCheckpoint()
+    every = [(r.network, r.delta, len(r.members)) for r in tree.all_clusters(nodes, increasing=increasing).collect()]
+    for number, size, by_vertices in ((1, 2, False), (2, 2, False), (12, 1, False), (5, 3, True), (0, 9, True), (15, 1, True)):
+        got = tree.cutoffs(nodes, number, size, by_vertices, increasing=increasing)
+        want = {}
+        for k, d in sorted({x[:2] for x in every}, key=lambda x: x[1], reverse=not increasing):
+            held = sum((n if by_vertices else 1) for p, q, n in every if (p, q) == (k, d) and n >= size)
+            if held >= number:
+                want.setdefault(k, d)
+        assert {r.network: r.delta for r in got.collect()} == want
+    assert "members" not in got._jdf.queryExecution().toString()
