@@ -96,3 +96,24 @@ def test_cutoffs_count_clusters_without_partitions(spark, increasing):
                 want.setdefault(k, d)
         assert {r.network: r.delta for r in got.collect()} == want
     assert "members" not in got._jdf.queryExecution().toString()
+
+
+def test_several_components_need_few_edges(spark):
+    """Each component has its own cycles, some are joined only by light edges, and a light loop is the heaviest edge of nothing."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for first, n, scale in ((0, 14, 1.0), (14, 12, 1.0), (26, 9, 1.0)):
+        rows += [(first + i, first + j, float(np.round(rng.random() ** 3 + 1, 3) * scale)) for i in range(n) for j in range(n)]
+    apart = [("net", *r) for r in rows]
+    light = [("net", 0, 14, 0.25), ("net", 3, 15, 0.5), ("net", 15, 2, 0.125), ("net", 20, 30, 0.75), ("net", 40, 0, 0.5)]
+    for every in (apart, apart + light):
+        whole = spark.createDataFrame(every, "network string, src int, dst int, w double")
+        part = tree.needed(whole).localCheckpoint()
+        assert part.count() < len(every) / 2
+        assert set(map(tuple, part.collect())) <= set(every)
+        merged = [sorted(map(tuple, nested.merges(x).collect())) for x in (whole, part)]
+        assert merged[0] == merged[1] and merged[0]
+        drawn = [tree.tree(x).where("size(members) > 1").select("weight", "members").collect() for x in (whole, part)]
+        assert sorted(map(tuple, drawn[0])) == sorted(map(tuple, drawn[1]))
+        first, second = (tree.drawings(x).first() for x in (whole, part))
+        assert first.linkage == second.linkage and sorted(first.newick) == sorted(second.newick)  # siblings are in no order
