@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatgraph.functions.hierarchy import decompose_edges
-from heatgraph.operators.connected import connected_components, strong_components
+from heatgraph.operators.connected import connected_components
+from heatgraph.operators.similarity import component_members
 from heatgraph.plans.lineage import dropped, stored
 
 #: Edges of a subproblem that one task solves.
@@ -25,10 +26,9 @@ _ID = ["key", "root", "bound"]  # smallest vertex, and a bound below its thresho
 
 
 def _strong(edges: DataFrame, ids: list[str]) -> DataFrame:
-    """``(ids, node, top)``: strong components of all subproblems at once."""
-    end = lambda c: F.struct(*ids, F.col(c).alias("node"))
-    found = strong_components(edges.select(end("u").alias("u"), end("v").alias("v")))
-    return stored(found.select(*[f"node.{x}" for x in ids], "node.node", F.col("component.node").alias("top")))
+    """``(ids, node, top)``: strong components of all subproblems at once, a task for each that one can hold."""
+    found = component_members(edges.select(*ids, F.col("u").alias("src"), F.col("v").alias("dst")), ids)
+    return stored(found.select(*ids, "node", F.col("component").alias("top")))
 
 
 def _labelled(edges: DataFrame, labels: DataFrame, ids: list[str]) -> DataFrame:

@@ -117,3 +117,15 @@ def test_several_components_need_few_edges(spark):
         assert sorted(map(tuple, drawn[0])) == sorted(map(tuple, drawn[1]))
         first, second = (tree.drawings(x).first() for x in (whole, part))
         assert first.linkage == second.linkage and sorted(first.newick) == sorted(second.newick)  # siblings are in no order
+
+
+def test_rounds_are_few_jobs(spark):
+    """What the driver holds of jobs and plans grows with their number."""
+    frame = spark.createDataFrame([("a", *e) for e in digraph(14, 60, 9, 1)], "network string, src int, dst int, w double")
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        assert nested.merges(frame, small=20).count()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 150, jobs
