@@ -147,3 +147,19 @@ def test_multiples_like_dense_ones(spark):
     w = dense(1, False)
     i = next((i for i in range(1, 11) if graph.sizes_at(w, i * 0.05, False).max(initial=0) <= 4), 10)
     assert delta.multiples(kernel, own, found, 3, 4) == [k * 0.05 for k in range(i, i + 5)]
+
+
+def test_both_ways_of_a_pair_meet_once(spark, monkeypatch):
+    """Cells of all permutations come from one written half of the kernel, with the lesser of both ways; zeros are in no half."""
+    rng = np.random.default_rng(12)
+    n = 9
+    p = np.round(rng.random((n, n)) + 0.01, 4)
+    p[2, 5] = p[7, 7] = 0
+    kernel = spark.createDataFrame([(i, j, float(p[i, j])) for i in range(n) for j in range(n)], "dst int, src int, p double")
+    heats = spark.createDataFrame([(k, i, float(rng.random())) for k in (1, 2) for i in range(n)], "perm_id bigint, node int, score double")
+    seen, whole = [], levels.cells
+    monkeypatch.setattr(levels, "cells", lambda k, *a, **b: seen.append(k.where("dst > src").count()) or whole(k, *a, **b))
+    assert levels.by_component_count(kernel, heats, [2], share=0.5).count() == 2
+    assert seen == [0]
+    half = {(r.dst, r.src): r.p for r in levels.upper(kernel).collect()}
+    assert half == {(i, j): min(p[i, j], p[j, i]) for i in range(n) for j in range(i, n) if min(p[i, j], p[j, i]) > 0}
