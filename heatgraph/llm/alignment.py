@@ -39,7 +39,7 @@ TOGETHER, BLOCK = 64, 1 << 15
 #: Segments of a chunk whose links are held at once when they are rated.
 PART = 1 << 16
 #: Entries of dictionaries for each bucket.
-BUCKET = 250_000
+BUCKET = 100_000
 #: White space in any of the definitions in use (this module's is the widest) never comes before a cut.
 _SEGMENT = re.compile(r"(?<=\S)(?= .)", re.S)
 _SPACE = "▁"
@@ -227,6 +227,8 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, size: int, separable: b
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _pair.cache_clear()  # the worker may have aligned segments of another table before
+        release()
         ids, sizes, parts, held = [], [], [], 0
         numbers: defaultdict[str, int] = defaultdict()
         numbers.default_factory = numbers.__len__

@@ -132,3 +132,27 @@ def test_links_are_composed_in_parts(monkeypatch):
     parts = alignment._linked(packed, False)
     assert sizes == [2, 2, 1] and all(np.array_equal(getattr(parts, k), getattr(whole, k)) for k in ("ok", "pairs", "n_held", "held"))
     assert [x.tolist() for x in alignment._linked(packed[:0], False)] == [[], [], [], []]
+
+
+def test_chunks_are_made_without_vocabularies(spark):
+    """A worker that has aligned segments before lets its vocabularies go; a bucket is a small part of an executor's memory."""
+    docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+
+    class Taken:
+        schema = docs.schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def withColumn(self, *column):
+            return self
+
+    alignment._pair(A, B)
+    taken = alignment._chunks(Taken(), "doc_id", "text", 1 << 20, True)
+    made = list(taken.run(iter([pa.RecordBatch.from_pydict({"id": [1], "text": ["a b"]})])))
+    assert made[0].column("entries").to_pylist() == [2]
+    assert alignment._pair.cache_info().currsize == 0 and alignment.BUCKET <= 100_000
