@@ -8,7 +8,7 @@ import pytest
 
 from heatgraph.catalog import ORACLE_SQL, QUERIES
 from heatgraph.functions import diffusion
-from heatgraph.operators import network, similarity
+from heatgraph.operators import network, permute, similarity
 
 KEYS = {"c_custkey": 1_000, "s_suppkey": 100, "p_partkey": 1_000, "o_orderkey": 10_000, "o_custkey": 1_000, "l_orderkey": 10_000, "l_partkey": 1_000, "l_suppkey": 100}
 
@@ -77,3 +77,48 @@ def test_lesser_of_both_ways_by_degrees(spark):
 def test_sizes_are_counted_where_there_is_no_component(spark):
     members = spark.createDataFrame([], "component bigint, node bigint")
     assert sorted(map(tuple, similarity.at_least(members, [2, 3]).collect())) == [(2, 0), (3, 0)]
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_counts_of_large_networks_by_all_tasks(spark, directed):
+    """Networks that no task may hold have the counts that a task of each finds."""
+    rng = np.random.default_rng(8)
+    rows = [(perm, int(a), int(b)) for perm in (1, 2) for a, b in np.unique(np.sort(rng.integers(0, 30, (45, 2)), axis=1), axis=0) if a != b]
+    networks = spark.createDataFrame(rows, "perm_id bigint, src bigint, dst bigint")
+    heat = spark.createDataFrame([(i, float(x)) for i, x in enumerate(rng.random(30)) if i % 6], "node bigint, score double")
+    for delta in (0.03, 7.0):
+        by_task, by_all = (sorted(map(tuple, similarity.counts_by_network(networks, heat, 0.4, delta, [1, 2, 4], directed, most=k).collect())) for k in (100, 0))
+        assert by_task == by_all and any(n for *_, n in by_task) == (delta < 1)
+
+
+def test_heat_of_permuted_mutations_draws_no_pairs(spark, monkeypatch):
+    """As many samples as the probabilities ask for, with and without placed changes, without a row for each pair."""
+    monkeypatch.setattr(permute, "sampled_snvs", None)
+    order = spark.range(200).selectExpr("id as gene", "'c' as chromo", "id as pos")
+    genes = order.selectExpr("gene", "gene % 4 * 100 as length")
+    people = spark.range(5_000).withColumnRenamed("id", "sample")
+    blocks = spark.createDataFrame([(s, "c", 0, "amp", 0, 100) for s in range(6_000) if s % 3 == 0], "sample bigint, chromo string, block bigint, mut_type string, start bigint, n bigint")
+    heat = permute.permuted_mutation_heat(people, genes, blocks, order, 0.005, perms=2)
+    changed = {(r.perm_id, r.node): r.score for r in permute.permuted_mutation_heat(people, genes, blocks, order, 0.0, perms=2).collect()}
+    sums = {}
+    for r in heat.collect():
+        p, c = 1 - 0.995 ** (r.node % 4 * 100), changed[r.perm_id, r.node]
+        inside = 1 - c * 5 / 6  # of all changed samples a sixth isn't among the people
+        sums.setdefault(r.node % 4, []).append((r.score - c, inside * p, inside * p * (1 - p) / 5_000))
+        assert abs(r.score * 5_000 - round(r.score * 5_000)) < 1e-6
+    for found in sums.values():
+        got, mean, spread = (sum(x[i] for x in found) for i in range(3))
+        assert abs(got - mean) <= 0.02 * mean + 6 * spread**0.5
+    assert sum(x[0] for x in sums[0]) == 0
+
+
+def test_counts_of_draws_are_those_of_their_rows(spark):
+    people = spark.range(50).withColumnRenamed("id", "sample")
+    genes = spark.range(300).selectExpr("id as gene", "id % 5 * 40 + 1 as length")
+    rows = permute.sampled_snvs(people, genes, 0.01, perms=2).groupBy("perm_id", "gene").count()
+    assert sorted(map(tuple, permute.sampled_snv_counts(people, genes, 0.01, perms=2).collect())) == sorted(map(tuple, rows.collect()))
+    rng = np.random.default_rng(1)
+    drawn = [permute._successes(50, p, rng) for p in [0.5] * 2_000 + [1.0]]
+    assert abs(sum(map(len, drawn[:-1])) - 50_000) < 1_000 and len(drawn[-1]) == 50
+    assert all((np.diff(x) > 0).all() and (not len(x) or 0 <= x[0] <= x[-1] < 50) for x in drawn)
+    assert abs(sum(0 in x for x in drawn[:-1]) - 1_000) < 140 and abs(sum(49 in x for x in drawn[:-1]) - 1_000) < 140
