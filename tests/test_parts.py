@@ -34,7 +34,7 @@ def like_sql(spark, folder, name):
     assert rows == sorted(norm(r, want.columns) for r in want.fetchall()) and rows
 
 
-@pytest.mark.parametrize("name", ["ppr_kernel", "similarity_classic", "ppr_at_least", "component_histogram"])
+@pytest.mark.parametrize("name", ["ppr_kernel", "similarity_classic", "ppr_at_least", "component_histogram", "hierarchy_clusters", "hierarchy_cut"])
 def test_two_components_like_sql(spark, twice, name):
     like_sql(spark, twice, name)
 
@@ -122,3 +122,22 @@ def test_counts_of_draws_are_those_of_their_rows(spark):
     assert abs(sum(map(len, drawn[:-1])) - 50_000) < 1_000 and len(drawn[-1]) == 50
     assert all((np.diff(x) > 0).all() and (not len(x) or 0 <= x[0] <= x[-1] < 50) for x in drawn)
     assert abs(sum(0 in x for x in drawn[:-1]) - 1_000) < 140 and abs(sum(49 in x for x in drawn[:-1]) - 1_000) < 140
+
+
+def test_hierarchies_of_the_edges_that_bind(spark):
+    """No cluster and no weight is another one without the edges below the bound; where a node has no score there is no bound."""
+    from heatgraph.operators import tree
+
+    rng = np.random.default_rng(4)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 40, (70, 2)).tolist() if p[0] != p[1]} | {(i, i + 1) for i in range(39)} | {(50, 51), (51, 52)}
+    edges = spark.createDataFrame(sorted(pairs), "src bigint, dst bigint")
+    heat = spark.createDataFrame([(i, float(0.5 + rng.random())) for i in range(60)], "node bigint, score double")
+    every = similarity.similarity(network.restart_kernel(edges, 0.4, places=6), heat).selectExpr("if(src < 50, 0L, 50L) as part", "src", "dst", "w")
+    some = tree.binding(edges, heat, 0.4)
+    assert some.count() < every.count() / 2 and not some.exceptAll(every).count()
+    trees = [sorted(map(str, tree.tree(x, key="part").where("size(members) > 1").select("part", "weight", "members").collect())) for x in (every, some)]
+    assert trees[0] == trees[1] and len(trees[0]) > 20
+    partitions = tree.all_clusters(tree.tree(some.where("part = 0"), key="part"), key="part").groupBy("delta").count()
+    held = tree.held_at(tree.spans(some.where("part = 0").selectExpr("'a' as network", "*"))).select("delta", "held")
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, partitions.collect()))
+    assert tree.binding(edges, heat.where("node <> 7"), 0.4) is None
