@@ -141,3 +141,20 @@ def test_hierarchies_of_the_edges_that_bind(spark):
     held = tree.held_at(tree.spans(some.where("part = 0").selectExpr("'a' as network", "*"))).select("delta", "held")
     assert sorted(map(tuple, held.collect())) == sorted(map(tuple, partitions.collect()))
     assert tree.binding(edges, heat.where("node <> 7"), 0.4) is None
+
+
+def test_weights_are_counted_by_column(spark):
+    """Equal entries of a column count together, as often as their cells are there; the cut leaves enough of the heaviest."""
+    from pyspark.sql import functions as F
+
+    from heatgraph.operators import levels
+
+    kernel = spark.createDataFrame([(i, j, (i + j) % 3 / 10) for i in range(9) for j in range(9)], "dst bigint, src bigint, p double")
+    heats = spark.createDataFrame([(k, i, float((i + k) % 4)) for k in (1, 2) for i in range(7)], "perm_id bigint, node bigint, score double")
+    plain = levels.cells(kernel, heats, True).groupBy("perm_id", "w").count()
+    found = levels._times(kernel, heats, True)
+    assert sorted(map(tuple, found.groupBy("perm_id", "w").agg(F.sum("times")).collect())) == sorted(map(tuple, plain.collect()))
+    low = {r.perm_id: r.low for r in levels._low(found.where("w > 0"), 0.2).collect()}
+    over = {k: [r["count"] for r in plain.collect() if r.perm_id == k and r.w > 0 and r.w >= low[k]] for k in (1, 2)}
+    total = {k: sum(r["count"] for r in plain.collect() if r.perm_id == k and r.w > 0) for k in (1, 2)}
+    assert all(0.2 * total[k] <= sum(over[k]) < total[k] for k in (1, 2))
